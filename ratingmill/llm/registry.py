@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingmill.llm import simhash
+from ratingmill.llm import packing, simhash, wordpiece
 from ratingmill.llm.common import read
 
 
@@ -12,8 +12,18 @@ def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_wordpiece_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(read(spark, sf_dir, "documents"))
+
+
+def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_simhash_bktree": op2_simhash_bktree,
+    "op4_wordpiece_automaton": op4_wordpiece_automaton,
+    "op10_residual_packing": op10_residual_packing,
 }
 
 ORACLES: dict[str, str] = {}
