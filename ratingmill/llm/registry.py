@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingmill.llm import packing, simhash, wordpiece
+from ratingmill.llm import packing, pii, secrets, simhash, wordpiece
 from ratingmill.llm.common import read
 
 
@@ -12,17 +12,27 @@ def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op4_wordpiece_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read(spark, sf_dir, "documents"))
+
+
 def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_simhash_bktree": op2_simhash_bktree,
+    "op3_personal_data": op3_personal_data,
     "op4_wordpiece_automaton": op4_wordpiece_automaton,
+    "op5_trigram_secrets": op5_trigram_secrets,
     "op10_residual_packing": op10_residual_packing,
 }
 
