@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingmill.llm import packing, pii, secrets, simhash, wordpiece
+from ratingmill.llm import decontaminate, packing, pii, quality, secrets, simhash, wordpiece
 from ratingmill.llm.common import read
 
 
+def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -24,15 +28,21 @@ def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_weak_label_quality": op1_weak_label_quality,
     "op2_simhash_bktree": op2_simhash_bktree,
     "op3_personal_data": op3_personal_data,
     "op4_wordpiece_automaton": op4_wordpiece_automaton,
     "op5_trigram_secrets": op5_trigram_secrets,
+    "op9_decontamination": op9_decontamination,
     "op10_residual_packing": op10_residual_packing,
 }
 
