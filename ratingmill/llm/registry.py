@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingmill.llm import decontaminate, packing, pii, quality, secrets, simhash, wordpiece
+from ratingmill.llm import decontaminate, packing, pii, quality, secrets, simhash, vectors, wordpiece
 from ratingmill.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read(spark, sf_dir, "documents"))
 
 
+def op8_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_personal_data": op3_personal_data,
     "op4_wordpiece_automaton": op4_wordpiece_automaton,
     "op5_trigram_secrets": op5_trigram_secrets,
+    "op8_pivot_range_join": op8_pivot_range_join,
     "op9_decontamination": op9_decontamination,
     "op10_residual_packing": op10_residual_packing,
 }
