@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingmill.llm import decontaminate, language_model, packing, pii, quality, secrets, simhash, vectors, wordpiece
+from ratingmill.llm import decontaminate, language_model, packing, pii, quality, repeats, secrets, simhash, vectors, wordpiece
 from ratingmill.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_personal_data": op3_personal_data,
     "op4_wordpiece_automaton": op4_wordpiece_automaton,
     "op5_trigram_secrets": op5_trigram_secrets,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_log_bilinear_scores": op7_log_bilinear_scores,
     "op8_pivot_range_join": op8_pivot_range_join,
     "op9_decontamination": op9_decontamination,

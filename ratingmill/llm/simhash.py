@@ -33,12 +33,13 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
     Fewer words than a shingle has: the whole sequence is the only one; no word (null, empty, blank): 0.
     """
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
+    return of_hashes(_shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), words, seed))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The SimHash of shingles' hashes; 0 if there are none."""
+    if not len(h):
         return 0
-    shingles = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words))))
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 4096):
         ones += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -193,3 +194,106 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     return found.join(labels, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+#: Samples of a document's shingles, and shingles in each: two texts of similarity 0.8 share a whole sample with 0.997.
+SAMPLES, SAMPLE = 8, 3
+
+
+def _signatures(words: int, seed: int):
+    odd = np.random.default_rng(seed).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def each(c: dict) -> dict:
+        out = {"key": c["key"], "doc_id": c["doc_id"], "content": [], "fp": [], "samples": []}
+        for text in c["text"]:
+            w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            every = _shingles(w, words, seed)
+            h = np.unique(every)
+            samples = [0] * SAMPLES
+            if len(h):
+                for k in range(SAMPLES):
+                    x = h * odd[k]
+                    x ^= x >> np.uint64(32)
+                    low = h[np.argpartition(x, SAMPLE - 1)[:SAMPLE]] if len(h) > SAMPLE else h
+                    # the fingerprint of three shingles: the bits that most of them have
+                    samples[k] = int((low[0] & low[1]) | (low[0] & low[2]) | (low[1] & low[2])) if len(low) == 3 else int(np.bitwise_xor.reduce(low))
+            out["content"].append(_signed(xxhash.xxh64_intdigest(b" ".join(w), seed + 1)))
+            out["fp"].append(_signed(of_hashes(every)))
+            out["samples"].append([_signed(s) for s in samples])
+        return out
+
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("fp", pa.int64()), ("samples", pa.list_(pa.int64()))])
+    return arrow_rows(each, schema)
+
+
+def _shingles(w: list[bytes], words: int, seed: int) -> np.ndarray:
+    shingles = [] if not w else [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words))))
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
+
+
+def _sets(words: int, seed: int):
+    def each(c: dict) -> dict:
+        sets = [np.unique(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), words, seed) >> np.uint64(32)).astype(np.uint32) for t in c["text"]]
+        return {"content": c["content"], "shingles": [s.tobytes() for s in sets]}
+
+    return arrow_rows(each, pa.schema([("content", pa.int64()), ("shingles", pa.binary())]))
+
+
+def _similar(least: float):
+    def each(c: dict) -> dict:
+        out = {"a": [], "b": []}
+        for a, b, x, y in zip(c["a"], c["b"], c["x"], c["y"]):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= least * (len(x) + len(y) - both):
+                out["a"].append(a)
+                out["b"].append(b)
+        return out
+
+    return arrow_rows(each, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def unique(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
+    """docs, with all columns, one row of each group of near copies: that with the smallest doc_id (any with an id before none).
+
+    Texts of the same words are one content. Contents link when their SimHash fingerprints differ in `radius` bits at most, or when
+    their word shingles have a Jaccard similarity of `similarity` or more. Within few bits lie only the closest copies, so for the
+    second kind a document has SAMPLES more fingerprints, each of SAMPLE shingles that are smallest by another hash; contents that
+    share one are compared with the content among them whose fingerprints are shared most, by all their shingles. Null, empty and
+    blank texts are one content.
+    """
+    tune(docs.sparkSession)
+    keyed = docs.withColumn("__rm_key", F.xxhash64("doc_id", "text"))
+    rows = keyed.select(F.col("__rm_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ddl = "key long, doc_id long, content long, fp long, samples array<long>"
+    found = stash(rows.mapInArrow(_signatures(words, seed), ddl))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    contents = stash(found.groupBy("content").agg(first, F.first("fp").alias("fp"), F.first("samples").alias("samples")))
+    # fingerprints within the radius, by the content that stands for each
+    named = contents.groupBy("fp").agg(F.min("content").alias("content"))
+    near = links(contents.select("fp").distinct(), radius)
+    to = lambda x: named.select(F.col("fp").alias(x), F.col("content").alias(f"c{x}"))
+    edges = near.join(to("a"), "a").join(to("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    same = contents.join(named.withColumnRenamed("content", "other"), "fp").where("content <> other")
+    edges = edges.unionAll(same.select(F.col("content").alias("a"), F.col("other").alias("b")))
+    # contents that share a sample, with the most central of them
+    shared = contents.select("content", F.explode(F.array_distinct("samples")).alias("sample"))
+    size = stash(shared.groupBy("sample").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = stash(shared.join(size, "sample"))
+    central = shared.groupBy("content").agg(F.sum("n").alias("weight"))
+    shared = stash(shared.join(central, "content").select("content", "sample", "weight"))
+    lead = stash(shared.groupBy("sample").agg(F.max(F.struct("weight", "content")).alias("lead")).select("sample", F.col("lead.content").alias("lead")))
+    pairs = stash(shared.join(lead, "sample").where("content <> lead").select(F.col("content").alias("a"), F.col("lead").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("content")).unionAll(pairs.select(F.col("b").alias("content"))).distinct()
+    keys = stash(contents.join(wanted, "content").select("content", F.col("first.key").alias("key")))
+    sets = rows.select("key", "text").join(keys, "key").select("content", "text").mapInArrow(_sets(words, seed), "content long, shingles binary")
+    sets = stash(sets.dropDuplicates(["content"]))
+    left, right = sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("content").alias("b"), F.col("shingles").alias("y"))
+    verified = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+    roots = components(edges.unionAll(verified))
+    groups = contents.join(roots.withColumnRenamed("node", "content"), "content", "left").select("first", F.coalesce("root", "content").alias("root"))
+    keep = stash(groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__rm_key")))
+    # rows that are equal in doc_id and text have one key
+    kept = keyed.join(keep, "__rm_key", "left_semi")
+    one = kept.groupBy("__rm_key").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return one.select("row.*")
