@@ -70,7 +70,7 @@ def _signed(x: int) -> int:
 
 
 class Forest:
-    """BK-trees of many shards. nodes: fingerprints sorted by shard; shard: their shard's number."""
+    """BK-trees of many shards. fps: unsigned (bits of a negative number are those of its absolute value), sorted by shard; shard: each one's."""
 
     def __init__(self, fps: np.ndarray, shard: np.ndarray):
         n = len(fps)
@@ -170,8 +170,8 @@ def links(fps: DataFrame, radius: int = 4, shard_rows: int = 20_000) -> DataFram
             fp, shard, side = (np.concatenate(x) for x in zip(*got))
             got.clear()
             order = np.lexsort((fp, shard))
-            a, b = _stars(fp[order], shard[order], side[order], radius)
-            yield pd.DataFrame({"a": a, "b": b})
+            a, b = _stars(fp[order].view(np.uint64), shard[order], side[order], radius)
+            yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return rows.repartition(partitions(spark), "shard").mapInPandas(each, "a long, b long")
 

@@ -77,3 +77,11 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = components(edges).collect()
     assert len({r.root for r in got if r.node <= 40}) == 1 and len({r.root for r in got}) == 2 and len(got) == 43
+
+
+def test_links_across_the_highest_bit():
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(200)]
+    fps = np.array(sorted({*base, *[b ^ (1 << 63) ^ (1 << r.randrange(63)) for b in base]}), np.uint64)
+    a, b = simhash._stars(fps, np.zeros(len(fps), np.int64), np.full(len(fps), 2), 4)
+    assert len(a) == 200 and set((a ^ b).tolist()) and all(int(x).bit_count() == 2 for x in a ^ b)
