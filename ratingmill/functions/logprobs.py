@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,12 @@ def log_add(xs: Column) -> Column:
     return F.when(F.size(xs) > 0, top + F.log(F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
 
 
+def log_sum_exp(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """By key: (top, log_sum) of a column; the largest value is aggregated first, so that no group is gathered."""
+    top = df.groupBy(*keys).agg(F.max(value).alias("top"))
+    return df.join(top, keys).groupBy(*keys).agg(F.first("top").alias("top"), (F.first("top") + F.log(F.sum(F.exp(F.col(value) - F.col("top"))))).alias("log_sum"))
+
+
 def _p(m: Column, digit: int) -> Column:
     return F.coalesce(F.exp(F.try_element_at(m, F.lit(digit))), F.lit(0.0))
 

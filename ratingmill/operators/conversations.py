@@ -20,19 +20,25 @@ def flatten(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, F.posexplode("messages").alias("turn", "m")).select(*keys, F.col("turn").cast("long").alias("turn"), F.col("m.role").alias("role"), F.col("m.content").alias("text"))
 
 
-def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
-    """df with its ordinal from 0 in the order, in two passes: rows are sorted by range and numbered within their partition, and a
-    partition's offset comes from the counts of those before it. No task sees all rows."""
-    ranged = df.withColumn("__o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])).repartitionByRange("__o").sortWithinPartitions("__o")
-    ranged = ranged.withColumn("__at", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("__at", 33)
-    counts = sorted((r.p, r.n) for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """df with the sum of `value` over the rows before each in the order, in two passes: rows are split by range and summed within
+    their partition, and a partition's offset comes from the totals of those before it. No task sees all rows; the driver sees a
+    total for each partition."""
+    ranged = df.withColumn("__o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])).repartitionByRange("__o")
+    ranged = ranged.withColumn("__p", F.spark_partition_id()).persist()
+    totals = sorted((r.p, r.n) for r in ranged.groupBy(F.col("__p").alias("p")).agg(F.sum(value).alias("n")).collect())
     before, starts = 0, []
-    for p, n in counts:
-        starts += [F.lit(p), F.lit(before)]
-        before += n
-    base = F.element_at(F.create_map(*starts), part) if starts else F.lit(0)
-    return ranged.withColumn(out, (base + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__o", "__at")
+    for p, n in totals:
+        starts += [F.lit(p), F.lit(before).cast("long")]
+        before += n or 0
+    base = F.element_at(F.create_map(*starts), F.col("__p")) if starts else F.lit(0)
+    w = Window.partitionBy("__p").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn(out, (base + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("long")).drop("__o", "__p")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """df with its ordinal from 0 in the order."""
+    return running_total(df.withColumn("__one", F.lit(1)), order, "__one", out).drop("__one")
 
 
 def opens_well(messages: Column) -> Column:

@@ -76,7 +76,7 @@ def dataset(users: DataFrame) -> DataFrame:
     return users.select("split", F.col("user_idx").cast("string").alias("user_id"), F.col("rewrite_style_attributes").alias("user_attributes"), past.alias("conversation_history"), current.alias("current_messages"))
 
 
-def chunk_of(order: Column, requests: Column, size: int) -> Column:
-    """Window: the chunk in which a user falls, by the requests of the users before it."""
-    before = F.coalesce(F.sum(requests).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return F.floor(before / size).cast("long")
+def chunked(users: DataFrame, order: Sequence[Column], requests: Column, size: int) -> DataFrame:
+    """users with the chunk in which each falls, by the requests of the users before it; no task sees all users."""
+    before = conv.running_total(users.withColumn("__n", requests), order, "__n", "__before")
+    return before.withColumn("chunk", F.floor(F.col("__before") / size).cast("long")).drop("__n", "__before")

@@ -1,4 +1,5 @@
 """All registered queries of the engine with their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ratingmill.plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
