@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def known(c: Column) -> Column:
@@ -71,16 +72,22 @@ def pearson_p(r: float | None, n: int | None) -> float | None:
     return t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
-@F.pandas_udf("double")
-def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
+def p_value(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation r over n rows; for the few rows of a summary."""
-    return pd.Series([pearson_p(None if x is None or x != x else float(x), None if k is None or k != k else int(k)) for x, k in zip(r, n)], dtype="float64")
 
+    def each(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([pearson_p(None if x is None or x != x else float(x), None if k is None or k != k else int(k)) for x, k in zip(r, n)], dtype="float64")
 
-@F.pandas_udf("double")
-def t_975(n: pd.Series) -> pd.Series:
+    return F.pandas_udf(each, DoubleType())(r, n)
+
+
+def t_975(n: Column) -> Column:
     """The 0.975 quantile of Student's t with n - 1 degrees of freedom; null for fewer than two rows."""
-    return pd.Series([t_quantile(0.975, int(k) - 1) if k == k and k > 1 else None for k in n], dtype="float64")
+
+    def each(n: pd.Series) -> pd.Series:
+        return pd.Series([t_quantile(0.975, int(k) - 1) if k == k and k > 1 else None for k in n], dtype="float64")
+
+    return F.pandas_udf(each, DoubleType())(n)
 
 
 def mean_ci95(df: DataFrame, keys: list[str], score: str) -> DataFrame:
@@ -88,7 +95,7 @@ def mean_ci95(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     out = df.groupBy(*keys).agg(
         F.avg(score).alias("mean"), F.stddev_samp(score).alias("sd"), F.count(score).alias("count"), F.count("*").alias("rows")
     )
-    ci = F.when((F.col("rows") == F.col("count")) & (F.col("rows") > 1), t_975("rows") * F.col("sd") / F.sqrt("rows"))
+    ci = F.when((F.col("rows") == F.col("count")) & (F.col("rows") > 1), t_975(F.col("rows")) * F.col("sd") / F.sqrt("rows"))
     return out.select(*keys, "mean", ci.alias("ci95"), "count")
 
 
