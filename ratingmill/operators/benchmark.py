@@ -18,7 +18,7 @@ def world_labels(items: DataFrame, names: list[str], world: DataFrame, most: int
     table = F.broadcast(items.sparkSession.createDataFrame(list(enumerate(names)), "i int, attribute string"))
     own = items.select("split", "user_id", F.explode("user_attributes").alias("a")).select("split", "user_id", "a.attribute", "a.side")
     own = own.join(table, "attribute", "left")
-    own = own.where(F.when(F.col("i").isNotNull(), True).otherwise(F.raise_error(F.lit("unknown attribute")).cast("boolean")))
+    own = own.withColumn("i", F.coalesce("i", F.raise_error(F.lit("unknown attribute")).cast("int")))
     wants = reward.attributes_of(reward.apply_world(own, world, ["split", "user_id"]), ["split", "user_id"], most)
     return wants.join(table.withColumnRenamed("i", "j"), "j").select("split", "user_id", "attribute", "side")
 

@@ -86,5 +86,5 @@ def oversampled(n: int, factor: float = 1.05) -> int:
 def join_attributes(requests: DataFrame, user_attributes: DataFrame, key: Sequence[str] = ("split", "user_id")) -> DataFrame:
     """Requests with the signed attributes of their user, a row each; a user without attributes raises."""
     out = requests.join(user_attributes, list(key), "left")
-    unknown = F.raise_error(F.concat(F.lit("no attributes for user "), F.col(key[-1]))).cast("boolean")
-    return out.where(F.when(F.col("attribute").isNotNull(), True).otherwise(unknown))
+    unknown = F.raise_error(F.concat(F.lit("no attributes for user "), F.col(key[-1])))
+    return out.withColumn("attribute", F.coalesce("attribute", unknown.cast("string")))
