@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from ratingmill.llm.common import _remove, partitions, shared_dir, stash, tune
 
 LEAST, GRAM = 50, 24
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Strings whose anchors are found at once; places within must fit PLACE bits.
+STRINGS = 1 << 18
 #: Kinds of surroundings above which an anchor is split by the whole string.
 HOT = 5000
 #: Segments that are put in order at once.
@@ -105,41 +107,40 @@ class Block:
         self.start = np.r_[0, self.end[:-1]]
 
     def anchors(self) -> None:
-        """at: places of anchors; hash: of their k-gram; low, high: the first and last string whose anchor it is; owner: the text."""
-        width = self.least - self.gram + 1
-        raw = np.frombuffer(self.text, np.uint8)
-        self.at = self.low = self.high = self.owner = np.zeros(0, np.int64)
-        self.hash = np.zeros(0, np.uint64)
-        if len(raw) < self.least:
-            return
+        """at: places of anchors; hash: of their k-gram; low, high: the first and last string whose anchor it is; owner: the text;
+        around: a hash of what lies from the first string to the end of the last, and of the anchor's place in it.
+
+        Strings are looked at STRINGS at a time, so that working arrays are small however long the texts are."""
+        edge = np.zeros(len(self.text) + 1, np.int8)  # strings within one text that takes part
+        there = (self.end - self.start >= self.least) & self.named
+        edge[self.start[there]] += 1
+        edge[self.end[there] - self.least + 1] -= 1
+        whole = np.cumsum(edge, dtype=np.int8).astype(bool)
+        parts = [self._part(i, whole) for i in range(0, max(len(self.text) - self.least + 1, 0), STRINGS)]
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3
+        at, low, high, h, s, t = (np.concatenate(x) for x in zip(none, *parts))
+        if len(at):  # an anchor may have strings on both sides of a cut
+            new = np.r_[True, at[1:] != at[:-1]]
+            last = np.r_[new[1:], True]
+            at, low, high, h, s, t = at[new], low[new], high[last], h[new], s[new], t[last]
+        self.at, self.low, self.high, self.hash = at, low, high, h
+        self.owner = np.searchsorted(self.end, at, "right")
+        # the first and last string share the anchor: together they fix all between
+        x = _mix(s, 1) + _mix(t, 2) * np.uint64(3)
+        self.around = _mix(x + ((at - low) * 64 + high - low).astype(np.uint64), 3) >> (np.uint64(64) - BITS)
+
+    def _part(self, first: int, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+        raw = np.frombuffer(self.text, np.uint8, min(STRINGS + self.least - 1, len(self.text) - first), first)
         # a hash of 40 bits, then the place: the least is the leftmost of the smallest hashes
         h = _mix(_hashes(raw, self.gram), 0) >> PLACE
-        wrap = (1 << int(PLACE)) - 1
-        found = _slide((h << PLACE) | (np.arange(len(h)) & wrap).astype(np.uint64), width)
-        edge = np.zeros(len(raw) + 1, np.int64)  # strings within one text that takes part
-        there = (self.end - self.start >= self.least) & self.named
-        np.add.at(edge, self.start[there], 1)
-        np.add.at(edge, self.end[there] - self.least + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge)[: len(found)] > 0)
-        if not len(starts):
-            return
-        anchor = starts + (((found[starts] & np.uint64(wrap)).astype(np.int64) - starts) & wrap)
-        for s in np.flatnonzero((starts & wrap) + width > wrap):  # places start anew within these
-            anchor[s] = starts[s] + h[starts[s] : starts[s] + width].argmin()
-        first = np.r_[True, anchor[1:] != anchor[:-1]]
-        last = np.r_[first[1:], True]
-        self.at, self.low, self.high = anchor[first], starts[first], starts[last]
-        self.hash = h[self.at]
-        self.owner = np.searchsorted(self.end, self.at, "right")
-
-    def surroundings(self) -> np.ndarray:
-        """A hash of what lies from the first string to the end of the last, and of the anchor's place in it."""
-        span = self.high - self.low
-        raw = np.frombuffer(self.text, np.uint8)
+        found = _slide((h << PLACE) | np.arange(len(h), dtype=np.uint64), self.least - self.gram + 1)
+        starts = np.flatnonzero(whole[first : first + len(found)])
+        anchor = (found[starts] & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
+        new = np.r_[True, anchor[1:] != anchor[:-1]] if len(starts) else np.zeros(0, bool)
+        last = np.r_[new[1:], True] if len(starts) else new
+        at, low, high = anchor[new], starts[new], starts[last]
         strings = _hashes(raw, self.least)
-        # the first and last string overlap or touch, as they share the anchor: together they fix all between
-        x = _mix(strings[self.low], 1) + _mix(strings[self.high], 2) * np.uint64(3)
-        return _mix(x + ((self.at - self.low) * 64 + span).astype(np.uint64), 3) >> (np.uint64(64) - BITS)
+        return at + first, low + first, high + first, h[at], strings[low], strings[high]
 
 
 BLOCKS = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("text", pa.binary()), ("docs", pa.binary()), ("named", pa.binary()), ("lengths", pa.binary())])
@@ -196,7 +197,7 @@ def _send(least: int, gram: int, buckets: int):
                 x.anchors()
                 if not len(x.at):
                     continue
-                h, s, d = x.hash, x.surroundings(), x.docs[x.owner]
+                h, s, d = x.hash, x.around, x.docs[x.owner]
                 order = np.lexsort((d, s, h))
                 h, s, d = h[order], s[order], d[order]
                 cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
@@ -401,9 +402,9 @@ def _drop(least: int, gram: int, spans: bool):
                 at = (low[which] + step)[gone]
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + least, -1)
-            covered = np.cumsum(cover[:-1]) > 0
+            covered = np.cumsum(cover[:-1], dtype=np.int32) > 0
             raw = np.frombuffer(x.text, np.uint8)
-            total = np.r_[0, np.cumsum(covered)]
+            total = np.r_[np.int32(0), np.cumsum(covered, dtype=np.int32)]
             for i, (a, b) in enumerate(zip(x.start.tolist(), x.end.tolist())):
                 doc = int(x.docs[i]) if x.named[i] else None
                 if total[a] == total[b]:
@@ -432,7 +433,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, spans:
     n = partitions(spark)
     blocks = _bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_code, BLOCKS_DDL), n)
     size = blocks.agg(F.sum("size")).first()[0] or 0
-    buckets = max(n, -(-int(size) // (4 * BLOCK_BYTES)))
+    buckets = max(n, -(-int(size) // (8 * BLOCK_BYTES)))
     sent = blocks.mapInPandas(_send(least, gram, buckets), HASHES_DDL).repartition(buckets, "bucket")
     shared = stash(sent.groupBy("bucket").applyInPandas(_shared, SHARED_DDL))
     parts = stash(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_segments(least, gram), PARTS_DDL))

@@ -86,21 +86,23 @@ def test_hot_anchors_and_small_shards():
         repeats.HOT, repeats.SHARD, repeats.BLOCK_BYTES = old
 
 
-def test_places_that_start_anew(monkeypatch):
-    monkeypatch.setattr(repeats, "PLACE", np.uint64(6))
-    monkeypatch.setattr(repeats, "BITS", np.uint64(58))
+def test_anchors_do_not_depend_on_cuts(monkeypatch):
     text = b"abab" * 30 + bytes(random.Random(1).choices(b"ab", k=400)) + b"abab" * 30
 
     class Row:
-        docs, named, lengths = repeats._pack(np.array([1])), repeats._pack(np.array([True])), repeats._pack(np.array([len(text)]))
+        docs, named, lengths = repeats._pack(np.array([1, 2])), repeats._pack(np.array([True, True])), repeats._pack(np.array([60, len(text) - 60]))
 
     Row.text = repeats.zstandard.compress(text)
+    whole = repeats.Block(Row, 50, 24)
+    whole.anchors()
+    monkeypatch.setattr(repeats, "STRINGS", 37)
     x = repeats.Block(Row, 50, 24)
     x.anchors()
+    assert all((getattr(x, n) == getattr(whole, n)).all() for n in ("at", "low", "high", "hash", "owner", "around"))
     of = {}
     for at, low, high in zip(x.at, x.low, x.high):
         of |= {s: at - s for s in range(low, high + 1)}
-    assert sorted(of) == list(range(len(text) - 49))
+    assert sorted(of) == [*range(11), *range(60, len(text) - 49)]
     seen = {}
     for s, place in of.items():
         assert seen.setdefault(text[s : s + 50], place) == place
