@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ratingmill.llm import decontaminate, language_model, packing, pii, quality, repeats, secrets, simhash, vectors, wordpiece
 from ratingmill.llm.common import read
+from ratingmill.llm.oracles import ORACLES
 
 
 def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,4 @@ QUERIES = {
     "op10_residual_packing": op10_residual_packing,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
