@@ -555,3 +555,59 @@ def classifier_predict(spark, sf_dir):
 
     d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"), F.when(F.col("lang") == "en", 1).otherwise(0).alias("label"))
     return TextClassifier(options=ClassifierOptions(width=1 << 10, rounds=10)).train(d).predict(d).select("doc_id", "label", "prediction")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir where it is set."""
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="ratingmill-")
+
+
+@query(f"WITH {REQUESTS} SELECT user_id, event_id, (content<>'' AND stop) AS ok FROM req")
+def stream_chunks(spark, sf_dir):
+    from ratingmill.streaming import chunks
+
+    at, schema_of = scratch(spark), table(spark, sf_dir, "events").schema
+    requests = spark.readStream.schema(schema_of).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parq*")
+
+    def respond(df):
+        e = F.col("event_id")
+        response = F.struct(F.when(draw(400, e, "empty") == 0, "").otherwise("x").alias("content"), (draw(400, e, "stop") != 0).alias("finish_reason_stop"))
+        return df.select("user_id", "event_id", response.alias("response"))
+
+    chunks.process(requests, respond, f"{at}/out", f"{at}/checkpoint", lambda df: df.select("user_id", "event_id", "ok")).awaitTermination()
+    return spark.read.schema("user_id long, event_id long, ok boolean").parquet(f"{at}/out")
+
+
+@query(f"""WITH {NESTED}, n AS (SELECT row_number() OVER (ORDER BY conv_id)-1 AS source_ord, len(m) AS turns FROM c), k AS (SELECT count(*) AS total FROM n), {USERS}, s AS (SELECT user_id, row_number() OVER (ORDER BY user_id)-1 AS g FROM u),
+d AS (SELECT user_id, slot, (g*3+slot)%total AS source_ord FROM s CROSS JOIN range(3) r(slot) CROSS JOIN k) SELECT user_id, slot::INT AS slot, ((turns+1)//2)::BIGINT AS requests FROM d JOIN n USING (source_ord)""")
+def synthetic_requests(spark, sf_dir):
+    source = conv.numbered(nested(spark, sf_dir), [F.col("conv_id")], "source_ord").select("source_ord", "messages")
+    users = conv.numbered(user_attributes(spark, sf_dir), [F.col("user_id")], "user_ord")
+    users = users.select(F.lit("train").alias("split"), F.col("user_id").alias("user_idx"), "user_ord", "attributes")
+    made = synthetic.requests(users, source, 3, source.count())
+    return made.groupBy(F.col("user_idx").alias("user_id"), "slot").agg(F.count("prompt").alias("requests"))
+
+
+@query()
+def benchmark_worlds(spark, sf_dir):
+    from ratingmill.operators import benchmark
+
+    c = nested(spark, sf_dir).where(conv.opens_well(F.col("messages"))).withColumnRenamed("conv_id", "user_id")
+    own = expand.sampled_attributes(c, ["user_id"], NAMES, 3, SEED)
+    items = own.select(
+        F.when(F.col("user_id") % 2 == 0, "train").otherwise("test").alias("split"), F.col("user_id").cast("string").alias("user_id"), F.col("attributes").alias("user_attributes"),
+        F.array("messages").alias("conversation_history"), conv.without_last(F.col("messages")).alias("current_messages"),
+    )
+    at = scratch(spark)
+
+    def keep(df, made=[0]):
+        made[0] += 1
+        df.write.parquet(f"{at}/{made[0]}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{made[0]}")
+
+    generate, scorer = scoring.surrogate_generator("split", "user_id", "attribute"), scoring.surrogate_scorer("content", "attribute")
+    return benchmark.run(keep(items), NAMES, {0: reward.permutation_world(spark, N, N, 0)}, generate, scorer, keep)
