@@ -203,7 +203,11 @@ def _send(least: int, gram: int, buckets: int):
                 cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
                 many = np.maximum.reduceat(d, cut) != d[cut]
                 h, s, d = h[cut], s[cut], d[cut]
-                at = np.searchsorted(((h * np.uint64(buckets)) >> BITS).astype(np.int64), np.arange(buckets + 1))
+                # least hashes are small, so they are mixed again to be dealt out evenly
+                bucket = ((_mix(h, 4) >> PLACE) * np.uint64(buckets) >> BITS).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                h, s, d, many = h[order], s[order], d[order], many[order]
+                at = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 out = [
                     (k, row.block, _pack(_steps(h[i:j])), _pack(s[i:j]), _pack(d[i:j]), _pack(many[i:j]))
                     for k, (i, j) in enumerate(zip(at, at[1:])) if j > i
