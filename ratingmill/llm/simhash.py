@@ -25,7 +25,7 @@ from ratingmill.llm.common import arrow_rows, components, cut, local_roots, part
 
 BITS = 64
 #: Pairs of query and tree node that a search holds at once.
-FRONTIER = 2_000_000
+FRONTIER = 100_000
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -96,7 +96,7 @@ class Forest:
 
     def search(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query number, node) of each pair within the radius, in pieces. roots: the root at which each query starts."""
-        todo = [(np.arange(i, min(i + 65536, len(queries))), roots[i : i + 65536]) for i in range(0, len(queries), 65536)]
+        todo = [(np.arange(i, min(i + FRONTIER, len(queries))), roots[i : i + FRONTIER]) for i in range(0, len(queries), FRONTIER)]
         while todo:
             q, at = todo.pop()
             if len(q) > FRONTIER:
