@@ -200,11 +200,39 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
 SAMPLES, SAMPLE = 8, 3
 
 
-def _signatures(words: int, seed: int):
+#: Documents whose shingles are counted for the order of shingles, at least, and the share of all that is; frequent shingles ranked at most.
+ORDER_ROWS, ORDER_SHARE, ORDER_MOST = 8000, 64, 1_000_000
+#: Pairs that a task makes at once, and members of a block of a shingle that many texts have.
+PAIRS, BLOCK = 2_000_000, 2000
+
+
+def _frequent(rows: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that occur in three or more of a sample of texts, and in how many. They only order shingles: any order loses no pair."""
+    share = min(ORDER_SHARE, max(1, rows.count() // ORDER_ROWS))
+
+    def each(c: dict) -> dict:
+        h = [np.unique(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), words, seed)) for t in c["text"]]
+        token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True)
+        return {"token": token.view(np.int64), "n": n}
+
+    some = rows.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(share)) == 0).select("text")
+    count = some.mapInArrow(arrow_rows(each, pa.schema([("token", pa.int64()), ("n", pa.int64())])), "token long, n long")
+    most = count.groupBy("token").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(ORDER_MOST).toPandas()
+    token = most["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], most["n"].to_numpy(np.int32)[order]
+
+
+def _least(n, share: float):
+    """The smallest whole number that is at least share * n, or one less where rounding is in doubt."""
+    return np.ceil(np.asarray(n) * share - 1e-6).astype(np.int64)
+
+
+def _signatures(words: int, seed: int, similarity: float, token: np.ndarray, often: np.ndarray):
     odd = np.random.default_rng(seed).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def each(c: dict) -> dict:
-        out = {"key": c["key"], "doc_id": c["doc_id"], "content": [], "fp": [], "samples": []}
+        out = {"key": c["key"], "doc_id": c["doc_id"], "content": [], "fp": [], "samples": [], "n": [], "prefix": []}
         for text in c["text"]:
             w = (text or "").encode("utf-8", "surrogatepass").lower().split()
             every = _shingles(w, words, seed)
@@ -220,12 +248,140 @@ def _signatures(words: int, seed: int):
             out["content"].append(_signed(xxhash.xxh64_intdigest(b" ".join(w), seed + 1)))
             out["fp"].append(_signed(of_hashes(every)))
             out["samples"].append([_signed(s) for s in samples])
+            rank = np.zeros(len(h), np.int32)
+            if len(token):
+                at = np.minimum(np.searchsorted(token, h), len(token) - 1)
+                rank = np.where(token[at] == h, often[at], 0)
+            rarest = h[np.argsort(rank, kind="stable")]
+            out["n"].append(len(h))
+            out["prefix"].append(rarest[: len(h) - int(_least(len(h), similarity)) + 1].tobytes())
         return out
 
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("fp", pa.int64()), ("samples", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("fp", pa.int64()), ("samples", pa.list_(pa.int64())), ("n", pa.int32()), ("prefix", pa.binary())])
+    return arrow_rows(each, schema)
+
+
+MEMBERS = ("token", "content", "root", "n", "at")
+KINDS = (np.uint64, np.int64, np.int64, np.uint32, np.uint32)
+MEMBERS_DDL = "bucket int, token binary, content binary, root binary, n binary, at binary"
+
+
+def _dealt(buckets: int):
+    """Prefixes dealt out by shingle: a row for each bucket, its members packed. root is packed as its difference from content."""
+    schema = pa.schema([("bucket", pa.int32()), *[(m, pa.binary()) for m in MEMBERS]])
+
+    def each(c: dict) -> dict:
+        prefix = [np.frombuffer(x, np.uint64) for x in c["prefix"]]
+        size = np.array([len(x) for x in prefix], np.int64)
+        content, root = np.array(c["content"], np.int64), np.array(c["root"], np.int64)
+        token = np.concatenate([np.zeros(0, np.uint64), *prefix])
+        at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        bucket = (token % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        columns = [x[order].astype(k) for x, k in zip((token, *[np.repeat(x, size) for x in (content, root ^ content, np.array(c["n"], np.int64))], at), KINDS)]
+        names, first = np.unique(bucket[order], return_index=True)
+        ends = [*first[1:], len(order)]
+        return {"bucket": names, **{m: [x[a:b].tobytes() for a, b in zip(first, ends)] for m, x in zip(MEMBERS, columns)}}
+
     return arrow_rows(each, schema)
 
 
+def _candidates(x: tuple, y: tuple, similarity: float) -> np.ndarray:
+    """Which pairs of members (content, root, n, at) may be similar: x the one with fewer shingles, by its shorter prefix."""
+    (cx, rx, nx, ix), (cy, ry, ny, iy) = x, y
+    share = similarity / (1 + similarity)
+    ok = (rx != ry) & (nx <= ny) & (nx >= _least(ny, similarity)) & (ix <= nx - _least(nx, 2 * share))
+    # the first shingle that both have: what comes after it bounds what they share
+    return ok & (np.minimum(nx - ix, ny - iy) >= _least(nx + ny, share))
+
+
+def _unique_pairs(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    both = np.stack([np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])], 1)
+    both = np.unique(np.sort(both, axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _blocks_of(similarity: float):
+    """Pairs of texts that share a shingle of their prefixes and are not linked yet. A shingle of many texts is given as pairs of
+    blocks (x, y: packed members), for tasks of their own."""
+    fields = [("a", pa.int64()), ("b", pa.int64()), ("x", pa.binary()), ("y", pa.binary())]
+
+    def row(a, b, x=None, y=None) -> pa.RecordBatch:
+        none = [None] * len(a)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip((a, b, [x] if x else none, [y] if y else none), fields)], schema=pa.schema(fields))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b"".join(b.column(m).to_pylist()) for m in MEMBERS] for b in batches if b.num_rows]
+        if not got:
+            return
+        token, content, root, n, at = (np.frombuffer(b"".join(x), k) for x, k in zip(zip(*got), KINDS))
+        got.clear()
+        order = np.argsort(token, kind="stable")
+        token, content, root, n, at = token[order], content[order], (root ^ content)[order], n[order].astype(np.int64), at[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.r_[first, len(token)])
+        members = (content, root, n, at)
+        for f, m in zip(first[size > BLOCK], size[size > BLOCK]):
+            if (root[f : f + m] == root[f]).all():
+                continue
+            parts = [np.stack([v[i : min(i + BLOCK, f + m)] for v in members]).astype(np.int64).tobytes() for i in range(f, f + m, BLOCK)]
+            for x in parts:
+                for y in parts:
+                    yield row([None], [None], x, y)
+        few = (size > 1) & (size <= BLOCK)
+        first, size = first[few], size[few]
+        # each member against all of its shingle's
+        who = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        low, m = np.repeat(first, size), np.repeat(size, size)
+        own = at[who] <= n[who] - _least(n[who], 2 * similarity / (1 + similarity))
+        who, low, m = who[own], low[own], m[own]
+        step = np.cumsum(m) // PAIRS
+        a, b = [], []
+        for k in np.unique(step):
+            w, lo, mm = who[step == k], low[step == k], m[step == k]
+            x, y = np.repeat(w, mm), np.arange(mm.sum()) - np.repeat(np.cumsum(mm) - mm - lo, mm)
+            ok = _candidates(tuple(v[x] for v in members), tuple(v[y] for v in members), similarity)
+            p, q = _unique_pairs([content[x[ok]]], [content[y[ok]]])
+            a.append(p)
+            b.append(q)
+        p, q = _unique_pairs(a, b)
+        for i in range(0, len(p), PAIRS):
+            yield row(p[i : i + PAIRS], q[i : i + PAIRS])
+
+    return each
+
+
+def _across(similarity: float):
+    """Pairs of two blocks."""
+
+    def each(c: dict) -> dict:
+        a, b = [], []
+        for x, y in zip(c["x"], c["y"]):
+            x, y = (np.frombuffer(v, np.int64).reshape(4, -1) for v in (x, y))
+            for i in range(0, x.shape[1], 200):
+                part = x[:, i : i + 200, None]
+                k, j = np.nonzero(_candidates(tuple(part), tuple(y[:, None, :]), similarity))
+                a.append(part[0, k, 0])
+                b.append(y[0, j])
+        p, q = _unique_pairs(a, b)
+        return {"a": p, "b": q}
+
+    return arrow_rows(each, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _pairs_left(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of contents of different roots that may have the similarity, by prefix filter. members: (content, root, n, prefix).
+
+    In one order of all shingles, rare ones first, two sets of that similarity share a shingle of the first 1 - similarity of the
+    larger and the first (1 - similarity) / (1 + similarity) of the smaller. Nothing depends on how many texts share it."""
+    spark = members.sparkSession
+    tasks = partitions(spark)
+    dealt = members.select("content", "root", "n", "prefix").mapInArrow(_dealt(tasks), MEMBERS_DDL)
+    found = stash(dealt.repartition(tasks, "bucket").mapInArrow(_blocks_of(similarity), "a long, b long, x binary, y binary"))
+    blocks = found.where("x is not null").select("x", "y").repartition(tasks)
+    return found.where("x is null").select("a", "b").unionAll(blocks.mapInArrow(_across(similarity), "a long, b long")).distinct()
+
+
 def _shingles(w: list[bytes], words: int, seed: int) -> np.ndarray:
     shingles = [] if not w else [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words))))
     return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
@@ -253,20 +409,30 @@ def _similar(least: float):
     return arrow_rows(each, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
+def _verified(rows: DataFrame, contents: DataFrame, pairs: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """The pairs (a, b) of contents whose shingles have the similarity."""
+    wanted = pairs.select(F.col("a").alias("content")).unionAll(pairs.select(F.col("b").alias("content"))).distinct()
+    keys = stash(contents.join(wanted, "content").select("content", F.col("first.key").alias("key")))
+    sets = rows.select("key", "text").join(keys, "key").select("content", "text").mapInArrow(_sets(words, seed), "content long, shingles binary")
+    sets = stash(sets.dropDuplicates(["content"]))
+    left, right = sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("content").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+
+
 def unique(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
     """docs, with all columns, one row of each group of near copies: that with the smallest doc_id (any with an id before none).
 
     Texts of the same words are one content. Contents link when their SimHash fingerprints differ in `radius` bits at most, or when
-    their word shingles have a Jaccard similarity of `similarity` or more. Within few bits lie only the closest copies, so for the
-    second kind a document has SAMPLES more fingerprints, each of SAMPLE shingles that are smallest by another hash; contents that
-    share one are compared with the content among them whose fingerprints are shared most, by all their shingles. Null, empty and
-    blank texts are one content.
+    their word shingles have a Jaccard similarity of `similarity` or more. Most of the second kind are found first, and cheaply: a
+    document has SAMPLES more fingerprints, each of SAMPLE shingles that are smallest by another hash; contents that share one are
+    compared with the content among them whose fingerprints are shared most. All pairs that are not linked by then are searched
+    by their rarest shingles (_pairs_left), so that none of the similarity is lost. Null, empty and blank texts are one content.
     """
     tune(docs.sparkSession)
     keyed = docs.withColumn("__rm_key", F.xxhash64("doc_id", "text"))
     rows = keyed.select(F.col("__rm_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ddl = "key long, doc_id long, content long, fp long, samples array<long>"
-    found = stash(rows.mapInArrow(_signatures(words, seed), ddl))
+    ddl = "key long, doc_id long, content long, fp long, samples array<long>, n int, prefix binary"
+    found = stash(rows.mapInArrow(_signatures(words, seed, similarity, *_frequent(rows, words, seed)), ddl))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     contents = stash(found.groupBy("content").agg(first, F.first("fp").alias("fp"), F.first("samples").alias("samples")))
     # fingerprints within the radius, by the content that stands for each
@@ -284,14 +450,16 @@ def unique(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int
     shared = stash(shared.join(central, "content").select("content", "sample", "weight"))
     lead = stash(shared.groupBy("sample").agg(F.max(F.struct("weight", "content")).alias("lead")).select("sample", F.col("lead.content").alias("lead")))
     pairs = stash(shared.join(lead, "sample").where("content <> lead").select(F.col("content").alias("a"), F.col("lead").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("content")).unionAll(pairs.select(F.col("b").alias("content"))).distinct()
-    keys = stash(contents.join(wanted, "content").select("content", F.col("first.key").alias("key")))
-    sets = rows.select("key", "text").join(keys, "key").select("content", "text").mapInArrow(_sets(words, seed), "content long, shingles binary")
-    sets = stash(sets.dropDuplicates(["content"]))
-    left, right = sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("content").alias("b"), F.col("shingles").alias("y"))
-    verified = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
-    roots = components(edges.unionAll(verified))
-    groups = contents.join(roots.withColumnRenamed("node", "content"), "content", "left").select("first", F.coalesce("root", "content").alias("root"))
+    linked = components(edges.unionAll(_verified(rows, contents, pairs, similarity, words, seed)))
+    groups = contents.join(linked.withColumnRenamed("node", "content"), "content", "left")
+    groups = stash(groups.select("content", "first", F.coalesce("root", "content").alias("root")))
+    # pairs that neither way has linked
+    members = found.select("key", "n", "prefix").join(groups.select(F.col("first.key").alias("key"), "content", "root"), "key")
+    more = _verified(rows, contents, stash(_pairs_left(members, similarity)), similarity, words, seed)
+    of = lambda x: groups.select(F.col("content").alias(x), F.col("root").alias(f"r{x}"))
+    more = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    last = components(more).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    groups = groups.join(last, "root", "left").select("first", F.coalesce("to", "root").alias("root"))
     keep = stash(groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__rm_key")))
     # rows that are equal in doc_id and text have one key
     kept = keyed.join(keep, "__rm_key", "left_semi")

@@ -85,3 +85,35 @@ def test_links_across_the_highest_bit():
     fps = np.array(sorted({*base, *[b ^ (1 << 63) ^ (1 << r.randrange(63)) for b in base]}), np.uint64)
     a, b = simhash._stars(fps, np.zeros(len(fps), np.int64), np.full(len(fps), 2), 4)
     assert len(a) == 200 and set((a ^ b).tolist()) and all(int(x).bit_count() == 2 for x in a ^ b)
+
+
+def test_no_similar_pair_is_lost_among_pages_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**9)}"
+    template = [word() for _ in range(164)]
+    pages = [template + [word() for _ in range(40)] for _ in range(500)]
+    pages += [template[:4] + [word() for _ in range(2)] + template for _ in range(120)]  # many texts by one rare shingle
+    pages += [p[:-22] + [word() for _ in range(22)] for p in pages[:100]]
+    rows = [(i, " ".join(p)) for i, p in enumerate(pages)]
+    sets = [{tuple(p[i : i + 5]) for i in range(len(p) - 4)} for p in pages]
+    fps = [simhash.fingerprint(t, 5) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    similar = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            alike = both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+            similar += alike
+            if alike or (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert similar >= 100
+    got = simhash.unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(x.doc_id for x in got) == [i for i in range(len(rows)) if find(i) == i]
