@@ -551,10 +551,10 @@ def parallel_analysis(spark, sf_dir):
 
 @query()
 def classifier_predict(spark, sf_dir):
-    from ratingmill.operators.classify import ClassifierOptions, TextClassifier
+    from ratingmill.operators.classify import TextClassifier
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"), F.when(F.col("lang") == "en", 1).otherwise(0).alias("label"))
-    return TextClassifier(options=ClassifierOptions(width=1 << 10, rounds=10)).train(d).predict(d).select("doc_id", "label", "prediction")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("lang") == "en", 1).otherwise(0).alias("label"))
+    return TextClassifier().train(d).predict(d).select("doc_id", "label", "prediction")
 
 
 def scratch(spark: SparkSession) -> str:

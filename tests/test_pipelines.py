@@ -151,3 +151,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_classifier_query_reads_whole_texts(spark, tmp_path):
+    start = "same words " * 60
+    rows = [(i, start + ("the house" if i % 2 else "das Haus"), "en" if i % 2 else "de") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.classifier_predict(spark, str(tmp_path)).collect()
+    assert len(got) == 40 and all(r.prediction == r.label for r in got)
