@@ -370,10 +370,10 @@ def gt_accuracy(spark, sf_dir):
 BIASED = f"b AS (SELECT model, system_prompt, c_custkey AS persona_id, item_id AS prompt_id, CASE WHEN {h('model', 'system_prompt', 'c_custkey', 'item_id')}%50=0 THEN NULL ELSE {score('model', 'system_prompt', 'c_custkey', 'item_id')} END AS score FROM benchmark CROSS JOIN (SELECT c_custkey FROM customer WHERE c_nationkey=3) CROSS JOIN (VALUES ('m1'),('m2')) m(model) CROSS JOIN (VALUES ('plain'),('kind')) s(system_prompt))"
 
 
-def biased(spark, sf_dir) -> DataFrame:
-    """Scores of each run's answers by each persona: customers of one nation stand in."""
+def biased(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """Scores of each run's answers by each persona: all customers if whole, else those of one nation, as in BIASED."""
     runs = expand.by_run(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id")), ["m1", "m2"], ["plain", "kind"])
-    personas = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("persona_id"))
+    personas = table(spark, sf_dir, "customer").where(F.lit(whole) | (F.col("c_nationkey") == 3)).select(F.col("c_custkey").alias("persona_id"))
     df = runs.crossJoin(personas)
     key = [F.col(c) for c in ("model", "system_prompt", "persona_id", "prompt_id")]
     return df.withColumn("score", F.when(draw(50, *key) != 0, surrogate_score(*key)))
@@ -387,7 +387,7 @@ def persona_bias(spark, sf_dir):
 
 @query()
 def persona_bias_ci(spark, sf_dir):
-    return stats.mean_ci95(biased(spark, sf_dir), ["model", "system_prompt", "persona_id"], "score")
+    return stats.mean_ci95(biased(spark, sf_dir, whole=True), ["model", "system_prompt", "persona_id"], "score")
 
 
 @query(f"WITH {BIASED} SELECT 'P'||lpad(persona_id::VARCHAR, greatest(2, length(persona_id::VARCHAR))::INT, '0') AS persona, round(avg(score) FILTER (model='m1' AND system_prompt='plain'),6) AS m1_plain, round(avg(score) FILTER (model='m1' AND system_prompt='kind'),6) AS m1_kind, round(avg(score) FILTER (model='m2' AND system_prompt='plain'),6) AS m2_plain, round(avg(score) FILTER (model='m2' AND system_prompt='kind'),6) AS m2_kind FROM b GROUP BY persona_id")

@@ -159,3 +159,10 @@ def test_classifier_query_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.classifier_predict(spark, str(tmp_path)).collect()
     assert len(got) == 40 and all(r.prediction == r.label for r in got)
+
+
+def test_persona_bias_ci_has_all_personas(spark, tmp_path):
+    spark.range(30).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(20).selectExpr("id AS item_id", "'x' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalog.persona_bias_ci(spark, str(tmp_path)).collect()
+    assert {r.persona_id for r in got} == set(range(30)) and len(got) == 30 * 4
