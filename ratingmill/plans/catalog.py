@@ -531,22 +531,25 @@ def ratings_retry(spark, sf_dir):
     return scoring.retried(attempt, keep, scoring.JudgeOptions(retries=3, default=5.0))(table(spark, sf_dir, "benchmark").select("item_id"))
 
 
+def embedded(spark, sf_dir) -> DataFrame:
+    """Embeddings as a rating matrix: all components are attributes."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_ord"), F.posexplode("embedding").alias("attr_ord", "score"))
+    return e.withColumns({"attribute": F.format_string("d%02d", "attr_ord"), "score": F.col("score").cast("double")})
+
+
 @query()
 def varimax_components(spark, sf_dir):
-    from pyspark.sql.functions import posexplode
-
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_ord"), posexplode("embedding").alias("attr_ord", "score"))
-    e = e.where("attr_ord < 12").withColumns({"attribute": F.format_string("d%02d", "attr_ord"), "score": F.col("score").cast("double")})
+    e = embedded(spark, sf_dir)
     r, attributes = factors.matrix(factors.correlations(e))
-    return factors.components(spark, r, {a: f"d{a:02d}" for a in attributes}, attributes, [2, 4])
+    k95, _ = factors.parallel_analysis(spark, factors.spectrum(r)[0], e.select("conv_ord").distinct().count())
+    return factors.components(spark, r, {a: f"d{a:02d}" for a in attributes}, attributes, factors.schedule(k95))
 
 
 @query()
 def parallel_analysis(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_ord"), F.posexplode("embedding").alias("attr_ord", "score"))
-    e = e.where("attr_ord < 12").withColumns({"attribute": F.format_string("d%02d", "attr_ord"), "score": F.col("score").cast("double")})
+    e = embedded(spark, sf_dir)
     r, _ = factors.matrix(factors.correlations(e))
-    return factors.parallel_analysis(spark, factors.spectrum(r)[0], e.select("conv_ord").distinct().count(), 20)[1]
+    return factors.parallel_analysis(spark, factors.spectrum(r)[0], e.select("conv_ord").distinct().count())[1]
 
 
 @query()

@@ -166,3 +166,14 @@ def test_persona_bias_ci_has_all_personas(spark, tmp_path):
     spark.range(20).selectExpr("id AS item_id", "'x' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = catalog.persona_bias_ci(spark, str(tmp_path)).collect()
     assert {r.persona_id for r in got} == set(range(30)) and len(got) == 30 * 4
+
+
+def test_factor_queries_take_all_components(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 16)) + np.repeat(rng.normal(size=(300, 4)), 4, axis=1) * 2
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r["rank"] for r in catalog.parallel_analysis(spark, str(tmp_path)).collect()} == set(range(16))
+    got = catalog.varimax_components(spark, str(tmp_path)).collect()
+    assert {r.attr_ord for r in got} == set(range(16)) and {r.k for r in got} == {2, 4}
