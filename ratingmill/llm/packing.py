@@ -3,14 +3,16 @@
 Documents are tokenised once and cut into pieces of at most `size` tokens. Only (piece, length) go on. A round deals the items
 (pieces at first, underfull bins later) out to groups, packs each group best-fit with the longest first, and emits the bins whose
 residual is at most `slack`; the underfull bins go to the next round as items of their filled length, in fewer groups, with a
-larger slack. Items are dealt out by a hash of their number, so all groups of a round see like mixtures of lengths. The tree ends when all that is left fits one group of `group_rows` items, which is packed and emitted whole. No group ever has more
-than `group_rows` items, so a task's memory is bounded for any input, and the number of items shrinks from round to round.
+larger slack. Items are dealt out by a hash of their number, so all groups of a round see like mixtures of lengths. The tree ends
+when all that is left fits one group of `group_rows` items, which is packed and emitted whole. No group ever has more than
+`group_rows` items, so a task's memory is bounded for any input, and the number of items shrinks from round to round.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import struct
 import zlib
@@ -31,13 +33,13 @@ REMEMBER = 300_000
 
 
 class _Words(dict):
-    """The ids of a word as little-endian 32-bit numbers, remembered up to a bound."""
+    """The ids of a word, with what stands before it, as little-endian 32-bit numbers; remembered up to a bound."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, before: str):
+        self.encode, self.before = encode, before
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        ids = self.encode(self.before + word)
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < REMEMBER:
             self[word] = out
@@ -45,33 +47,41 @@ class _Words(dict):
 
 
 @lru_cache(maxsize=2)
-def tokenizer(ranks_path: str):
-    """text -> its ids as bytes, as the byte-level BPE of tokenizers makes them, special tokens' strings being ordinary text.
+def tokenizer(path: str):
+    """text -> its ids as bytes, as the tokenizer of a byte-level BPE file (JSON) makes them, without adding special tokens.
 
-    The pattern never joins what stands before a single space to what stands after it, so a text without two white-space
-    characters in a row is encoded word by word, each with the space before it.
+    Ranks of the same name (.tiktoken) lie beside the file. The pattern never joins what stands before a single space to what
+    stands after it, so a text without two white-space characters in a row is encoded word by word, each with the space before it.
+    A text that holds the string of a special token goes to the tokenizer itself, which gives that string its own id.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(ranks_path, "rb") as f:
+    whole = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        special = [x["content"] for x in json.load(f)["added_tokens"]]
+    with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    words, run = _Words(encode), re.compile(r"\s\s|^\s|\s$")
+    first_words, words, run = _Words(encode, ""), _Words(encode, " "), re.compile(r"\s\s|^\s|\s$")
 
     def ids(text: str) -> bytes:
+        if any(x in text for x in special):
+            x = whole.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(x)}I", *x)
         if run.search(text):
             x = encode(text)
             return struct.pack(f"<{len(x)}I", *x)
         first, *rest = text.split(" ")
-        return b"".join([words[first] if first else b"", *[words[" " + w] for w in rest]])
+        return (first_words[first] if first else b"") + b"".join(map(words.__getitem__, rest))
 
     return ids
 
 
-def pieces(docs: DataFrame, size: int = 2048, ranks_path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, size: int = 2048, tokenizer_path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document, its end id 0 included; the first piece takes the remainder."""
     tune(docs.sparkSession)
-    path = ranks_path or public_tokenizers.path(f"{VOCABULARY}.tiktoken")
+    path = tokenizer_path or public_tokenizers.path(f"{VOCABULARY}.json")
 
     def each(c: dict) -> dict:
         ids, out = tokenizer(path), {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
@@ -167,14 +177,14 @@ def pack(items: DataFrame, size: int = 2048, group_rows: int = 40_000, slack: in
     return out
 
 
-def pack_documents(docs: DataFrame, size: int = 2048, group_rows: int = 40_000, slack: int = 8, ranks_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = 2048, group_rows: int = 40_000, slack: int = 8, tokenizer_path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
     A null or empty text is the end id alone. Rows with the same doc_id, or none, are packed each. Full pieces are sequences of
     their own. Other columns of docs are not looked at; an empty table gives no row.
     """
     # a row's number within its partition is fixed by the table written here, not by the order in which a later job reads it
-    found = stash(pieces(docs, size, ranks_path).withColumn("item", F.monotonically_increasing_id()))
+    found = stash(pieces(docs, size, tokenizer_path).withColumn("item", F.monotonically_increasing_id()))
     full = found.where(F.col("length") == size).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = pack(found.where(F.col("length") < size).select("item", "length"), size, group_rows, slack)
     placed = full.unionAll(short)
