@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +28,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs in this process, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None)
         if found is None:
             found = shared_dir.own = tempfile.mkdtemp(prefix="ratingmill-")
@@ -77,6 +80,18 @@ def arrow_rows(f: Callable[[dict[str, list]], dict[str, object]], schema: pa.Sch
     return each
 
 
+def pack(a: np.ndarray) -> bytes:
+    """A number array, its bytes plane by plane, compressed."""
+    a = np.ascontiguousarray(a)
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else a.view(np.uint8)
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def unpack(b: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest index that each of n nodes is linked to through the edges (a, b); pointer jumping, no recursion."""
     root = np.arange(n, dtype=np.int64)

@@ -11,6 +11,7 @@ their own, so a hot shard is neither capped nor held by one task.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.llm.common import arrow_rows, components, cut, local_roots, partitions, stash, tune
+from ratingmill.llm.blocks import MOST_ROWS, Blocks, block_of, places, rows_of
+from ratingmill.llm.common import arrow_rows, components, cut, local_roots, pack, partitions, stash, tune, unpack
 
 BITS = 64
 #: Pairs of query and tree node that a search holds at once.
@@ -198,44 +200,59 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
 
 #: Samples of a document's shingles, and shingles in each: two texts of similarity 0.8 share a whole sample with 0.997.
 SAMPLES, SAMPLE = 8, 3
-
-
 #: Documents whose shingles are counted for the order of shingles, at least, and the share of all that is; frequent shingles ranked at most.
 ORDER_ROWS, ORDER_SHARE, ORDER_MOST = 8000, 64, 1_000_000
-#: Pairs that a task makes at once, and members of a block of a shingle that many texts have.
-PAIRS, BLOCK = 2_000_000, 2000
+#: Pairs that a task makes at once, and members of a part of a shingle that many texts have.
+PAIRS, PART = 2_000_000, 2000
 
 
-def _frequent(rows: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, sorted, that occur in three or more of a sample of texts, and in how many. They only order shingles: any order loses no pair."""
-    share = min(ORDER_SHARE, max(1, rows.count() // ORDER_ROWS))
+def _shingles(w: list[bytes], words: int, seed: int) -> np.ndarray:
+    shingles = [] if not w else [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words))))
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
 
-    def each(c: dict) -> dict:
-        h = [np.unique(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), words, seed)) for t in c["text"]]
-        token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True)
-        return {"token": token.view(np.int64), "n": n}
 
-    some = rows.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(share)) == 0).select("text")
-    count = some.mapInArrow(arrow_rows(each, pa.schema([("token", pa.int64()), ("n", pa.int64())])), "token long, n long")
-    most = count.groupBy("token").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(ORDER_MOST).toPandas()
-    token = most["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], most["n"].to_numpy(np.int32)[order]
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _least(n, share: float):
-    """The smallest whole number that is at least share * n, or one less where rounding is in doubt."""
-    return np.ceil(np.asarray(n) * share - 1e-6).astype(np.int64)
+class Sets:
+    """The distinct shingles of texts, in numpy, for the steps that run beside the blocks."""
 
+    def __init__(self, words: int, seed: int, similarity: float):
+        self.words, self.seed, self.similarity = words, seed, similarity
 
-def _signatures(words: int, seed: int, similarity: float, token: np.ndarray, often: np.ndarray):
-    odd = np.random.default_rng(seed).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    def of(self, text: str | None) -> np.ndarray:
+        return np.unique(_shingles(_words(text), self.words, self.seed))
 
-    def each(c: dict) -> dict:
-        out = {"key": c["key"], "doc_id": c["doc_id"], "content": [], "fp": [], "samples": [], "n": [], "prefix": []}
-        for text in c["text"]:
-            w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            every = _shingles(w, words, seed)
+    def least(self, n, share: float):
+        """The smallest whole number that is at least share * n, or one less where rounding is in doubt."""
+        return np.ceil(np.asarray(n) * share - 1e-6).astype(np.int64)
+
+    def alike(self, x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= self.similarity * (len(x) + len(y) - both) - 1e-9
+
+    def maybe(self, x: tuple, y: tuple) -> np.ndarray:
+        """Which pairs of members (node, root, n, at) may be similar: x the one with fewer shingles, by its shorter prefix."""
+        (_, rx, nx, ix), (_, ry, ny, iy) = x, y
+        share = self.similarity / (1 + self.similarity)
+        ok = (rx != ry) & (nx <= ny) & (nx >= self.least(ny, self.similarity)) & (ix <= nx - self.least(nx, 2 * share))
+        # the first shingle that both have: what comes after it bounds what they share
+        return ok & (np.minimum(nx - ix, ny - iy) >= self.least(nx + ny, share))
+
+
+SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("samples", pa.list_(pa.int64()))])
+
+
+def _signed_rows(sets: Sets):
+    """For each row its content (128 bits of a hash of its words), fingerprint, number of distinct shingles, and samples of them."""
+    odd = np.random.default_rng(sets.seed).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def each(block: int, t: pa.Table) -> pa.Table:
+        out = {"c1": [], "c2": [], "fp": [], "n": [], "samples": []}
+        for text in t.column("text").to_pylist():
+            w = _words(text)
+            every = _shingles(w, sets.words, sets.seed)
             h = np.unique(every)
             samples = [0] * SAMPLES
             if len(h):
@@ -245,54 +262,108 @@ def _signatures(words: int, seed: int, similarity: float, token: np.ndarray, oft
                     low = h[np.argpartition(x, SAMPLE - 1)[:SAMPLE]] if len(h) > SAMPLE else h
                     # the fingerprint of three shingles: the bits that most of them have
                     samples[k] = int((low[0] & low[1]) | (low[0] & low[2]) | (low[1] & low[2])) if len(low) == 3 else int(np.bitwise_xor.reduce(low))
-            out["content"].append(_signed(xxhash.xxh64_intdigest(b" ".join(w), seed + 1)))
+            content = xxhash.xxh3_128_intdigest(b" ".join(w), sets.seed)
+            out["c1"].append(_signed(content >> 64))
+            out["c2"].append(_signed(content & ((1 << 64) - 1)))
             out["fp"].append(_signed(of_hashes(every)))
-            out["samples"].append([_signed(s) for s in samples])
-            rank = np.zeros(len(h), np.int32)
-            if len(token):
-                at = np.minimum(np.searchsorted(token, h), len(token) - 1)
-                rank = np.where(token[at] == h, often[at], 0)
-            rarest = h[np.argsort(rank, kind="stable")]
             out["n"].append(len(h))
-            out["prefix"].append(rarest[: len(h) - int(_least(len(h), similarity)) + 1].tobytes())
-        return out
+            out["samples"].append(sorted({_signed(s) for s in samples}))
+        ids = t.column("doc_id").cast(pa.int64())
+        return pa.Table.from_arrays([pa.array(rows_of(block, t)), ids, *[pa.array(v, SIGNED.field(k).type) for k, v in out.items()]], schema=SIGNED)
 
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("fp", pa.int64()), ("samples", pa.list_(pa.int64())), ("n", pa.int32()), ("prefix", pa.binary())])
-    return arrow_rows(each, schema)
+    return each
 
 
-MEMBERS = ("token", "content", "root", "n", "at")
-KINDS = (np.uint64, np.int64, np.int64, np.uint32, np.uint32)
-MEMBERS_DDL = "bucket int, token binary, content binary, root binary, n binary, at binary"
+def _verified(blocks: Blocks, pairs: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs (a, b) of rows whose shingles have the similarity. The shingles of each b go once to each block that asks for
+    them; those of a are made where its text lies."""
+    schema = pa.schema([("row", pa.int64()), ("shingles", pa.binary())])
 
+    def give(block: int, t: pa.Table, wanted: pa.Table) -> pa.Table:
+        rows = np.unique(wanted.column("row").to_numpy())
+        found = [pack(np.diff(sets.of(x), prepend=np.uint64(0))) for x in t.column("text").take(pa.array(places(rows))).to_pylist()]
+        return pa.Table.from_arrays([pa.array(rows), pa.array(found, pa.binary())], schema=schema)
 
-def _dealt(buckets: int):
-    """Prefixes dealt out by shingle: a row for each bucket, its members packed. root is packed as its difference from content."""
-    schema = pa.schema([("bucket", pa.int32()), *[(m, pa.binary()) for m in MEMBERS]])
+    wanted = pairs.select(F.col("b").alias("row")).distinct()
+    given = stash(blocks.join(wanted.select(block_of("row").alias("block"), "row"), give, schema))
+    asked = pairs.select(block_of("a").alias("block"), F.col("b").alias("row")).distinct().join(given, "row")
+    told = asked.select("block", F.lit(None).cast("long").alias("a"), F.col("row").alias("b"), "shingles")
+    messages = pairs.select(block_of("a").alias("block"), "a", "b", F.lit(None).cast("binary").alias("shingles")).unionAll(told)
 
-    def each(c: dict) -> dict:
-        prefix = [np.frombuffer(x, np.uint64) for x in c["prefix"]]
-        size = np.array([len(x) for x in prefix], np.int64)
-        content, root = np.array(c["content"], np.int64), np.array(c["root"], np.int64)
-        token = np.concatenate([np.zeros(0, np.uint64), *prefix])
-        at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-        bucket = (token % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        columns = [x[order].astype(k) for x, k in zip((token, *[np.repeat(x, size) for x in (content, root ^ content, np.array(c["n"], np.int64))], at), KINDS)]
-        names, first = np.unique(bucket[order], return_index=True)
-        ends = [*first[1:], len(order)]
-        return {"bucket": names, **{m: [x[a:b].tobytes() for a, b in zip(first, ends)] for m, x in zip(MEMBERS, columns)}}
+    def compare(block: int, t: pa.Table, m: pa.Table) -> pa.Table:
+        sent, text = {}, t.column("text")
+        todo = defaultdict(list)
+        for a, b, s in zip(*(m.column(c).to_pylist() for c in ("a", "b", "shingles"))):
+            if a is None:
+                sent[b] = s
+            else:
+                todo[a].append(b)
+        out = []
+        for a, others in todo.items():
+            own = sets.of(text[a & (MOST_ROWS - 1)].as_py())
+            out += [(a, b) for b in others if sets.alike(own, np.cumsum(unpack(sent[b], np.uint64), dtype=np.uint64))]
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=EDGES)
+
+    return blocks.join(messages, compare, EDGES)
 
-    return arrow_rows(each, schema)
 
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def _candidates(x: tuple, y: tuple, similarity: float) -> np.ndarray:
-    """Which pairs of members (content, root, n, at) may be similar: x the one with fewer shingles, by its shorter prefix."""
-    (cx, rx, nx, ix), (cy, ry, ny, iy) = x, y
-    share = similarity / (1 + similarity)
-    ok = (rx != ry) & (nx <= ny) & (nx >= _least(ny, similarity)) & (ix <= nx - _least(nx, 2 * share))
-    # the first shingle that both have: what comes after it bounds what they share
-    return ok & (np.minimum(nx - ix, ny - iy) >= _least(nx + ny, share))
+
+def _frequent(blocks: Blocks, rows: int, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that occur in three or more of a sample of texts, and in how many. They only order shingles: any order loses no pair."""
+    share = min(ORDER_SHARE, max(1, rows // ORDER_ROWS))
+    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+
+    def each(block: int, t: pa.Table) -> pa.Table:
+        x = rows_of(block, t).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        some = np.flatnonzero((x >> np.uint64(33)) % np.uint64(share) == 0)
+        h = [sets.of(v) for v in t.column("text").take(pa.array(some)).to_pylist()]
+        token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True)
+        return pa.Table.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], schema=schema)
+
+    count = blocks.map(each, schema).groupBy("token").agg(F.sum("n").alias("n")).where("n > 2")
+    most = count.orderBy(F.desc("n"), "token").limit(ORDER_MOST).toPandas()
+    token = most["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], most["n"].to_numpy(np.int32)[order]
+
+
+MEMBERS = {"token": np.uint64, "node": np.int64, "root": np.int64, "n": np.int64, "at": np.int64}
+DEALT = pa.schema([("bucket", pa.int32()), *[(m, pa.binary()) for m in MEMBERS]])
+
+
+def _dealt(buckets: int, sets: Sets, token: np.ndarray, often: np.ndarray):
+    """Prefixes of the sets of contents, dealt out by shingle: a row for each bucket, its members packed (root as its difference from
+    node). A shingle goes as 40 bits of it: one more that is taken for it is one more pair to verify."""
+
+    def each(block: int, t: pa.Table, m: pa.Table) -> pa.Table:
+        node, root = m.column("row").to_numpy(), m.column("root").to_numpy()
+        prefix, size = [np.zeros(0, np.uint64)], []
+        for text in t.column("text").take(pa.array(places(node))).to_pylist():
+            h = sets.of(text)
+            rank = np.zeros(len(h), np.int32)
+            if len(token):
+                at = np.minimum(np.searchsorted(token, h), len(token) - 1)
+                rank = np.where(token[at] == h, often[at], 0)
+            rarest = h[np.argsort(rank, kind="stable")]
+            size.append(len(h))
+            prefix.append(rarest[: len(h) - int(sets.least(len(h), sets.similarity)) + 1] & np.uint64((1 << 40) - 1))
+        taken = np.array([len(x) for x in prefix[1:]], np.int64)
+        token_ = np.concatenate(prefix)
+        at = np.arange(len(token_)) - np.repeat(np.cumsum(taken) - taken, taken)
+        bucket = (token_ % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((token_, bucket))
+        token_ = token_[order]
+        columns = [np.repeat(x, taken)[order] for x in (node, root ^ node, np.array(size, np.int64))]
+        names, first = np.unique(bucket[order], return_index=True)
+        ends = [*first[1:], len(order)]
+        steps = [np.diff(token_[a:b], prepend=np.uint64(0)) for a, b in zip(first, ends)]
+        packed = [[pack(x) for x in steps], *[[pack(x[a:b].astype(k)) for a, b in zip(first, ends)] for x, k in zip((*columns, at[order]), (np.int64,) * 4)]]
+        return pa.Table.from_arrays([pa.array(names), *[pa.array(x, pa.binary()) for x in packed]], schema=DEALT)
+
+    return each
 
 
 def _unique_pairs(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
@@ -301,47 +372,55 @@ def _unique_pairs(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _blocks_of(similarity: float):
-    """Pairs of texts that share a shingle of their prefixes and are not linked yet. A shingle of many texts is given as pairs of
-    blocks (x, y: packed members), for tasks of their own."""
-    fields = [("a", pa.int64()), ("b", pa.int64()), ("x", pa.binary()), ("y", pa.binary())]
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+
+
+def _pairs_of(sets: Sets):
+    """Pairs of contents that share a shingle of their prefixes and are not linked yet. A shingle of many texts is given as pairs of
+    parts (x, y: packed members), for tasks of their own; parts whose members are all linked, or differ too much in size, are not."""
 
     def row(a, b, x=None, y=None) -> pa.RecordBatch:
         none = [None] * len(a)
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip((a, b, [x] if x else none, [y] if y else none), fields)], schema=pa.schema(fields))
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((a, b, [x] if x else none, [y] if y else none), FOUND)], schema=FOUND)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b"".join(b.column(m).to_pylist()) for m in MEMBERS] for b in batches if b.num_rows]
+        got = [b for b in batches if b.num_rows]
         if not got:
             return
-        token, content, root, n, at = (np.frombuffer(b"".join(x), k) for x, k in zip(zip(*got), KINDS))
+        columns = [np.concatenate([unpack(x, k) if m != "token" else np.cumsum(unpack(x, k), dtype=k) for b in got for x in b.column(m).to_pylist()]) for m, k in MEMBERS.items()]
         got.clear()
-        order = np.argsort(token, kind="stable")
-        token, content, root, n, at = token[order], content[order], (root ^ content)[order], n[order].astype(np.int64), at[order].astype(np.int64)
+        order = np.argsort(columns[0], kind="stable")
+        token, node, root, n, at = (x[order] for x in columns)
+        members = (node, root ^ node, n, at)
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[first, len(token)])
-        members = (content, root, n, at)
-        for f, m in zip(first[size > BLOCK], size[size > BLOCK]):
-            if (root[f : f + m] == root[f]).all():
-                continue
-            parts = [np.stack([v[i : min(i + BLOCK, f + m)] for v in members]).astype(np.int64).tobytes() for i in range(f, f + m, BLOCK)]
-            for x in parts:
-                for y in parts:
-                    yield row([None], [None], x, y)
-        few = (size > 1) & (size <= BLOCK)
+        apart = np.minimum.reduceat(members[1], first) != np.maximum.reduceat(members[1], first)
+        for f, m in zip(first[apart & (size > PART)], size[apart & (size > PART)]):
+            own = [v[f : f + m] for v in members]
+            names, many = np.unique(own[1], return_counts=True)
+            order = np.lexsort((own[2], own[1] == names[many.argmax()]))
+            own = [v[order] for v in own]
+            parts = [np.stack([v[i : i + PART] for v in own]) for i in range(0, m, PART)]
+            for i, x in enumerate(parts):
+                for y in parts[i:]:
+                    linked = (x[1] == x[1][0]).all() and (y[1] == x[1][0]).all()
+                    if not linked and sets.least(max(x[2].min(), y[2].min()), sets.similarity) <= min(x[2].max(), y[2].max()):
+                        yield row([None], [None], x.tobytes(), y.tobytes())
+        few = apart & (size > 1) & (size <= PART)
         first, size = first[few], size[few]
         # each member against all of its shingle's
         who = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         low, m = np.repeat(first, size), np.repeat(size, size)
-        own = at[who] <= n[who] - _least(n[who], 2 * similarity / (1 + similarity))
+        own = at[who] <= n[who] - sets.least(n[who], 2 * sets.similarity / (1 + sets.similarity))
         who, low, m = who[own], low[own], m[own]
         step = np.cumsum(m) // PAIRS
+        cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.zeros(0, np.int64)
         a, b = [], []
-        for k in np.unique(step):
-            w, lo, mm = who[step == k], low[step == k], m[step == k]
+        for i, j in zip(cuts, [*cuts[1:], len(step)]):
+            w, lo, mm = who[i:j], low[i:j], m[i:j]
             x, y = np.repeat(w, mm), np.arange(mm.sum()) - np.repeat(np.cumsum(mm) - mm - lo, mm)
-            ok = _candidates(tuple(v[x] for v in members), tuple(v[y] for v in members), similarity)
-            p, q = _unique_pairs([content[x[ok]]], [content[y[ok]]])
+            ok = sets.maybe(tuple(v[x] for v in members), tuple(v[y] for v in members))
+            p, q = _unique_pairs([node[x[ok]]], [node[y[ok]]])
             a.append(p)
             b.append(q)
         p, q = _unique_pairs(a, b)
@@ -351,117 +430,80 @@ def _blocks_of(similarity: float):
     return each
 
 
-def _across(similarity: float):
-    """Pairs of two blocks."""
+def _across(sets: Sets):
+    """Pairs of two parts."""
 
     def each(c: dict) -> dict:
         a, b = [], []
         for x, y in zip(c["x"], c["y"]):
             x, y = (np.frombuffer(v, np.int64).reshape(4, -1) for v in (x, y))
-            for i in range(0, x.shape[1], 200):
-                part = x[:, i : i + 200, None]
-                k, j = np.nonzero(_candidates(tuple(part), tuple(y[:, None, :]), similarity))
-                a.append(part[0, k, 0])
-                b.append(y[0, j])
+            for u, v in ((x, y), (y, x)):
+                for i in range(0, u.shape[1], 200):
+                    part = u[:, i : i + 200, None]
+                    k, j = np.nonzero(sets.maybe(tuple(part), tuple(v[:, None, :])))
+                    a.append(part[0, k, 0])
+                    b.append(v[0, j])
         p, q = _unique_pairs(a, b)
         return {"a": p, "b": q}
 
-    return arrow_rows(each, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    return arrow_rows(each, EDGES)
 
 
-def _pairs_left(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every pair of contents of different roots that may have the similarity, by prefix filter. members: (content, root, n, prefix).
+def _pairs_left(blocks: Blocks, contents: DataFrame, rows: int, sets: Sets) -> DataFrame:
+    """(a, b): every pair of contents (row, root) of different roots that may have the similarity, by prefix filter.
 
     In one order of all shingles, rare ones first, two sets of that similarity share a shingle of the first 1 - similarity of the
     larger and the first (1 - similarity) / (1 + similarity) of the smaller. Nothing depends on how many texts share it."""
-    spark = members.sparkSession
-    tasks = partitions(spark)
-    dealt = members.select("content", "root", "n", "prefix").mapInArrow(_dealt(tasks), MEMBERS_DDL)
-    found = stash(dealt.repartition(tasks, "bucket").mapInArrow(_blocks_of(similarity), "a long, b long, x binary, y binary"))
-    blocks = found.where("x is not null").select("x", "y").repartition(tasks)
-    return found.where("x is null").select("a", "b").unionAll(blocks.mapInArrow(_across(similarity), "a long, b long")).distinct()
-
-
-def _shingles(w: list[bytes], words: int, seed: int) -> np.ndarray:
-    shingles = [] if not w else [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words))))
-    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
-
-
-def _sets(words: int, seed: int):
-    def each(c: dict) -> dict:
-        sets = [np.unique(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), words, seed) >> np.uint64(32)).astype(np.uint32) for t in c["text"]]
-        return {"content": c["content"], "shingles": [s.tobytes() for s in sets]}
-
-    return arrow_rows(each, pa.schema([("content", pa.int64()), ("shingles", pa.binary())]))
-
-
-def _similar(least: float):
-    def each(c: dict) -> dict:
-        out = {"a": [], "b": []}
-        for a, b, x, y in zip(c["a"], c["b"], c["x"], c["y"]):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= least * (len(x) + len(y) - both):
-                out["a"].append(a)
-                out["b"].append(b)
-        return out
-
-    return arrow_rows(each, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-
-def _verified(rows: DataFrame, contents: DataFrame, pairs: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
-    """The pairs (a, b) of contents whose shingles have the similarity."""
-    wanted = pairs.select(F.col("a").alias("content")).unionAll(pairs.select(F.col("b").alias("content"))).distinct()
-    keys = stash(contents.join(wanted, "content").select("content", F.col("first.key").alias("key")))
-    sets = rows.select("key", "text").join(keys, "key").select("content", "text").mapInArrow(_sets(words, seed), "content long, shingles binary")
-    sets = stash(sets.dropDuplicates(["content"]))
-    left, right = sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("content").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+    tasks = partitions(blocks.spark)
+    sent = blocks.join(contents.select(block_of("row").alias("block"), "row", "root"), _dealt(tasks, sets, *_frequent(blocks, rows, sets)), DEALT)
+    found = stash(sent.repartition(tasks, "bucket").mapInArrow(_pairs_of(sets), "a long, b long, x binary, y binary"))
+    parts = found.where("x is not null").select("x", "y").repartition(tasks)
+    return found.where("x is null").select("a", "b").unionAll(parts.mapInArrow(_across(sets), "a long, b long")).distinct()
 
 
 def unique(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
     """docs, with all columns, one row of each group of near copies: that with the smallest doc_id (any with an id before none).
 
-    Texts of the same words are one content. Contents link when their SimHash fingerprints differ in `radius` bits at most, or when
-    their word shingles have a Jaccard similarity of `similarity` or more. Most of the second kind are found first, and cheaply: a
-    document has SAMPLES more fingerprints, each of SAMPLE shingles that are smallest by another hash; contents that share one are
-    compared with the content among them whose fingerprints are shared most. All pairs that are not linked by then are searched
-    by their rarest shingles (_pairs_left), so that none of the similarity is lost. Null, empty and blank texts are one content.
+    Texts of the same words are one content. Contents link when their SimHash fingerprints differ in `radius` bits at most (BK-trees,
+    links), or when their word shingles have a Jaccard similarity of `similarity` or more. Most of the second kind are found first,
+    and cheaply: a document has SAMPLES more fingerprints, each of SAMPLE shingles that are smallest by another hash; contents that
+    share one are compared with the content among them whose fingerprints are shared most. All pairs that are not linked by then are
+    searched by their rarest shingles (_pairs_left), so that none of the similarity is lost.
+
+    Texts are written once, in blocks; what is shuffled are row numbers, hashes, and the shingles of some texts. Null, empty and blank
+    texts are one content. Rows that are equal are told apart by their place. An empty table gives no row; other columns are kept as
+    they are, whatever their names.
     """
-    tune(docs.sparkSession)
-    keyed = docs.withColumn("__rm_key", F.xxhash64("doc_id", "text"))
-    rows = keyed.select(F.col("__rm_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ddl = "key long, doc_id long, content long, fp long, samples array<long>, n int, prefix binary"
-    found = stash(rows.mapInArrow(_signatures(words, seed, similarity, *_frequent(rows, words, seed)), ddl))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    contents = stash(found.groupBy("content").agg(first, F.first("fp").alias("fp"), F.first("samples").alias("samples")))
+    sets = Sets(words, seed, similarity)
+    blocks = Blocks(docs)
+    found = stash(blocks.map(_signed_rows(sets), SIGNED))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    contents = found.groupBy("c1", "c2").agg(first, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("samples").alias("samples"))
+    contents = stash(contents.select(F.col("first.row").alias("row"), "first", "fp", "n", "samples"))
     # fingerprints within the radius, by the content that stands for each
-    named = contents.groupBy("fp").agg(F.min("content").alias("content"))
+    named = contents.groupBy("fp").agg(F.min("row").alias("row"))
     near = links(contents.select("fp").distinct(), radius)
-    to = lambda x: named.select(F.col("fp").alias(x), F.col("content").alias(f"c{x}"))
+    to = lambda x: named.select(F.col("fp").alias(x), F.col("row").alias(f"c{x}"))
     edges = near.join(to("a"), "a").join(to("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    same = contents.join(named.withColumnRenamed("content", "other"), "fp").where("content <> other")
-    edges = edges.unionAll(same.select(F.col("content").alias("a"), F.col("other").alias("b")))
+    same = contents.select("fp", "row").join(named.withColumnRenamed("row", "other"), "fp").where("row <> other")
+    edges = edges.unionAll(same.select(F.col("row").alias("a"), F.col("other").alias("b")))
     # contents that share a sample, with the most central of them
-    shared = contents.select("content", F.explode(F.array_distinct("samples")).alias("sample"))
-    size = stash(shared.groupBy("sample").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = contents.select("row", "n", F.explode("samples").alias("sample"))
+    size = stash(shared.groupBy("sample").agg(F.count("*").alias("m")).where("m > 1"))
     shared = stash(shared.join(size, "sample"))
-    central = shared.groupBy("content").agg(F.sum("n").alias("weight"))
-    shared = stash(shared.join(central, "content").select("content", "sample", "weight"))
-    lead = stash(shared.groupBy("sample").agg(F.max(F.struct("weight", "content")).alias("lead")).select("sample", F.col("lead.content").alias("lead")))
-    pairs = stash(shared.join(lead, "sample").where("content <> lead").select(F.col("content").alias("a"), F.col("lead").alias("b")).distinct())
-    linked = components(edges.unionAll(_verified(rows, contents, pairs, similarity, words, seed)))
-    groups = contents.join(linked.withColumnRenamed("node", "content"), "content", "left")
-    groups = stash(groups.select("content", "first", F.coalesce("root", "content").alias("root")))
+    central = shared.groupBy("row").agg(F.sum("m").alias("weight"))
+    shared = stash(shared.join(central, "row").select("row", "n", "sample", "weight"))
+    lead = shared.groupBy("sample").agg(F.max(F.struct("weight", "row", "n")).alias("lead")).select("sample", F.col("lead.row").alias("lead"), F.col("lead.n").alias("leads"))
+    pairs = shared.join(lead, "sample").where((F.col("row") != F.col("lead")) & (F.least("n", "leads") >= similarity * F.greatest("n", "leads") - 1e-6))
+    pairs = stash(pairs.select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct())
+    linked = components(edges.unionAll(_verified(blocks, pairs, sets)))
+    groups = contents.select("row", "first").join(linked.withColumnRenamed("node", "row"), "row", "left")
+    groups = stash(groups.select("row", "first", F.coalesce("root", "row").alias("root")))
     # pairs that neither way has linked
-    members = found.select("key", "n", "prefix").join(groups.select(F.col("first.key").alias("key"), "content", "root"), "key")
-    more = _verified(rows, contents, stash(_pairs_left(members, similarity)), similarity, words, seed)
-    of = lambda x: groups.select(F.col("content").alias(x), F.col("root").alias(f"r{x}"))
+    more = _verified(blocks, stash(_pairs_left(blocks, groups, found.count(), sets)), sets)
+    of = lambda x: groups.select(F.col("row").alias(x), F.col("root").alias(f"r{x}"))
     more = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     last = components(more).select(F.col("node").alias("root"), F.col("root").alias("to"))
     groups = groups.join(last, "root", "left").select("first", F.coalesce("to", "root").alias("root"))
-    keep = stash(groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__rm_key")))
-    # rows that are equal in doc_id and text have one key
-    kept = keyed.join(keep, "__rm_key", "left_semi")
-    one = kept.groupBy("__rm_key").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
-    return one.select("row.*")
+    keep = groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return blocks.without(stash(found.select("row").join(keep, "row", "left_anti")))

@@ -88,7 +88,7 @@ def test_links_across_the_highest_bit():
 
 
 def test_no_similar_pair_is_lost_among_pages_of_one_template(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 50)
+    monkeypatch.setattr(simhash, "PART", 50)
     r = random.Random(5)
     word = lambda: f"w{r.randrange(10**9)}"
     template = [word() for _ in range(164)]
