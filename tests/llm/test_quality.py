@@ -98,3 +98,60 @@ def test_edited_passages_are_found(spark):
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == sorted({d for d, *_ in docs} - {d for d, _ in want})
     assert decontaminate.clean(df.limit(0), bench).count() == 0 and decontaminate.clean(df, bench.limit(0)).count() == len(docs)
+
+
+def best(item, text):
+    """The score of the best local alignment, cell by cell."""
+    row, top = [0] * (len(text) + 1), 0
+    for a in item:
+        new = [0]
+        for j, b in enumerate(text):
+            new.append(max(0, row[j] + (2 if a == b else -1), row[j + 1] - 1, new[j] - 1))
+        row, top = new, max(top, *new)
+    return top
+
+
+def test_nothing_above_the_limit_is_lost(spark):
+    """All pairs of made texts against Smith-Waterman over whole texts: few words, so that all items are of common ones."""
+    r = random.Random(7)
+    few = [f"w{i}" for i in range(25)]
+    items = [(i, [r.choice(few) for _ in range(r.choice([1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 20, 33]))]) for i in range(60)]
+    docs = []
+    for d in range(150):
+        w = [r.choice(few) for _ in range(r.randint(0, 60))]
+        if d % 3:
+            p = list(r.choice(items)[1])
+            kind = d % 5
+            if kind == 0:  # a word after each second one
+                p = [x for i, v in enumerate(p) for x in ([v, f"x{i}"] if i % 2 else [v])]
+            elif kind == 1:
+                p = [v for v in p if r.random() > 0.15]
+            elif kind == 2:
+                p = [r.choice(few) if r.random() < 0.2 else v for v in p]
+            elif kind == 3:
+                p = p[: len(p) // 2] + ["y"] * r.randint(0, 4) + p[len(p) // 2 :]
+            k = r.randint(0, len(w))
+            w[k:k] = p
+        docs.append((d, w))
+    docs += [(900, []), (901, docs[4][1])]
+    limit = lambda ws: 0.6 if len(ws) >= 5 else 1.0
+    want = {(d, i, round(s / (2 * len(ws)), 9)) for d, w in docs for i, ws in items if (s := best(ws, w)) >= limit(ws) * 2 * len(ws) - 1e-9}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(ws).upper()) for i, ws in items] + [(77, None), (78, " ")], "item_id long, text string")
+    assert len({(d, i) for d, i, _ in want}) > 300
+    for block in (decontaminate.BLOCK_WORDS, 100):
+        got = decontaminate.contaminated(df, bench, block_words=block).collect()
+        assert {(x.doc_id, x.item_id, round(x.similarity, 9)) for x in got} == want and len(got) == len(want)
+        kept = decontaminate.clean(df, bench, block_words=block)
+        assert {x.doc_id for x in kept.collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
+
+
+def test_inserted_words_ties_and_long_texts(spark):
+    item = [f"t{i}" for i in range(20)]
+    broken = [x for i, v in enumerate(item) for x in ([v, f"q{i}"] if i % 2 else [v])]
+    rows = [(1, " ".join(broken)), (2, " ".join([*item, "z", *item])), (3, " ".join(["u v"] * 60000 + item))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item)), (5, " ".join(item))], "item_id long, text string")
+    got = sorted(tuple(x) for x in decontaminate.contaminated(df, bench).collect())
+    assert [x for x in got if x[0] == 1] == [(1, 5, 0.775, 0, 29)] * 2
+    assert [x for x in got if x[0] == 2] == [(2, 5, 1.0, 0, 20)] * 2 and [x for x in got if x[0] == 3] == [(3, 5, 1.0, 120000, 120020)] * 2
