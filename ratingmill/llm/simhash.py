@@ -201,9 +201,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
 #: Samples of a document's shingles, and shingles in each: two texts of similarity 0.8 share a whole sample with 0.997.
 SAMPLES, SAMPLE = 8, 3
 #: Documents whose shingles are counted for the order of shingles, at least, and the share of all that is; frequent shingles ranked at most.
-ORDER_ROWS, ORDER_SHARE, ORDER_MOST = 8000, 64, 1_000_000
+ORDER_ROWS, ORDER_SHARE, ORDER_MOST = 8000, 32, 200_000
 #: Pairs that a task makes at once, and members of a part of a shingle that many texts have.
-PAIRS, PART = 2_000_000, 2000
+PAIRS, PART = 250_000, 2000
 
 
 def _shingles(w: list[bytes], words: int, seed: int) -> np.ndarray:
@@ -274,40 +274,65 @@ def _signed_rows(sets: Sets):
     return each
 
 
-def _verified(blocks: Blocks, pairs: DataFrame, sets: Sets) -> DataFrame:
-    """The pairs (a, b) of rows whose shingles have the similarity. The shingles of each b go once to each block that asks for
-    them; those of a are made where its text lies."""
-    schema = pa.schema([("row", pa.int64()), ("shingles", pa.binary())])
+def _told(blocks: Blocks, pairs: DataFrame, give, alike, sets: Sets) -> DataFrame:
+    """The pairs (a, b) of rows for which alike(shingles of a, what b gives of its own). What b gives goes once to each block that
+    asks for it; the shingles of a are made where its text lies."""
+    schema = pa.schema([("row", pa.int64()), ("given", pa.binary())])
 
-    def give(block: int, t: pa.Table, wanted: pa.Table) -> pa.Table:
+    def answer(block: int, t: pa.Table, wanted: pa.Table) -> pa.Table:
         rows = np.unique(wanted.column("row").to_numpy())
-        found = [pack(np.diff(sets.of(x), prepend=np.uint64(0))) for x in t.column("text").take(pa.array(places(rows))).to_pylist()]
+        found = [give(sets.of(x)) for x in t.column("text").take(pa.array(places(rows))).to_pylist()]
         return pa.Table.from_arrays([pa.array(rows), pa.array(found, pa.binary())], schema=schema)
 
     wanted = pairs.select(F.col("b").alias("row")).distinct()
-    given = stash(blocks.join(wanted.select(block_of("row").alias("block"), "row"), give, schema))
+    given = stash(blocks.join(wanted.select(block_of("row").alias("block"), "row"), answer, schema))
     asked = pairs.select(block_of("a").alias("block"), F.col("b").alias("row")).distinct().join(given, "row")
-    told = asked.select("block", F.lit(None).cast("long").alias("a"), F.col("row").alias("b"), "shingles")
-    messages = pairs.select(block_of("a").alias("block"), "a", "b", F.lit(None).cast("binary").alias("shingles")).unionAll(told)
+    told = asked.select("block", F.lit(None).cast("long").alias("a"), F.col("row").alias("b"), "given")
+    messages = pairs.select(block_of("a").alias("block"), "a", "b", F.lit(None).cast("binary").alias("given")).unionAll(told)
 
     def compare(block: int, t: pa.Table, m: pa.Table) -> pa.Table:
-        sent, text = {}, t.column("text")
-        todo = defaultdict(list)
-        for a, b, s in zip(*(m.column(c).to_pylist() for c in ("a", "b", "shingles"))):
+        sent, text, todo, out = {}, t.column("text"), defaultdict(list), []
+        for a, b, s in zip(*(m.column(c).to_pylist() for c in ("a", "b", "given"))):
             if a is None:
                 sent[b] = s
             else:
                 todo[a].append(b)
-        out = []
         for a, others in todo.items():
             own = sets.of(text[a & (MOST_ROWS - 1)].as_py())
-            out += [(a, b) for b in others if sets.alike(own, np.cumsum(unpack(sent[b], np.uint64), dtype=np.uint64))]
+            out += [(a, b) for b in others if alike(own, sent[b])]
         found = np.array(out, np.int64).reshape(-1, 2)
         return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=EDGES)
 
     return blocks.join(messages, compare, EDGES)
 
 
+def _parities(h: np.ndarray) -> np.ndarray:
+    """A bit for each of about as many classes of shingles as there are shingles: whether their number is odd."""
+    size = max(64, 1 << (len(h) - 1).bit_length() if len(h) else 64)
+    return (np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+
+
+def _verified(blocks: Blocks, pairs: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs (a, b) of rows whose shingles have the similarity.
+
+    Two sets differ by as many shingles at least as their parities differ in classes, so a bit for each shingle rules out most pairs
+    that are not similar; whole sets are sent for the others only."""
+
+    def sketch(h: np.ndarray) -> bytes:
+        return len(h).to_bytes(8, "little") + np.packbits(_parities(h)).tobytes()
+
+    def maybe(own: np.ndarray, given: bytes) -> bool:
+        x, y = _parities(own), np.unpackbits(np.frombuffer(given, np.uint8, offset=8))
+        size = min(len(x), len(y))
+        apart = np.bitwise_xor.reduce(x.reshape(-1, size)) ^ np.bitwise_xor.reduce(y.reshape(-1, size))
+        most = (1 - sets.similarity) / (1 + sets.similarity) * (len(own) + int.from_bytes(given[:8], "little"))
+        return int(apart.sum()) <= most + 1e-6
+
+    left = stash(_told(blocks, pairs, sketch, maybe, sets))
+    whole = lambda h: pack(np.diff(h, prepend=np.uint64(0)))
+    return _told(blocks, left, whole, lambda own, given: sets.alike(own, np.cumsum(unpack(given, np.uint64), dtype=np.uint64)), sets)
+
+
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
