@@ -1,9 +1,10 @@
-"""Secrets: a trigram inverted index narrows the documents of each rule before its regular expression runs. SQL functions only.
+"""Secrets: a trigram inverted index narrows the texts of each rule before its regular expression runs. SQL functions only.
 
 For each rule a Boolean query over trigrams is derived from its regular expression: every match contains a string that the query
-accepts. The index holds the postings (trigram, doc_id) of the trigrams that the rules' queries use, of all documents in lower
-case; intersecting and uniting postings gives each rule's candidates, and only those are verified by the regular expression. A rule
-without mandatory trigrams (hex) scans all documents. Text is moved only for candidate documents.
+accepts. The index holds the postings (trigram, text) of the trigrams that the rules' queries use, of all texts in lower case; a text
+is named by 128 bits of hash, so copies share their postings. A query is a union of clauses, and a clause the intersection of its
+trigrams' postings: a text that is in all of them is found as often as the clause has trigrams. Only what the index gives is a
+candidate, and only candidates are verified by the regular expression. A rule without mandatory trigrams (hex) scans all texts.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import re._constants as sre
 import re._parser as parser
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratingmill.llm.common import stash
 from ratingmill.llm.spans import Rule, annotate, digest
 
 BASE = ("assign", "access", "hex")
@@ -99,13 +101,13 @@ def trigrams(q: tuple) -> set[str]:
     return {q[1]} if q[0] == "has" else set() if q == ALL else set().union(*map(trigrams, q[1]))
 
 
-def evaluate(q: tuple, has) -> Column:
-    """The query as a column; has: trigram -> column."""
-    if q == ALL:
-        return F.lit(True)
+def clauses(q: tuple) -> list[frozenset[str]]:
+    """The query as a union of intersections; a clause that another one is part of is left out."""
     if q[0] == "has":
-        return has(q[1])
-    return reduce((lambda a, b: a & b) if q[0] == "and" else (lambda a, b: a | b), [evaluate(x, has) for x in q[1]])
+        return [frozenset((q[1],))]
+    parts = [clauses(x) for x in q[1]]
+    found = {c for p in parts for c in p} if q[0] == "or" else reduce(lambda a, b: {x | y for x in a for y in b}, parts, {frozenset()})
+    return sorted((c for c in found if not any(d < c for d in found)), key=sorted)
 
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -122,50 +124,58 @@ RULES = (
 QUERIES = {r.kind: trigram_query(r.pattern) for r in RULES}
 
 
-def _lower(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit("")))
+#: Candidate texts that are broadcast at most (some 100 MB as a hash table); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+NAME = ("__rm_h1", "__rm_h2")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with the text's name."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "text", F.xxhash64(text).alias(NAME[0]), F.xxhash64(F.lit(1), text).alias(NAME[1]))
 
 
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index: (trigram, doc_id) of every document that has the trigram in lower case."""
-    low = docs.select("doc_id", _lower(F.col("text")).alias("low"))
-    there = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(g)) for g in grams]))
-    return low.select("doc_id", F.explode(there).alias("trigram"))
+    """The inverted index: (trigram, name) of every text that has the trigram in lower case; copies in a task as one."""
+    low = docs.select(*NAME, F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    there = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
+    return low.select(*NAME, F.explode(there).alias("trigram"))
 
 
 def candidates(index: DataFrame, queries: dict[str, tuple]) -> DataFrame:
-    """(doc_id, rules): the rules whose query the document's postings satisfy; documents with none are left out."""
-    grams = sorted(set().union(*map(trigrams, queries.values())))
-    flags = index.groupBy("doc_id").agg(*[F.bool_or(F.col("trigram") == g).alias(f"t{i}") for i, g in enumerate(grams)])
-    at = {g: F.col(f"t{i}") for i, g in enumerate(grams)}
-    rules = F.array_compact(F.array(*[F.when(evaluate(q, at.__getitem__), F.lit(k)) for k, q in queries.items()]))
-    return flags.select("doc_id", rules.alias("rules")).where(F.size("rules") > 0)
+    """(name, rules): the rules whose query the text's postings satisfy; texts with none are left out."""
+    bits = {g: 1 << k for k, g in enumerate(sorted(set().union(*map(trigrams, queries.values()))))}
+    wanted = [(rule, i, g, bits[g], len(c)) for rule, q in queries.items() for i, c in enumerate(clauses(q)) for g in sorted(c)]
+    names = ("rule", "clause", "trigram", "bit", "size")
+    each = F.array(*[F.struct(*[F.lit(v).cast("long" if n == "bit" else "string" if n in ("rule", "trigram") else "int").alias(n) for n, v in zip(names, w)]) for w in wanted])
+    lists = F.broadcast(index.sparkSession.range(1).select(F.explode(each).alias("w")).select("w.*"))
+    # a trigram of a text counts once, however many rows have the text
+    met = index.join(lists, "trigram").groupBy(*NAME, "rule", "clause").agg(F.bit_count(F.bit_or("bit")).alias("n"), F.first("size").alias("size"))
+    return met.where("n = size").groupBy(*NAME).agg(F.collect_set("rule").alias("__rm_rules"))
 
 
 def find(docs: DataFrame, out: str = "secrets") -> DataFrame:
     """(doc_id, text, out): out is an array of (start, rank, kind, end, text, score) by start, then rule.
 
-    Null and empty texts have no span. Rows with the same doc_id share candidates, which verification then tells apart; rows
-    without doc_id are matched like any other.
+    Null and empty texts have no span. A text's spans depend on the text alone: rows with the same or no doc_id are told apart.
+    Equal rows are kept each; an empty table gives no row; other columns are not looked at.
     """
-    docs = docs.select("doc_id", "text")
+    docs = _named(docs)
     indexed = {k: q for k, q in QUERIES.items() if q != ALL}
     grams = sorted(set().union(*map(trigrams, indexed.values())))
-    found = candidates(postings(docs, grams), indexed).select(F.col("doc_id").alias("__rm_id"), F.col("rules").alias("__rm_rules"))
-    # what the row itself lacks its document's postings may have only if doc_id is repeated; either way no match is lost, as a row
-    # whose own trigrams satisfy no query matches no indexed rule. Such rows skip the join, and their text stays where it is.
-    low = _lower(F.col("text"))
-    may = reduce(lambda a, b: a | b, [evaluate(q, lambda g: low.contains(g)) for q in indexed.values()])
-    ahead = docs.where(may).join(found, F.col("doc_id").eqNullSafe(F.col("__rm_id")), "left")
+    if len(grams) > 63:
+        raise ValueError("more trigrams than a long has bits")
+    found = stash(candidates(postings(docs, grams), indexed))
+    few = found.count() <= MOST_BROADCAST
+    ahead = docs.join(F.broadcast(found) if few else found, list(NAME), "left")
     ahead = ahead.select("doc_id", "text", F.coalesce("__rm_rules", F.array().cast("array<string>")).alias("__rm_rules"))
-    rest = docs.where(~may).select("doc_id", "text", F.array().cast("array<string>").alias("__rm_rules"))
     rules = [
         Rule(r.kind, r.pattern, (lambda t, k=r.kind: F.array_contains("__rm_rules", k)) if r.kind in indexed else r.needs, r.valid)
         for r in RULES
     ]
-    return annotate(ahead.unionByName(rest), F.col("text"), rules, out).drop("__rm_rules")
+    return annotate(ahead, F.col("text"), rules, out).drop("__rm_rules")
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document; null, empty and equal texts as in find."""
     return digest(find(docs, "__rm_secrets"), "__rm_secrets", BASE)
