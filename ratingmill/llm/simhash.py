@@ -4,9 +4,12 @@ Two fingerprints at most `radius` bits apart agree wholly in `blocks - radius` o
 that many blocks makes a table; a shard holds the distinct fingerprints that agree in the blocks of one table, so that each link
 is found in one shard at least, none is lost, and a shard stays small however large the corpus is. In a shard a BK-tree is
 grown, its children keyed by their integer Hamming distance to the parent; a search follows only the edges within the radius of
-its own distance. Trees of all shards of a task grow and are searched level by level in numpy. A task gives a spanning star of
-what its shards link, never all pairs. A shard above `shard_rows` is cut into parts that are searched pair by pair in tasks of
-their own, so a hot shard is neither capped nor held by one task.
+its own distance. Trees grow and are searched level by level in numpy.
+
+Trees of shards with more than one fingerprint are broadcast, at most TREE_NODES nodes a round, and all fingerprints search those of
+their own shards where they lie. Trees for more than ROUNDS rounds, or a shard too large for one, are not broadcast: shards go to
+tasks that grow and search them, and a shard above `shard_rows` is cut into parts that are searched pair by pair in tasks of their
+own. Either way a task gives a spanning star of what it links, never all pairs, and no shard is capped or held by one task.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from ratingmill.llm.common import arrow_rows, components, cut, local_roots, pack
 BITS = 64
 #: Pairs of query and tree node that a search holds at once.
 FRONTIER = 100_000
+#: Nodes of the trees that are broadcast at once, of 32 bytes each; rounds of broadcasts; fingerprints that search together.
+TREE_NODES, ROUNDS, ASKING = 1_000_000, 8, 50_000
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -150,13 +155,79 @@ def _stars(fps: np.ndarray, shard: np.ndarray, side: np.ndarray, radius: int) ->
     return names[off], names[root[off]]
 
 
-def links(fps: DataFrame, radius: int = 4, shard_rows: int = 20_000) -> DataFrame:
+def _grown(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The trees of a table's shards (t, k), one row: nodes in the order of their shards, and the shards."""
+    order = np.lexsort((pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["k"].to_numpy(np.int64)))
+    fps, k = pdf["fp"].to_numpy(np.int64).view(np.uint64)[order], pdf["k"].to_numpy(np.int64)[order]
+    f = Forest(fps, k)
+    return pd.DataFrame({"t": [int(pdf["t"].iloc[0])], "trees": [[x.tobytes() for x in (f.fps, f.keys, f.kids, f.roots, k[f.roots])]]})
+
+
+def _searched(trees, masks: list[int], radius: int):
+    """Edges (a, b) that link the fingerprints of a task with what they find in the broadcast trees of their shards."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forests = []
+        for t, parts in trees.value:
+            f = Forest.__new__(Forest)
+            f.fps = np.frombuffer(parts[0], np.uint64)
+            f.keys, f.kids, f.roots, names = (np.frombuffer(x, np.int64) for x in parts[1:])
+            forests.append((np.uint64(masks[t]), f, names))
+
+        def ask(fps: np.ndarray) -> pa.RecordBatch:
+            a, b = [], []
+            for mask, f, names in forests:
+                k = (fps & mask).view(np.int64)
+                at = np.minimum(np.searchsorted(names, k), len(names) - 1)
+                own = np.flatnonzero(names[at] == k)
+                for q, node in f.search(fps[own], f.roots[at[own]], radius):
+                    x, y = fps[own[q]], f.fps[node]
+                    a.append(x[x != y])
+                    b.append(y[x != y])
+                    if sum(map(len, a)) > 4 * FRONTIER:
+                        x, y = _star(np.concatenate(a), np.concatenate(b))
+                        a, b = [x], [y]
+            x, y = _star(np.concatenate([np.zeros(0, np.uint64), *a]), np.concatenate([np.zeros(0, np.uint64), *b]))
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy().view(np.uint64))
+            n += len(held[-1])
+            if n >= ASKING:
+                yield ask(np.concatenate(held))
+                held, n = [], 0
+        if held:
+            yield ask(np.concatenate(held))
+
+    return each
+
+
+def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fingerprint, smallest that it is linked to) with the components of the edges (a, b)."""
+    names, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = local_roots(code[: len(a)], code[len(a) :], len(names))
+    off = root != np.arange(len(names))
+    return names[off], names[root[off]]
+
+
+def links(fps: DataFrame, radius: int = 4, shard_rows: int = 20_000, tree_nodes: int = TREE_NODES, rounds: int = ROUNDS) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints fps (column fp) just as all pairs within the radius would."""
     spark = fps.sparkSession
     masks = tables(radius)
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])
     rows = fps.select("fp", F.explode(keys).alias("s")).select("fp", "s.t", "s.k")
     size = cut(rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"))
+    nodes = size.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    need = -(-2 * int(nodes["all"] or 0) // tree_nodes)  # rounds are dealt by hash, so that each is half full
+    if need <= rounds and int(nodes["most"] or 0) <= tree_nodes // 2:
+        shards = stash(rows.join(size.select("t", "k"), ["t", "k"]).withColumn("round", F.pmod(F.xxhash64("t", "k"), F.lit(max(need, 1)))))
+        found = spark.createDataFrame([], "a long, b long")
+        for r in range(need):
+            trees = shards.where(F.col("round") == r).groupBy("t").applyInPandas(_grown, "t int, trees array<binary>").collect()
+            sent = spark.sparkContext.broadcast([(x.t, [bytes(v) for v in x.trees]) for x in trees])
+            found = found.unionAll(fps.select("fp").mapInArrow(_searched(sent, masks, radius), "a long, b long"))
+        return found
     parts = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
     rows = rows.join(size.select("t", "k", parts.alias("parts")), ["t", "k"])
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -175,7 +246,8 @@ def links(fps: DataFrame, radius: int = 4, shard_rows: int = 20_000) -> DataFram
             a, b = _stars(fp[order].view(np.uint64), shard[order], side[order], radius)
             yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return rows.repartition(partitions(spark), "shard").mapInPandas(each, "a long, b long")
+    tasks = max(partitions(spark), -(-int(nodes["all"]) // tree_nodes))
+    return rows.repartition(tasks, "shard").mapInPandas(each, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:

@@ -55,6 +55,19 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_ways_of_search_give_the_same(spark):
+    """Broadcast trees, one round and many, and shards sent to tasks."""
+    r = random.Random(9)
+    fps = [r.getrandbits(64) for _ in range(1500)]
+    fps += [x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for x in fps[:500]]
+    signed = [int(x) for x in np.array(sorted(set(fps)), np.uint64).view(np.int64)]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    near = {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[:i] if 0 < (a ^ b).bit_count() <= 4}
+    whole = lambda df: {frozenset((int(x.a) % 2**64, int(x.b) % 2**64)) for x in df.collect()}
+    for kw in ({}, {"tree_nodes": 500, "rounds": 1000}, {"rounds": 0}):
+        assert whole(simhash.links(nodes, **kw)) == near
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -66,9 +79,10 @@ def test_hot_shards_are_cut_without_losing_links(spark):
     signed = [int(x) for x in np.array(sorted(fps), np.uint64).view(np.int64)]
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
     whole = {(r.node, r.root) for r in components(simhash.links(nodes)).collect()}
-    cut = {(r.node, r.root) for r in components(simhash.links(nodes, shard_rows=40)).collect()}
+    cut = {(r.node, r.root) for r in components(simhash.links(nodes, shard_rows=40, rounds=0)).collect()}
+    many = {(r.node, r.root) for r in components(simhash.links(nodes, tree_nodes=3000, rounds=100)).collect()}
     groups = lambda pairs: {frozenset(n for n, y in pairs if y == x) for _, x in pairs}
-    assert groups(whole) == groups(cut)
+    assert groups(whole) == groups(cut) == groups(many)
     near = {a for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 4}
     assert {n for n, _ in whole} == {int(x) for x in np.array(sorted(near), np.uint64).view(np.int64)}
 
