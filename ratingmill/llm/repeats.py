@@ -14,15 +14,14 @@ places. So strings are compared among the occurrences of an anchor only:
    their successors. Runs with a common prefix of `least` bytes are the equal strings, and have one smallest doc_id.
 5. Blocks get the smallest doc_ids back, and drop what a smaller one covers.
 
-Text is written once and not shuffled; steps 2 to 5 move packed hashes and the segments. Shards go through Spark's shuffle, which is
-on disk, and each is a bounded number of segments, so its queues are arrays in memory.
+Text is written once and not shuffled; steps 2 to 5 move packed hashes and the segments. Surroundings count as equal by 64 bits of hash
+besides the anchor's 40. The queue of segments is Spark's shuffle and its external sorter, which are on disk: a task takes segments
+from it in the order of their anchors, about SHARD at once, and only these are arrays in memory, however large a shard of keys is.
 """
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.llm.common import _remove, partitions, shared_dir, stash, tune
+from ratingmill.llm.blocks import bucketed, numbers
+from ratingmill.llm.common import pack, partitions, stash, tune, unpack
 
 LEAST, GRAM = 50, 24
 BLOCK_BYTES = 2 << 20
@@ -47,19 +47,6 @@ BITS, PLACE = np.uint64(40), np.uint64(24)
 ONE, KINDS, SPLIT = 0, 1, 2
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """An integer array, its bytes plane by plane."""
-    a = np.ascontiguousarray(a)
-    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else a.view(np.uint8)
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
-
-
-def _unpack(b: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(b), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
-
-
 def _steps(a: np.ndarray) -> np.ndarray:
     """Sorted numbers as differences, modulo 2 ** 64."""
     return np.diff(a, prepend=a.dtype.type(0))
@@ -102,8 +89,8 @@ class Block:
     def __init__(self, row, least: int, gram: int):
         self.least, self.gram = least, gram
         self.text = zstandard.decompress(row.text)
-        self.docs, self.named = _unpack(row.docs, np.int64), _unpack(row.named, np.bool_)
-        self.end = np.cumsum(_unpack(row.lengths, np.int64))
+        self.docs, self.named = unpack(row.docs, np.int64), unpack(row.named, np.bool_)
+        self.end = np.cumsum(unpack(row.lengths, np.int64))
         self.start = np.r_[0, self.end[:-1]]
 
     def anchors(self) -> None:
@@ -127,7 +114,7 @@ class Block:
         self.owner = np.searchsorted(self.end, at, "right")
         # the first and last string share the anchor: together they fix all between
         x = _mix(s, 1) + _mix(t, 2) * np.uint64(3)
-        self.around = _mix(x + ((at - low) * 64 + high - low).astype(np.uint64), 3) >> (np.uint64(64) - BITS)
+        self.around = _mix(x + ((at - low) * 64 + high - low).astype(np.uint64), 3)
 
     def _part(self, first: int, whole: np.ndarray) -> tuple[np.ndarray, ...]:
         raw = np.frombuffer(self.text, np.uint8, min(STRINGS + self.least - 1, len(self.text) - first), first)
@@ -147,41 +134,27 @@ BLOCKS = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("text", pa.bin
 BLOCKS_DDL = "block long, size long, text binary, docs binary, named binary, lengths binary"
 
 
-def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, made, docs, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        row = [(part << 24) | made, size, zstandard.compress(b"".join(texts), 3), _pack(np.array([d or 0 for d in docs], np.int64)), _pack(np.array([d is not None for d in docs], np.bool_)), _pack(np.array([len(t) for t in texts], np.int64))]
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCKS)], schema=BLOCKS)
-
-    for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            t = (text or "").encode("utf-8", "surrogatepass")
-            docs.append(doc)
-            texts.append(t)
-            size += len(t)
-            if size >= BLOCK_BYTES:
-                yield flush()
-                made, docs, texts, size = made + 1, [], [], 0
-    if docs:
-        yield flush()
-
+def _code(buckets: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, docs, texts, size = numbers(TaskContext.get().partitionId(), buckets), [], [], 0
 
-def _bucketed(df: DataFrame, n: int) -> DataFrame:
-    """df as a table in the shared folder with n buckets of blocks: joins by block then leave it where it is."""
-    spark, name = df.sparkSession, f"ratingmill_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.bucketBy(n, "block").option("path", path).option("compression", "uncompressed").saveAsTable(name)
+        def flush() -> pa.RecordBatch:
+            row = [next(own), size, zstandard.compress(b"".join(texts), 3), pack(np.array([d or 0 for d in docs], np.int64)), pack(np.array([d is not None for d in docs], np.bool_)), pack(np.array([len(t) for t in texts], np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCKS)], schema=BLOCKS)
 
-    def drop() -> None:
-        try:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        except Exception:  # the session has ended, and its catalog with it
-            pass
-        _remove(spark, path)
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = (text or "").encode("utf-8", "surrogatepass")
+                docs.append(doc)
+                texts.append(t)
+                size += len(t)
+                if size >= BLOCK_BYTES:
+                    yield flush()
+                    docs, texts, size = [], [], 0
+        if docs:
+            yield flush()
 
-    atexit.register(drop)
-    return spark.table(name)
+    return each
 
 
 HASHES_DDL = "bucket long, block long, hashes binary, around binary, doc binary, many binary"
@@ -209,7 +182,7 @@ def _send(least: int, gram: int, buckets: int):
                 h, s, d, many = h[order], s[order], d[order], many[order]
                 at = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 out = [
-                    (k, row.block, _pack(_steps(h[i:j])), _pack(s[i:j]), _pack(d[i:j]), _pack(many[i:j]))
+                    (k, row.block, pack(_steps(h[i:j])), pack(s[i:j]), pack(d[i:j]), pack(many[i:j]))
                     for k, (i, j) in enumerate(zip(at, at[1:])) if j > i
                 ]
                 yield pd.DataFrame(out, columns=["bucket", "block", "hashes", "around", "doc", "many"])
@@ -222,11 +195,11 @@ SHARED_DDL = "block long, hashes binary, mode binary, lowest binary"
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each block, its hashes that more than one document has: how they go on, and the smallest doc_id that has them."""
-    h = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in pdf["hashes"]]
+    h = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in pdf["hashes"]]
     n = [len(x) for x in h]
     block = np.repeat(np.arange(len(pdf)), n)
     h = np.concatenate(h)
-    s, d, many = (np.concatenate([_unpack(x, kind) for x in pdf[c]]) for c, kind in (("around", np.uint64), ("doc", np.int64), ("many", np.bool_)))
+    s, d, many = (np.concatenate([unpack(x, kind) for x in pdf[c]]) for c, kind in (("around", np.uint64), ("doc", np.int64), ("many", np.bool_)))
     order = np.argsort(h, kind="stable")
     h, s, d, many, block = h[order], s[order], d[order], many[order], block[order]
     cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -243,7 +216,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     h, group, block = h[new], group[new], block[new]
     at = np.searchsorted(block, np.arange(len(pdf) + 1))
     out = [
-        (int(b), _pack(_steps(h[i:j])), _pack(mode[group[i:j]]), _pack(lowest[group[i:j]]))
+        (int(b), pack(_steps(h[i:j])), pack(mode[group[i:j]]), pack(lowest[group[i:j]]))
         for b, i, j in zip(pdf["block"], at, at[1:]) if j > i
     ]
     return pd.DataFrame(out, columns=["block", "hashes", "mode", "lowest"])
@@ -260,9 +233,9 @@ def _segments(least: int, gram: int):
         for row in left.itertuples():
             if not len(right):
                 continue
-            h = np.concatenate([np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in right["hashes"]])
-            mode = np.concatenate([_unpack(x, np.uint8) for x in right["mode"]])
-            lowest = np.concatenate([_unpack(x, np.int64) for x in right["lowest"]])
+            h = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in right["hashes"]])
+            mode = np.concatenate([unpack(x, np.uint8) for x in right["mode"]])
+            lowest = np.concatenate([unpack(x, np.int64) for x in right["lowest"]])
             order = np.argsort(h)
             h, mode, lowest = h[order], mode[order], lowest[order]
             x = Block(row, least, gram)
@@ -290,7 +263,7 @@ def _segments(least: int, gram: int):
                         segs[n][2] = d
                     where.append((x.owner[i], lo, hi, n))
             where = np.array(where, np.int64).reshape(-1, 4)
-            rows.append((0, row.block, None, None, None, None, _pack(covered.ravel()), _pack(where.ravel())))
+            rows.append((0, row.block, None, None, None, None, pack(covered.ravel()), pack(where.ravel())))
             rows += [(1, row.block, key, n, place, d, body, None) for n, (key, place, d, body) in enumerate(segs)]
         return pd.DataFrame(rows, columns=["kind", "block", "key", "number", "place", "doc", "a", "b"]).astype({"key": "Int64", "number": "Int32", "place": "Int32", "doc": "Int64"})
 
@@ -350,26 +323,29 @@ def _order(least: int, gram: int):
             best[order, j] = np.repeat(np.minimum.reduceat(value, cut), np.diff(np.r_[cut, len(order)]))
         return [best[i, first[i] : first[i] + strings[i]] for i in mine]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        t = pd.concat(got).sort_values("key", kind="stable")
-        key = t["key"].to_numpy()
+    def answer(t: pd.DataFrame) -> pd.DataFrame:
         out: dict[int, tuple[list, list]] = {}
-        i = 0
-        while i < len(t):  # whole groups, about SHARD segments at once
-            j = min(i + SHARD, len(t))
-            j = int(np.searchsorted(key, key[j - 1], "right"))
-            part = t.iloc[i:j]
-            lows = solve(part["key"], part["place"], part["a"], part["doc"].to_numpy(np.int64))
-            for block, number, low in zip(part["block"], part["number"], lows):
-                numbers, values = out.setdefault(block, ([], []))
-                numbers.append((number, len(low)))
-                values.append(low)
-            i = j
-        rows = [(2, b, _pack(np.array(n, np.int64).ravel()), _pack(np.concatenate(v))) for b, (n, v) in out.items()]
-        yield pd.DataFrame([(k, b, None, None, None, None, x, y) for k, b, x, y in rows], columns=["kind", "block", "key", "number", "place", "doc", "a", "b"]).astype({"key": "Int64", "number": "Int32", "place": "Int32", "doc": "Int64"})
+        lows = solve(t["key"], t["place"], t["a"], t["doc"].to_numpy(np.int64))
+        for block, number, low in zip(t["block"], t["number"], lows):
+            ns, values = out.setdefault(block, ([], []))
+            ns.append((number, len(low)))
+            values.append(low)
+        rows = [(2, b, None, None, None, None, pack(np.array(n, np.int64).ravel()), pack(np.concatenate(v))) for b, (n, v) in out.items()]
+        return pd.DataFrame(rows, columns=["kind", "block", "key", "number", "place", "doc", "a", "b"]).astype({"key": "Int64", "number": "Int32", "place": "Int32", "doc": "Int64"})
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for b in batches:  # by key: whole groups, about SHARD segments at once
+            held.append(b)
+            n += len(b)
+            if n >= SHARD:
+                t = pd.concat(held)
+                last = t["key"] == t["key"].iloc[-1]
+                if not last.all():
+                    yield answer(t[~last])
+                held, n = [t[last]], int(last.sum())
+        if n:
+            yield answer(pd.concat(held))
 
     return each
 
@@ -384,18 +360,18 @@ def _drop(least: int, gram: int, spans: bool):
             x = Block(row, least, gram)
             cover = np.zeros(len(x.text) + 1, np.int32)
             for state in right[right["kind"] == 0].itertuples():
-                low, high = _unpack(state.a, np.int64).reshape(2, -1)
+                low, high = unpack(state.a, np.int64).reshape(2, -1)
                 np.add.at(cover, low, 1)
                 np.add.at(cover, high + least, -1)
-                where = _unpack(state.b, np.int64).reshape(-1, 4)
+                where = unpack(state.b, np.int64).reshape(-1, 4)
                 if not len(where):
                     continue
                 size = int(where[:, 3].max()) + 1
                 begin, values, base = np.zeros(size, np.int64), [], 0
                 for found in right[right["kind"] == 2].itertuples():
-                    n = _unpack(found.a, np.int64).reshape(-1, 2)
+                    n = unpack(found.a, np.int64).reshape(-1, 2)
                     begin[n[:, 0]] = base + np.cumsum(n[:, 1]) - n[:, 1]
-                    values.append(_unpack(found.b, np.int64))
+                    values.append(unpack(found.b, np.int64))
                     base += int(n[:, 1].sum())
                 values = np.concatenate(values)
                 owner, low, high, number = where.T
@@ -435,13 +411,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, spans:
     """
     spark = tune(docs.sparkSession)
     n = partitions(spark)
-    blocks = _bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_code, BLOCKS_DDL), n)
+    blocks = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_code(n), BLOCKS_DDL), n)
     size = blocks.agg(F.sum("size")).first()[0] or 0
     buckets = max(n, -(-int(size) // (4 * BLOCK_BYTES)))
     sent = blocks.mapInPandas(_send(least, gram, buckets), HASHES_DDL).repartition(buckets, "bucket")
     shared = stash(sent.groupBy("bucket").applyInPandas(_shared, SHARED_DDL))
     parts = stash(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_segments(least, gram), PARTS_DDL))
-    solved = parts.where("kind = 1").repartition(buckets, "key").mapInPandas(_order(least, gram), RESULT_DDL)
+    solved = parts.where("kind = 1").repartition(buckets, "key").sortWithinPartitions("key").mapInPandas(_order(least, gram), RESULT_DDL)
     ready = parts.where("kind = 0").unionAll(stash(solved))
     ddl = FOUND_DDL + (", spans array<array<long>>, kept binary" if spans else "")
     return blocks.groupBy("block").cogroup(ready.groupBy("block")).applyInPandas(_drop(least, gram, spans), ddl)

@@ -72,7 +72,7 @@ def test_hot_anchors_and_small_shards():
                     cur, n = [], 0
             blocks.append(cur)
             coded = pd.DataFrame([
-                (k, 0, repeats.zstandard.compress(b"".join(t for _, t in b)), repeats._pack(np.array([d or 0 for d, _ in b], np.int64)), repeats._pack(np.array([d is not None for d, _ in b])), repeats._pack(np.array([len(t) for _, t in b], np.int64)))
+                (k, 0, repeats.zstandard.compress(b"".join(t for _, t in b)), repeats.pack(np.array([d or 0 for d, _ in b], np.int64)), repeats.pack(np.array([d is not None for d, _ in b])), repeats.pack(np.array([len(t) for _, t in b], np.int64)))
                 for k, b in enumerate(blocks)
             ], columns=repeats.BLOCKS.names)
             sent = pd.concat(list(repeats._send(50, 24, 3)(iter([coded]))))
@@ -90,7 +90,7 @@ def test_anchors_do_not_depend_on_cuts(monkeypatch):
     text = b"abab" * 30 + bytes(random.Random(1).choices(b"ab", k=400)) + b"abab" * 30
 
     class Row:
-        docs, named, lengths = repeats._pack(np.array([1, 2])), repeats._pack(np.array([True, True])), repeats._pack(np.array([60, len(text) - 60]))
+        docs, named, lengths = repeats.pack(np.array([1, 2])), repeats.pack(np.array([True, True])), repeats.pack(np.array([60, len(text) - 60]))
 
     Row.text = repeats.zstandard.compress(text)
     whole = repeats.Block(Row, 50, 24)
