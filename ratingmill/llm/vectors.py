@@ -1,10 +1,11 @@
 """Embedding near-duplicates: an exact metric range join over pivots' cells.
 
-Vectors of a label are points on the unit sphere, where cosine c is the distance sqrt(2 - 2c). A bounded number of pivots, the first
-vectors in the order of a hash, partition the vectors: a vector's home cell is its nearest pivot's. If u with home j lies within r
-of v with home i, the triangle inequality gives d(v, j) - r <= d(u, j) <= d(u, i) <= d(v, i) + r, so v is also sent to each cell j
-with d(v, j) <= d(v, i) + 2r, unless the bisector of i and j is farther than r from v. Each vector then finds all that it links to
-in its home cell, and cells join independently. A cell above `cell_rows` is cut into blocks, and each pair of blocks is a task.
+Vectors of a label are points on the unit sphere, where cosine c is the distance sqrt(2 - 2c). A label's pivots, as many as its size
+asks for, are the vectors with the smallest hashes; they partition its vectors: a vector's home cell is its nearest pivot's. If u
+with home j lies within r of v with home i, the triangle inequality gives d(v, j) - r <= d(u, j) <= d(u, i) <= d(v, i) + r, so v is
+also sent to each cell j with d(v, j) <= d(v, i) + 2r, unless the bisector of i and j is farther than r from v. Each vector then
+finds all that it links to in its home cell, and cells join independently. Cells that are still too large are partitioned again by
+pivots of their own, LEVELS times at most; what no pivot divides is cut into blocks, and each pair of blocks is a task.
 
 Equal vectors are one class with a count, so copies cost one row. A task gives each vector's number of links and a spanning star
 of what is linked; pairs are never written.
@@ -21,35 +22,45 @@ from pyspark.sql import functions as F
 
 from ratingmill.llm.common import components, local_roots, partitions, stash, tune
 
-#: Pivots over all labels; more vectors make larger cells, not more pivots.
-MOST_PIVOTS = 4096
+#: Pivots of all cells that are divided at one level, which is what is broadcast; levels.
+MOST_PIVOTS, LEVELS = 4096, 4
 SLACK = 1e-9
 
 
-def _cells(pivots: dict[tuple[int, int], np.ndarray], radius: float):
-    """Sends each class to its home cell and to those within reach."""
+def _unit(vectors) -> np.ndarray:
+    """Rows divided by their length; scaled by a power of two first, so that no square is too large or small for a double."""
+    x = np.stack(vectors).astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _cells(pivots: dict[tuple, list], radius: float):
+    """Sends each row of a cell with pivots to its home among them and to those within reach. home: whether its row asks there."""
+    unit = {cell: _unit(v) for cell, v in pivots.items()}
+    names = ["rid", "label", "dim", "n", "vec", "cell", "sub", "home"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        apart: dict[tuple, np.ndarray] = {}
         for b in batches:
             out = []
-            for (label, dim), part in b.groupby(["label", "dim"], sort=False):
-                own = pivots.get((int(label), int(dim)))
+            for cell, part in b.groupby(["label", "dim", "cell"], sort=False):
+                own = unit.get(cell)
                 if own is None:
-                    out.append(part.assign(cell=0, home=True))
+                    out.append(part.assign(sub=-1))
                     continue
-                x = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                square = np.maximum(2 - 2 * x @ own.T, 0)
+                if cell not in apart:
+                    apart[cell] = np.sqrt(np.maximum(2 - 2 * own @ own.T, 0))
+                square = np.maximum(2 - 2 * _unit(part["vec"].to_numpy()) @ own.T, 0)
                 d, home = np.sqrt(square), square.argmin(1)
-                rows = np.arange(len(x))
-                between = np.sqrt(np.maximum(2 - 2 * own @ own.T, 0))[home]
+                rows = np.arange(len(part))
                 reach = d - d[rows, home][:, None] <= 2 * radius + SLACK
-                reach &= square - square[rows, home][:, None] <= 2 * (radius + SLACK) * between + SLACK
+                reach &= square - square[rows, home][:, None] <= 2 * (radius + SLACK) * apart[cell][home] + SLACK
                 reach[rows, home] = True
-                at, cell = np.nonzero(reach)
-                out.append(part.iloc[at].assign(cell=cell, home=cell == home[at]))
+                at, sub = np.nonzero(reach)
+                sent = part.iloc[at]
+                out.append(sent.assign(sub=sub, home=sent["home"].to_numpy() & (sub == home[at])))
             if out:
-                yield pd.concat(out)[["rid", "label", "dim", "n", "vec", "cell", "home"]]
+                yield pd.concat(out)[names]
 
     return each
 
@@ -60,6 +71,7 @@ def _join(cosine: float, rows_at_once: int = 512):
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rid")
         x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
         norm = np.linalg.norm(x, axis=1)
         asks, has = np.flatnonzero(pdf["asks"].to_numpy()), np.flatnonzero(pdf["has"].to_numpy())
         weight, y, ny = pdf["n"].to_numpy(np.int64)[has], x[has], norm[has]
@@ -79,12 +91,13 @@ def _join(cosine: float, rows_at_once: int = 512):
     return each
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 2000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 8000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
 
     Rows link when their labels are equal and not null, their embeddings have one length and their cosine in double precision is
     `cosine` or more. Null, empty and zero vectors and those with null or non-finite components link with nothing. Rows with equal
-    vec_id are vectors of their own; a component without any vec_id has a null component_id. Other columns are not looked at.
+    vec_id are vectors of their own; a component without any vec_id has a null component_id. Labels are of any atomic type. An empty
+    table gives no row; other columns are not looked at.
     """
     spark = tune(vectors.sparkSession)
     radius = float(np.sqrt(2 - 2 * cosine))
@@ -99,17 +112,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 2
         F.min("rid").alias("rid"), F.count("*").alias("n"), F.min("vec_id").alias("low"), F.first("embedding").alias("vec")
     )
     classes = stash(classes.withColumn("dim", F.size("vec")))
-    total = classes.count()
-    wanted = min(MOST_PIVOTS, -(-total // cell_rows))
-    found: dict[tuple[int, int], list] = {}
-    if wanted > 1:
-        for r in classes.orderBy(F.xxhash64("h1", "h2"), "rid").limit(wanted).select("label", "dim", "vec").collect():
-            found.setdefault((r.label, r.dim), []).append(r.vec)
-    pivots = {k: np.array(v) / np.linalg.norm(np.array(v), axis=1)[:, None] for k, v in found.items() if len(v) > 1}
-    ddl = "rid long, label long, dim long, n long, vec array<double>, cell long, home boolean"
-    members = classes.select("rid", F.col("label").cast("long").alias("label"), F.col("dim").cast("long").alias("dim"), "n", "vec")
-    members = stash(members.mapInPandas(_cells(pivots, radius), ddl))
+    label = F.col("label").cast("string")
+    members = classes.select("rid", label.alias("label"), "dim", "n", "vec", F.xxhash64(label, "dim").alias("cell"), F.lit(True).alias("home"))
     cell = ["label", "dim", "cell"]
+    members = stash(members)
+    most = None
+    for level in range(LEVELS):
+        size = stash(members.groupBy(*cell).agg(F.count("*").alias("m")).where(F.col("m") > cell_rows))
+        now = size.agg(F.sum("m").alias("all"), F.max("m").alias("most")).first()
+        if now["all"] is None or (most is not None and now["most"] > 0.9 * most):
+            break
+        most, wanted = now["most"], -(-2 * int(now["all"]) // cell_rows)
+        share = min(wanted, MOST_PIVOTS) / now["all"]
+        drawn = F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+        found: dict[tuple, list] = {}
+        for r in members.where(drawn).join(size.select(*cell), cell).select(*cell, "vec").collect():
+            found.setdefault((r.label, r.dim, r.cell), []).append(r.vec)
+        pivots = {k: v for k, v in found.items() if len(v) > 1}
+        if not pivots:
+            break
+        ddl = "rid long, label string, dim int, n long, vec array<double>, cell long, sub long, home boolean"
+        sent = members.select("rid", *cell, "n", "vec", "home").mapInPandas(_cells(pivots, radius), ddl)
+        members = stash(sent.withColumn("cell", F.when(F.col("sub") >= 0, F.xxhash64("cell", "sub")).otherwise(F.col("cell"))).drop("sub"))
     size = members.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(2 * cell_rows)).cast("int").alias("parts"))
     cut = members.join(stash(size), cell).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     # as a home a row asks in its own block's tasks, as a member it answers in every block's

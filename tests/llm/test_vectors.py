@@ -11,7 +11,7 @@ def brute(rows, cosine=0.98):
 
     n = len(rows)
     links, group = [0] * n, list(range(n))
-    x = [np.array(v, float) if sound(v, lab) else None for _, v, lab in rows]
+    x = [np.array(v, float) / np.abs(v).max() if sound(v, lab) else None for _, v, lab in rows]
     pairs = []
     for i in range(n):
         for j in range(i):
@@ -45,9 +45,20 @@ def test_against_brute_force(spark):
         rows.append((int(10_000 - i), v, lab))
     v = rows[0][1]
     rows += [(1, None, 1), (2, [], 1), (3, [0.0] * 8, 1), (4, [float("nan")] * 8, 1), (5, [None, 1.0], 1), (6, v, None), (7, [float("inf")] * 8, 0), (8, v[:7], rows[0][2]), (9, v[:7], rows[0][2])]
+    big = np.array(rows[1][1])
+    rows += [(20, (big * 1e200).tolist(), 9), (21, (big * 1.001 * 1e200).tolist(), 9), (22, (big * 1e-200).tolist(), 9)]
     df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, label int, n long")
     want = brute(rows)
     for cell in (2000, 40):
         got = sorted(tuple(x) for x in vectors.near_duplicates(df, cell_rows=cell).collect())
         assert got == want
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_labels_that_are_text_and_one_label_of_many(spark):
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 1, (12, 6))
+    rows = [(i, (centres[r.integers(12)] + r.normal(0, 0.08, 6)).tolist(), "hot" if i % 3 else f"label {i % 7}") for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    for cell in (8000, 60, 15):
+        assert sorted(tuple(x) for x in vectors.near_duplicates(df, cell_rows=cell).collect()) == brute(rows)
