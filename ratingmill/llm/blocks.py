@@ -1,8 +1,8 @@
 """Rows written once, in blocks that stay where they are, and small messages that go to the blocks.
 
 A block is one row: its number, and a bounded number of rows of the table as a compressed Arrow stream. The blocks are a table
-bucketed by number, and a block's number is chosen so that all blocks of a writing task fall into one bucket; so writing needs no
-shuffle and gives one file a task. A join of blocks with messages (block, ...) by number then shuffles the messages only, however
+bucketed by number, and a block's number is chosen so that all blocks of a writing task fall into a few buckets; so writing needs no
+shuffle and gives a few files a task. A join of blocks with messages (block, ...) by number then shuffles the messages only, however
 many there are. A row is named by its block and its place there: row = block << PLACE_BITS | place.
 """
 
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ PLACE_BITS = 16
 MOST_ROWS = 1 << PLACE_BITS
 #: Bits of a block's number that its task has for itself.
 OWN_BITS = 23
+#: Buckets that a task writes.
+SPREAD = 8
 
 
 def _rotate(x: np.ndarray, r: int) -> np.ndarray:
@@ -46,12 +50,19 @@ def bucket_of(number: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def numbers(task: int, buckets: int) -> Iterator[int]:
-    """Numbers for the blocks of a task, all in one bucket."""
-    step = 64 * buckets
-    for first in range(0, 1 << OWN_BITS, step):
-        tried = (np.int64(task) << OWN_BITS) + np.arange(first, min(first + step, 1 << OWN_BITS))
-        yield from tried[bucket_of(tried, buckets) == task % buckets].tolist()
-    raise OverflowError("too many blocks in a task")
+    """Numbers for the blocks of a task, which fall into SPREAD of the buckets at most, in turn."""
+    step = max(1, buckets // SPREAD)
+    held = {(task + i * step) % buckets: deque() for i in range(min(SPREAD, buckets))}
+    tries, first = 64 * buckets, 0
+    for own in cycle(held.values()):
+        while not own:
+            if first >= 1 << OWN_BITS:
+                raise OverflowError("too many blocks in a task")
+            tried = (np.int64(task) << OWN_BITS) + np.arange(first, min(first + tries, 1 << OWN_BITS))
+            found, first = bucket_of(tried, buckets), first + tries
+            for k, those in held.items():
+                those.extend(tried[found == k].tolist())
+        yield own.popleft()
 
 
 def bucketed(df: DataFrame, buckets: int) -> DataFrame:
