@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from ratingmill.llm.common import _remove, partitions, shared_dir, tune
+from ratingmill.llm.common import _remove, partitions, plain, shared_dir, tune
 
 BLOCK_BYTES = 2 << 20
 PLACE_BITS = 16
@@ -93,7 +94,7 @@ def _table(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
-def _writer(buckets: int):
+def _writer(buckets: int, names: list[str]):
     schema = pa.schema([("block", pa.int64()), ("body", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +102,7 @@ def _writer(buckets: int):
         held, rows, size = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([next(own)], pa.int64()), pa.array([_packed(pa.Table.from_batches(held))], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([next(own)], pa.int64()), pa.array([_packed(pa.Table.from_batches(held).rename_columns(names))], pa.binary())], schema=schema)
 
         for b in batches:
             i = 0
@@ -126,7 +127,7 @@ class Blocks:
     def __init__(self, df: DataFrame):
         tune(df.sparkSession)
         self.schema, self.spark = df.schema, df.sparkSession
-        self.table = bucketed(df.mapInArrow(_writer(partitions(self.spark)), "block long, body binary"), partitions(self.spark))
+        self.table = bucketed(plain(df).mapInArrow(_writer(partitions(self.spark), df.columns), "block long, body binary"), partitions(self.spark))
 
     def map(self, f: Callable[[int, pa.Table], pa.Table], schema: pa.Schema) -> DataFrame:
         """f(block, rows of the block) -> rows of schema, for every block."""
@@ -149,16 +150,20 @@ class Blocks:
         return self.table.select("block", "body").groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(each, from_arrow_schema(schema))
 
     def without(self, rows: DataFrame) -> DataFrame:
-        """The table without the named rows (column row)."""
+        """The table without the named rows (column row), its columns as they were."""
 
         def keep(left: pa.Table, gone: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return none
             t = _table(left.column("body")[0].as_py())
             mask = np.ones(t.num_rows, bool)
             mask[gone.column("row").to_numpy() & (MOST_ROWS - 1)] = False
-            return t.filter(pa.array(mask))
+            return t.filter(pa.array(mask)).rename_columns(names)
 
+        flat = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(self.schema)])
+        names, none = flat.names, to_arrow_schema(flat).empty_table()
         messages = rows.select(block_of("row").alias("block"), "row")
-        return self.table.select("block", "body").groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(keep, self.schema)
+        return self.table.select("block", "body").groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(keep, flat).toDF(*self.schema.names)
 
 
 def block_of(row: str):

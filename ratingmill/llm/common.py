@@ -92,6 +92,22 @@ def unpack(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with columns named by place, as functions on Arrow batches need: other names may be repeated or hold dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def filtered(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of docs, with all columns as they are, whose texts are kept; a row is decided where it lies."""
+    flat, at = plain(docs), docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+
+    return flat.mapInArrow(each, flat.schema).toDF(*docs.columns)
+
+
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest index that each of n nodes is linked to through the edges (a, b); pointer jumping, no recursion."""
     root = np.arange(n, dtype=np.int64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.llm.common import arrow_rows, cut, stash, tune
+from ratingmill.llm.common import arrow_rows, cut, filtered, stash, tune
 
 #: Shorter items must match whole.
 LEAST_WORDS = 5
@@ -190,15 +190,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, least_wor
     blank texts stay, as do all rows if there is no item. Items in more than one block make a pass each over what is left.
     """
 
-    def free(index) -> object:
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                text = b.column(b.schema.get_field_index("text")).to_pylist()
-                yield b.filter(pa.array([next(index.value.matches(words_of(t)), None) is None for t in text], pa.bool_()))
-
-        return each
-
     spark, left = tune(docs.sparkSession), None
     for index in _indexes(spark, benchmark, least, least_words, block_words):
-        left = (docs if left is None else stash(left)).mapInArrow(free(index), docs.schema)
+        free = lambda texts, x=index: [next(x.value.matches(words_of(t)), None) is None for t in texts]
+        left = filtered(docs if left is None else stash(left), free)
     return left

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import operator
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.llm.common import arrow_rows, stash, tune
+from ratingmill.llm.common import arrow_rows, filtered, stash, tune
 
 WIDTH = 1 << 18
 FIT_ROWS = 8000
@@ -144,7 +143,7 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, rounds: int = 60, rate: float = 0.3, shrink: float = 0.04) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], y: np.ndarray, rounds: int = 60, rate: float = 0.3, shrink: float = 0.08) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features with soft labels, classes of equal weight; weights are shrunk towards zero, so that
     words without evidence add nothing however long a text is. One class only: the bias alone."""
     w, bias = np.zeros(WIDTH), 0.0
@@ -239,12 +238,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs, with all columns, that the classifier keeps."""
+    """The rows of docs, with all columns, that the classifier keeps. Null, empty and equal texts are judged as in classify; an empty
+    table gives no row."""
     model = train(docs, labels, fit_rows)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([bool((model.score(t) < 0.5).all()) for t in text], pa.bool_()))
-
-    return docs.mapInArrow(each, docs.schema)
+    return filtered(docs, lambda texts: [bool((model.score(t) < 0.5).all()) for t in texts])

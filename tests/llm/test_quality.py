@@ -155,3 +155,30 @@ def test_inserted_words_ties_and_long_texts(spark):
     got = sorted(tuple(x) for x in decontaminate.contaminated(df, bench).collect())
     assert [x for x in got if x[0] == 1] == [(1, 5, 0.775, 0, 29)] * 2
     assert [x for x in got if x[0] == 2] == [(2, 5, 1.0, 0, 20)] * 2 and [x for x in got if x[0] == 3] == [(3, 5, 1.0, 120000, 120020)] * 2
+
+
+def test_filters_keep_odd_columns_and_decide_each_row(spark):
+    bad = "idiot scum stupid trash loser " * 30
+    r = random.Random(3)
+    rows = [(i, prose(r, 60) + " The house of the river is in the valley and it is old. " + (bad if i % 4 == 0 else ""), i, 1.5) for i in range(200)]
+    rows += [(900, None, 1, None), (901, "", 1, None), (901, "", 1, None), (None, "The house is old.", 2, 0.0), (902, "The house of it " * 20000, 3, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep long, `a.b` double")
+    kept = quality.keep_good(df, None, 400)
+    assert kept.schema.names == df.schema.names
+    keep = {x.doc_id: x.keep for x in quality.classify(df, None, 400).collect()}
+    assert sorted(str(x.doc_id) for x in kept.select("doc_id").collect()) == sorted(str(r[0]) for r in rows if keep[r[0]])
+    assert not any(keep[i] for i in range(0, 200, 4)) and all(keep[i] for i in range(200) if i % 4)
+    bench = spark.createDataFrame([(1, "house of the river is in")], "item_id long, text string")
+    left = decontaminate.clean(df, bench)
+    assert left.schema.names == df.schema.names and left.count() == 5
+
+
+def test_scorer_on_documents_kept_out_of_the_fit(spark):
+    """Fitted on half of the labelled documents, right on most of the others (0.95; what it misses are toxic texts in languages that the heuristic labellers do not know)."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    own = docs.join(labels, "doc_id")
+    model = quality.train(docs.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 0"))
+    rest = own.where("doc_id % 2 = 1").select("text", "quality", "toxic").collect()
+    right = [(float(model.score(r.text).max()) < 0.5) == (r.quality == 1 and r.toxic == 0) for r in rest]
+    assert len(right) > 150 and sum(right) / len(right) >= 0.94
