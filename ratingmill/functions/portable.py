@@ -31,3 +31,9 @@ def draw(n: Column | int, *parts: Column | str | int) -> Column:
 def surrogate_score(*parts: Column | str | int) -> Column:
     """A stand-in rating from 1 to 10. It checks plumbing, never judgement."""
     return (F.lit(1) + draw(10, *parts)).cast("double")
+
+
+def normal(*parts: Column | str | int) -> Column:
+    """A normal draw, by the Box-Muller rule."""
+    u = lambda tag: (draw(1 << 32, *parts, tag) + 0.5) / float(1 << 32)
+    return F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * F.pi() * u("b"))

@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.operators import reward
+from ratingmill.operators import expand, reward
 from ratingmill.operators.classify import AttributeSystem
 from ratingmill.operators.scoring import Generator, Scorer
 
 
 def world_labels(items: DataFrame, names: list[str], world: DataFrame, most: int | None = None) -> DataFrame:
     """(split, user_id, attribute, side): what each user's answers should be like in a world. An attribute out of the list raises."""
-    table = F.broadcast(items.sparkSession.createDataFrame(list(enumerate(names)), "i int, attribute string"))
+    table = expand.parameters(items.sparkSession, list(enumerate(names)), "i int, attribute string")
     own = items.select("split", "user_id", F.explode("user_attributes").alias("a")).select("split", "user_id", "a.attribute", "a.side")
     own = own.join(table, "attribute", "left")
     own = own.withColumn("i", F.coalesce("i", F.raise_error(F.lit("unknown attribute")).cast("int")))

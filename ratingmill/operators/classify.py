@@ -6,11 +6,13 @@ with the same train, predict, save and load.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,13 @@ class TextClassifier:
     def accuracy(self, df: DataFrame) -> DataFrame:
         return self.predict(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
+    def loss(self, df: DataFrame) -> DataFrame:
+        """(loss, accuracy, n) on labelled rows, as for validation: the mean negative log probability of the label."""
+        out = self.model.transform(self._cut(df))
+        p = F.get(vector_to_array("probability"), F.col("label"))
+        right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+        return out.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-12)))).alias("loss"), right.alias("accuracy"), F.count("*").alias("n"))
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
@@ -65,7 +74,17 @@ class TextClassifier:
         return cls(PipelineModel.load(path))
 
 
-class AttributeSystem:
+class PersonalizationSystem(ABC):
+    """What a system must do: learn from rewards, then answer; evaluate starts from a saved state where a path is given."""
+
+    @abstractmethod
+    def train(self, items: DataFrame, user_attributes: DataFrame, generate: Generator, scorer: Scorer, keep) -> DataFrame: ...
+
+    @abstractmethod
+    def evaluate(self, items: DataFrame, generate: Generator, load_path: str | None = None) -> DataFrame: ...
+
+
+class AttributeSystem(PersonalizationSystem):
     """Learns from rewards which attribute, followed or avoided, suits a user's history; answers with it in the prompt."""
 
     def __init__(self, names: list[str], options: ClassifierOptions = ClassifierOptions()):
@@ -83,7 +102,9 @@ class AttributeSystem:
         self.classifier.train(labelled.select("text", "label"))
         return labelled
 
-    def evaluate(self, items: DataFrame, generate: Generator) -> DataFrame:
+    def evaluate(self, items: DataFrame, generate: Generator, load_path: str | None = None) -> DataFrame:
+        if load_path is not None:
+            self.classifier = TextClassifier.load(load_path)
         texts = items.withColumn("text", render_history(F.col("conversation_history")))
         chosen = decode_label(F.col("prediction"), len(self.names))
         table = F.array(*[F.lit(n) for n in self.names])

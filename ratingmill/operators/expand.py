@@ -24,6 +24,12 @@ def parameters(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFram
     return F.broadcast(spark.createDataFrame(list(rows), ddl))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, made once and broadcast, if it proves to be no longer than a parameter table; else as it is, for a join that shuffles."""
+    rows = df.limit(MOST_PARAMETERS + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= MOST_PARAMETERS else df
+
+
 def attributes(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return parameters(spark, list(enumerate(names)), "attr_ord int, attribute string")
 

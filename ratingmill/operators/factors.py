@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingmill.functions import stats
+from ratingmill.functions.portable import normal
+from ratingmill.operators.expand import small
 
 #: Attributes whose correlation matrix may come to the driver.
 MOST_ATTRIBUTES = 5000
@@ -21,7 +23,7 @@ def imputed(ratings: DataFrame) -> DataFrame:
     """Missing scores become their attribute's mean. Means are aggregated first and broadcast: one row for each attribute."""
     score = stats.known(F.col("score"))
     means = ratings.groupBy("attr_ord").agg(F.avg(score).alias("__mean"))
-    return ratings.join(F.broadcast(means), "attr_ord").withColumn("score", F.coalesce(score, "__mean")).drop("__mean")
+    return ratings.join(small(means), "attr_ord").withColumn("score", F.coalesce(score, "__mean")).drop("__mean")
 
 
 def attribute_stats(ratings: DataFrame) -> DataFrame:
@@ -34,39 +36,43 @@ def informative(ratings: DataFrame, least: float = 1.5) -> tuple[DataFrame, Data
     """Ratings of the attributes with enough entropy, and the attributes that are removed."""
     s = attribute_stats(ratings).select("attr_ord", "attribute", "entropy")
     keep = s.where(F.col("entropy") >= least)
-    return ratings.join(F.broadcast(keep.select("attr_ord")), "attr_ord", "left_semi"), s.join(keep, "attr_ord", "left_anti")
+    return ratings.join(small(keep.select("attr_ord")), "attr_ord", "left_semi"), s.join(keep, "attr_ord", "left_anti")
 
 
-def standardised(ratings: DataFrame) -> DataFrame:
-    """With z: score less mean by population deviation; a flat attribute is divided by one."""
-    s = attribute_stats(ratings).select("attr_ord", "mean", "std")
+def standardised(ratings: DataFrame, noise: int | None = None) -> DataFrame:
+    """With z: score less mean by population deviation. A flat attribute is divided by one, so that z is zero; with a seed for noise
+    it gets normal draws keyed by conversation and attribute instead."""
+    s = attribute_stats(ratings).select("attr_ord", "mean", "std", F.col("flat").alias("__flat"))
     safe = F.when(F.col("std") > FLAT, F.col("std")).otherwise(1.0)
-    return ratings.join(F.broadcast(s), "attr_ord").withColumn("z", (F.col("score") - F.col("mean")) / safe).drop("mean", "std")
+    z = (F.col("score") - F.col("mean")) / safe
+    if noise is not None:
+        z = F.when(F.col("__flat"), normal(F.col("conv_ord"), F.col("attr_ord"), noise)).otherwise(z)
+    return ratings.join(small(s), "attr_ord").withColumn("z", z).drop("mean", "std", "__flat")
 
 
-def correlations(ratings: DataFrame) -> DataFrame:
+def correlations(ratings: DataFrame, noise: int | None = None) -> DataFrame:
     """(i, j, r) of all pairs of attributes: sums of z products over n - 1, the diagonal one.
 
     Each conversation's row of z is gathered (as long as the attribute list) and tasks add up their outer products, so that what is
     shuffled is one matrix for each task and not a row for each pair and conversation."""
-    z = standardised(ratings)
+    z = standardised(ratings, noise)
     k = ratings.select(F.max("attr_ord")).first()[0]
     if k is None:
         return ratings.sparkSession.createDataFrame([], "i int, j int, r double")
     if k >= MOST_ATTRIBUTES:
         raise ValueError(f"{k + 1} attributes are too many for a matrix")
     k += 1
-    rows = z.groupBy("conv_ord").agg(F.collect_list(F.struct("attr_ord", "z")).alias("row"))
+    rows = z.groupBy("conv_ord").agg(F.array_sort(F.collect_list(F.struct("attr_ord", "z"))).alias("row"))
+    rows = rows.select(F.transform("row", lambda c: c["attr_ord"]).alias("at"), F.transform("row", lambda c: c["z"]).alias("z"))
 
     def outer(batches):
         total, seen = np.zeros((k, k)), np.zeros(k)
         n = 0
         for b in batches:
+            at, size = np.concatenate(b["at"].to_numpy()), b["at"].map(len).to_numpy()
             x = np.zeros((len(b), k))
-            for i, row in enumerate(b["row"]):
-                for cell in row:
-                    x[i, cell["attr_ord"]] = cell["z"]
-                    seen[cell["attr_ord"]] += 1
+            x[np.repeat(np.arange(len(b)), size), at] = np.concatenate(b["z"].to_numpy())
+            seen += np.bincount(at, minlength=k)
             total += x.T @ x
             n += len(b)
         i, j = np.nonzero(np.outer(seen, seen))
@@ -77,6 +83,13 @@ def correlations(ratings: DataFrame) -> DataFrame:
     return parts.groupBy("i", "j").agg(r.alias("r"))
 
 
+def distances(corr: DataFrame) -> DataFrame:
+    """(i, j, distance) of all pairs of attributes: one less the size of their correlation, the same both ways, zero to itself."""
+    other = corr.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("r").alias("back"))
+    d = 1 - (F.abs("r") + F.abs("back")) / 2
+    return corr.join(other, ["i", "j"]).select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(d).alias("distance"))
+
+
 def antonyms(ratings: DataFrame, pairs) -> DataFrame:
     """For each pair of names that are both rated: correlation, and mean, deviation, least and largest of each pole and of the sum."""
     spark = ratings.sparkSession

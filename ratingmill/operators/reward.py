@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingmill.functions import stats
-from ratingmill.functions.portable import draw, order_key
+from ratingmill.functions.portable import draw, normal, order_key
 from ratingmill.functions.text import AVOID, FOLLOW
 from ratingmill.operators import expand
 from ratingmill.operators.scoring import Scorer
@@ -32,6 +32,24 @@ def judge_users(requests: DataFrame, user_attributes: DataFrame, scorer: Scorer,
     return signed_mean(scorer(expand.join_attributes(requests, user_attributes, user)), [*user, *request])
 
 
+class RewardJudge:
+    """Rewards users' requests and counts how many it was asked to judge, whatever the number of attributes of their users."""
+
+    def __init__(self, user_attributes: DataFrame, scorer: Scorer, user: Sequence[str] = ("split", "user_id")):
+        self.user_attributes, self.scorer, self.user = user_attributes, scorer, user
+        self.reset()
+
+    def judge(self, requests: DataFrame, request: Sequence[str]) -> DataFrame:
+        self._asked += requests.count()
+        return judge_users(requests, self.user_attributes, self.scorer, request, self.user)
+
+    def statistics(self) -> dict[str, int]:
+        return {"num_judge_requests": self._asked}
+
+    def reset(self) -> None:
+        self._asked = 0
+
+
 def best_attribute(df: DataFrame, keys: Sequence[str], attributes: int) -> DataFrame:
     """By key: the attribute with the largest absolute reward (the first of equals), its label and side."""
     from ratingmill.functions.text import encode_label
@@ -53,16 +71,15 @@ def permutation_world(spark: SparkSession, users: int, responses: int, seed: int
 def dense_world(spark: SparkSession, users: int, responses: int, seed: int) -> DataFrame:
     """(i, j, w): normal draws keyed by place, by the Box-Muller rule."""
     ij = spark.range(users * responses).select(F.floor(F.col("id") / responses).cast("int").alias("i"), F.pmod("id", F.lit(responses)).cast("int").alias("j"))
-    u = lambda tag: (draw(1 << 32, F.col("i"), F.col("j"), seed, tag) + 0.5) / float(1 << 32)
-    return ij.withColumn("w", F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * F.pi() * u("b")))
+    return ij.withColumn("w", normal(F.col("i"), F.col("j"), seed))
 
 
 def apply_world(user_attributes: DataFrame, world: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key, j, value): the world's matrix times each user's vector of sides, 1 to follow and -1 to avoid. user_attributes: (key, i, side).
 
-    A join and a sum: the world is broadcast, as it is as large as the attribute lists' product."""
+    A join and a sum: the world is as large as the attribute lists' product and broadcast if that is a parameter table."""
     v = F.when(F.col("side") == FOLLOW, 1.0).when(F.col("side") == AVOID, -1.0).otherwise(0.0)
-    out = user_attributes.withColumn("v", v).join(F.broadcast(world), "i")
+    out = user_attributes.withColumn("v", v).join(expand.small(world), "i")
     return out.groupBy(*key, "j").agg(F.sum(F.col("w") * F.col("v")).alias("value"))
 
 

@@ -25,17 +25,24 @@ Generator = Callable[[DataFrame], DataFrame]
 
 RESPONSE_TEMPLATE = "Conversation:\n{conversation}\nHow {attribute} is the assistant's last message? Give a whole number from 1 to 10.\n"
 PROMPT_TEMPLATE = "Conversation:\n{conversation}\nHow {attribute} is the user's last message? Give a whole number from 1 to 10.\n"
+# fixed value: what makes a model that was cut off while thinking give its rating
+FORCED = "</think>\n\nRating: "
 SYSTEM = {True: "You rate conversations. Think first, then answer with the rating.", False: "You rate conversations. Answer with the rating only."}
 
 
 @dataclass(frozen=True)
 class JudgeOptions:
-    """retries: attempts in all; force_rating: cut thinking short when the budget ends; default: what an unparsable answer scores."""
+    """retries: attempts in all; force_rating: cut thinking short when the budget ends; default: what an unparsable answer scores.
+    temperature, max_tokens and the ids of the yes and no tokens are for the models behind the generators."""
 
     retries: int = 3
     force_rating: bool = True
     thinking: bool = False
     default: float | None = None
+    temperature: float = 0.0
+    max_tokens: int = 8192
+    yes_token: int = 9642
+    no_token: int = 2822
     concurrency: int = 50
     api_retries: int = 6
     backoff_s: float = 5.0
@@ -83,29 +90,46 @@ def surrogate_generator(*keys: str, fails: int = 0) -> Generator:
     return generate
 
 
-def parsed_rating(generate: Generator, options: JudgeOptions = JudgeOptions()) -> Scorer:
-    """Scores by the rating in a generator's response; a response cut off while thinking is asked for the rating alone."""
+def parsed_rating(generate: Generator, options: JudgeOptions = JudgeOptions(), short: Generator | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Scorer:
+    """Scores by the rating in a generator's response.
+
+    A response that was cut off is asked for its rating alone, if options say so: its text so far and the end of thinking are put after
+    the prompt, and `short` (a generator of a few tokens; the same one if not given) goes on from there. Without that it has no score.
+    keep: writes the responses and reads them back, as a model's answers must not be made twice."""
 
     def score(df: DataFrame) -> DataFrame:
-        out = generate(df)
-        value = parse_rating(F.col("response.content"))
-        if options.force_rating:
-            forced = parse_rating(F.concat(F.col("response.content"), F.lit("</think>\n\nRating: ")))
-            value = F.when(F.col("response.finish_reason_stop"), value).otherwise(forced)
-        return out.withColumn("score", value.cast("double")).drop("response")
+        out = keep(generate(df))
+        ended = F.coalesce(F.col("response.finish_reason_stop"), F.lit(False))
+        value = parse_rating(F.col("response.content")).cast("double")
+        whole = out.where(ended).withColumn("score", value).drop("response")
+        cut = out.where(~ended)
+        if not options.force_rating:
+            return whole.unionByName(cut.withColumn("score", F.lit(None).cast("double")).drop("response"))
+        so_far = F.concat("prompt", F.coalesce("response.raw_text", F.lit("")), F.lit(FORCED))
+        again = (short or generate)(cut.withColumns({"__prompt": F.col("prompt"), "prompt": so_far}).drop("response"))
+        forced = again.withColumn("score", value).withColumn("prompt", F.col("__prompt"))
+        return whole.unionByName(forced.select(whole.columns))
 
     return score
 
 
-def retried(score: Callable[[DataFrame, int], DataFrame], keep: Callable[[DataFrame], DataFrame], options: JudgeOptions = JudgeOptions()) -> Scorer:
+def retried(
+    score: Callable[[DataFrame, int], DataFrame], keep: Callable[[DataFrame], DataFrame], options: JudgeOptions = JudgeOptions(), report: Callable[[int, int, int], None] | None = None
+) -> Scorer:
     """A scorer that asks again for the requests without a score, `retries` times in all, then gives the default. keep: writes a
-    round's result and reads it back, as a model's answers must not be made twice."""
+    round's result and reads it back, as a model's answers must not be made twice. report: gets the attempt, how many requests have a
+    score so far, and how many there are."""
 
     def run(df: DataFrame) -> DataFrame:
         done, pending, columns = [], df, [*df.columns, "score"]
+        scored, total = 0, None
         for attempt in range(max(1, options.retries)):
             result = keep(score(pending, attempt).select(columns))
             done.append(result.where("score is not null"))
+            if report is not None:
+                n = result.agg(F.count("score").alias("scored"), F.count("*").alias("asked")).first()
+                scored, total = scored + n.scored, n.asked if total is None else total
+                report(attempt, scored, total)
             pending = result.where("score is null").drop("score")
             if pending.isEmpty():
                 break

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +78,57 @@ def dataset(users: DataFrame) -> DataFrame:
     return users.select("split", F.col("user_idx").cast("string").alias("user_id"), F.col("rewrite_style_attributes").alias("user_attributes"), past.alias("conversation_history"), current.alias("current_messages"))
 
 
+#: Requests of a segment, in chunks; a task deals with the users of one segment at once.
+SEGMENT = 1000
+
+
+def _closes(total: np.ndarray, size: int) -> np.ndarray:
+    """For users by running total (their own requests included): the user that closes the chunk after one that each closes."""
+    return np.searchsorted(total, total + size)
+
+
 def chunked(users: DataFrame, order: Sequence[Column], requests: Column, size: int) -> DataFrame:
-    """users with the chunk in which each falls, by the requests of the users before it; no task sees all users."""
-    before = conv.running_total(users.withColumn("__n", requests), order, "__n", "__before")
-    return before.withColumn("chunk", F.floor(F.col("__before") / size).cast("long")).drop("__n", "__before")
+    """users with the chunk in which each falls: a chunk ends with the user whose requests bring it to `size` or more, and the next
+    starts from zero.
+
+    Where a chunk ends depends on all before it, so it is found in three passes. Users are split into segments of SEGMENT chunks or so
+    by the running total of requests. For each user that may close a segment's first chunk (those of its first `size` requests) the
+    segment tells how many chunks end in it and where the last one does; these short tables are joined end to end on the driver; then
+    each segment numbers its users from where its first chunk began. Requests are one or more for each user."""
+    rows = conv.running_total(users.withColumn("__n", requests.cast("long")), order, "__n", "__before")
+    rows = rows.withColumn("__segment", F.floor(F.col("__before") / (size * SEGMENT)).cast("long"))
+    ddl = "segment long, start long, reach long, closed long, last long"
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__before")
+        start, total = int(pdf["__before"].iloc[0]), (pdf["__before"] + pdf["__n"]).to_numpy(np.int64)
+        after, n = _closes(total, size), len(total)
+        closed, last = np.ones(n, np.int64), total.copy()
+        for i in range(n - 1, -1, -1):
+            if after[i] < n:
+                closed[i], last[i] = closed[after[i]] + 1, last[after[i]]
+        first = int(np.searchsorted(total, start + size)) + 1
+        return pd.DataFrame({"segment": pdf["__segment"].iloc[0], "start": start, "reach": total[:first], "closed": closed[:first], "last": last[:first]})
+
+    own = rows.select("__segment", "__before", "__n")
+    tables = own.groupBy("__segment").applyInPandas(table, ddl).toPandas().sort_values(["segment", "reach"])
+    begun, chunk, starts = 0, 0, []  # where the chunk that is open began, and its number
+    for segment, t in tables.groupby("segment"):
+        starts.append((int(segment), begun, chunk))
+        k = int(np.searchsorted(t["reach"].to_numpy(), begun + size))
+        if k < len(t):
+            begun, chunk = int(t["last"].iloc[k]), chunk + int(t["closed"].iloc[k])
+    began = users.sparkSession.createDataFrame(starts, "__segment long, __begun long, __chunk long")
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__before")
+        total = (pdf["__before"] + pdf["__n"]).to_numpy(np.int64)
+        after, chunk = _closes(total, size), np.zeros(len(total), np.int64)
+        at = int(np.searchsorted(total, int(pdf["__begun"].iloc[0]) + size))
+        while at < len(total):
+            chunk[at + 1 : at + 2] += 1
+            at = int(after[at])
+        return pd.DataFrame({"__before": pdf["__before"].to_numpy(), "chunk": int(pdf["__chunk"].iloc[0]) + np.cumsum(chunk)})
+
+    numbers = own.join(began, "__segment").groupBy("__segment").applyInPandas(number, "__before long, chunk long")
+    return rows.join(numbers, "__before").drop("__n", "__before", "__segment")

@@ -102,10 +102,16 @@ def judge_balance(spark, sf_dir):
     return out.select("judge", "pair", "n", *[r6(c, c) for c in ("mean_sum", "std_sum", "mean_l1_from_11", "corr")])
 
 
-@query()
+# Student's t: with t = tan(a) * sqrt(df), its density is that of cos(a) ** (df - 1); both integrals by Simpson's rule
+SIMPSON = "list_sum(list_transform(range(0, 4001), lambda k: CASE WHEN k=0 OR k=4000 THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END * pow(cos({top}*k/4000), n-3)))*{top}"
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT judge, pair, count(*)::BIGINT AS n, CASE WHEN stddev_pop(x)*stddev_pop(y)>0 AND count(*)>1 THEN covar_pop(x,y)/(stddev_pop(x)*stddev_pop(y)) END AS r FROM w GROUP BY judge, pair),
+a AS (SELECT *, CASE WHEN n>2 AND abs(r)<1 THEN atan(abs(r)/sqrt(1-r*r)) END AS alpha FROM c)
+SELECT judge, pair, n, round(r,6) AS corr, CASE WHEN r IS NULL THEN NULL WHEN n=2 THEN 1.0 WHEN abs(r)>=1 THEN 0.0 ELSE round(1-({SIMPSON.format(top='alpha')})/({SIMPSON.format(top='(pi()/2)')}),6) END::DOUBLE AS pval FROM a""")
 def judge_correlation_pvalues(spark, sf_dir):
     out = balance(both_slots(pair_scores(spark, sf_dir))).where("pair <> 'overall'")
-    return out.select("judge", "pair", "n", "corr", stats.p_value(F.col("corr"), F.col("n")).alias("pval"))
+    return out.select("judge", "pair", "n", r6("corr", "corr"), r6(stats.p_value(F.col("corr"), F.col("n")), "pval"))
 
 
 @query(f"WITH {SCORED} SELECT judge, round(avg(abs(x+y-11)),6) AS mean_l1, row_number() OVER (ORDER BY round(avg(abs(x+y-11)),6) DESC, judge)::BIGINT AS place FROM w GROUP BY judge")
@@ -272,12 +278,12 @@ def world_apply(spark, sf_dir):
     return reward.apply_world(own, reward.permutation_world(spark, N, N, SEED), ["user_id"])
 
 
-@query("SELECT vec_id, list_sum(list_transform(embedding[1:4], lambda x: x::DOUBLE * 2))::DOUBLE IS NOT NULL AS finite, round(embedding[1]::DOUBLE*2 - embedding[2]::DOUBLE, 6) AS u, round(embedding[3]::DOUBLE, 6) AS v FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE*((i-1)%5-2))), 5)+0.0 AS u, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE*((i-1)%3-1))), 5)+0.0 AS v FROM embeddings")
 def matrix_vector(spark, sf_dir):
-    m = F.array(*[F.array(*[F.lit(x) for x in row]) for row in ((2.0, -1.0, 0.0), (0.0, 0.0, 1.0))])
-    vec = F.slice(F.col("embedding").cast("array<double>"), 1, 3)
-    out = table(spark, sf_dir, "embeddings").select("vec_id", reward.apply_matrix(m, vec).alias("y"), F.col("embedding").isNotNull().alias("finite"))
-    return out.select("vec_id", "finite", r6(F.get("y", F.lit(0)), "u"), r6(F.get("y", F.lit(1)), "v"))
+    rows = [[float(i % 5 - 2) for i in range(64)], [float(i % 3 - 1) for i in range(64)]]
+    m = F.array(*[F.array(*[F.lit(x) for x in row]) for row in rows])
+    out = table(spark, sf_dir, "embeddings").select("vec_id", reward.apply_matrix(m, F.col("embedding").cast("array<double>")).alias("y"))
+    return out.select("vec_id", *[(F.round(F.get("y", F.lit(i)), 5) + F.lit(0.0)).alias(n) for i, n in enumerate("uv")])
 
 
 VECTOR = f"{ATTRS}, x AS (SELECT item_id, attr_ord AS j, ({h('item_id', 'attribute')}%7-3)::DOUBLE AS v FROM benchmark CROSS JOIN attrs)"
@@ -367,27 +373,30 @@ def gt_accuracy(spark, sf_dir):
     return out.select(*[r6(c, c) for c in ("accuracy", "strict_accuracy", "mean_margin")], "prompts")
 
 
-BIASED = f"b AS (SELECT model, system_prompt, c_custkey AS persona_id, item_id AS prompt_id, CASE WHEN {h('model', 'system_prompt', 'c_custkey', 'item_id')}%50=0 THEN NULL ELSE {score('model', 'system_prompt', 'c_custkey', 'item_id')} END AS score FROM benchmark CROSS JOIN (SELECT c_custkey FROM customer WHERE c_nationkey=3) CROSS JOIN (VALUES ('m1'),('m2')) m(model) CROSS JOIN (VALUES ('plain'),('kind')) s(system_prompt))"
+BIASED = f"b AS (SELECT model, system_prompt, c_custkey AS persona_id, item_id AS prompt_id, CASE WHEN {h('model', 'system_prompt', 'c_custkey', 'item_id')}%50=0 THEN NULL ELSE {score('model', 'system_prompt', 'c_custkey', 'item_id')} END AS score FROM benchmark CROSS JOIN (SELECT c_custkey FROM customer) CROSS JOIN (VALUES ('m1'),('m2')) m(model) CROSS JOIN (VALUES ('plain'),('kind')) s(system_prompt))"
 
 
-def biased(spark, sf_dir, whole: bool = False) -> DataFrame:
-    """Scores of each run's answers by each persona: all customers if whole, else those of one nation, as in BIASED."""
+def biased(spark, sf_dir) -> DataFrame:
+    """Scores of each run's answers by each persona. Prompts and runs are parameter tables; the personas are not moved."""
     runs = expand.by_run(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id")), ["m1", "m2"], ["plain", "kind"])
-    personas = table(spark, sf_dir, "customer").where(F.lit(whole) | (F.col("c_nationkey") == 3)).select(F.col("c_custkey").alias("persona_id"))
-    df = runs.crossJoin(personas)
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("persona_id")).crossJoin(expand.small(runs))
     key = [F.col(c) for c in ("model", "system_prompt", "persona_id", "prompt_id")]
     return df.withColumn("score", F.when(draw(50, *key) != 0, surrogate_score(*key)))
 
 
+T975 = f"t(df, q) AS (VALUES {values((k, round(stats.t_quantile(0.975, k), 9)) for k in range(1, 400))})"
+
+
 @query(f"WITH {BIASED} SELECT model, system_prompt, round(avg(score),6) AS mean, count(score)::BIGINT AS count, round(stddev_samp(score)/sqrt(count(score)),6) AS sem FROM b GROUP BY ALL")
 def persona_bias(spark, sf_dir):
     out = biased(spark, sf_dir).groupBy("model", "system_prompt").agg(F.avg("score").alias("mean"), F.count("score").alias("count"), (F.stddev_samp("score") / F.sqrt(F.count("score"))).alias("sem"))
     return out.select("model", "system_prompt", r6("mean", "mean"), "count", r6("sem", "sem"))
 
 
-@query()
+@query(f"WITH {BIASED}, {T975}, g AS (SELECT model, system_prompt, persona_id, avg(score) AS mean, stddev_samp(score) AS sd, count(score) AS n, count(*) AS rows FROM b GROUP BY ALL) SELECT model, system_prompt, persona_id, round(mean,6) AS mean, CASE WHEN n=rows AND rows>1 THEN round(q*sd/sqrt(rows),6) END AS ci95, n::BIGINT AS count FROM g LEFT JOIN t ON df=rows-1")
 def persona_bias_ci(spark, sf_dir):
-    return stats.mean_ci95(biased(spark, sf_dir, whole=True), ["model", "system_prompt", "persona_id"], "score")
+    out = stats.mean_ci95(biased(spark, sf_dir), ["model", "system_prompt", "persona_id"], "score")
+    return out.select("model", "system_prompt", "persona_id", r6("mean", "mean"), r6("ci95", "ci95"), "count")
 
 
 @query(f"WITH {BIASED} SELECT 'P'||lpad(persona_id::VARCHAR, greatest(2, length(persona_id::VARCHAR))::INT, '0') AS persona, round(avg(score) FILTER (model='m1' AND system_prompt='plain'),6) AS m1_plain, round(avg(score) FILTER (model='m1' AND system_prompt='kind'),6) AS m1_kind, round(avg(score) FILTER (model='m2' AND system_prompt='plain'),6) AS m2_plain, round(avg(score) FILTER (model='m2' AND system_prompt='kind'),6) AS m2_kind FROM b GROUP BY persona_id")
@@ -457,13 +466,15 @@ def weighted_rating(spark, sf_dir):
     return p.select("item_id", r6(logprobs.weighted_rating(F.col("p")), "rating"), logprobs.low_mass(F.col("p")).alias("low"))
 
 
-@query(f"SELECT item_id, round(exp(ln((1+{h('item_id')}%98)/100.0))*0.9, 6) AS ten, round((1+{h('item_id')}%98)/100.0*(1-0.95), 6) AS one FROM benchmark")
+DIGITS = [f"(1+{h('item_id', str(d))}%9)/100.0" for d in range(1, 10)]
+
+
+@query(f"SELECT item_id, round({DIGITS[0]}*(1-0.95),6) AS p1, {', '.join(f'round({x},6) AS p{i}' for i, x in enumerate(DIGITS[1:], 2))}, round({DIGITS[0]}*0.9,6) AS p10 FROM benchmark")
 def rating_distribution(spark, sf_dir):
-    p = (1 + draw(98, F.col("item_id"))) / 100.0
-    first = F.create_map(F.lit(1), F.log(p))
+    first = F.create_map(*[x for d in range(1, 10) for x in (F.lit(d), F.log((1 + draw(9, F.col("item_id"), d)) / 100.0))])
     second = F.create_map(F.lit(0), F.log(F.lit(0.9)), F.lit(5), F.log(F.lit(0.05)))
     d = table(spark, sf_dir, "benchmark").select("item_id", logprobs.rating_distribution(first, second).alias("d"))
-    return d.select("item_id", r6(F.get("d", F.lit(9)), "ten"), r6(F.get("d", F.lit(0)), "one"))
+    return d.select("item_id", *[r6(F.get("d", F.lit(i)), f"p{i + 1}") for i in range(10)])
 
 
 @query(f"WITH p AS (SELECT item_id, (1+{h('item_id')}%98)/100.0 AS y FROM benchmark) SELECT item_id, round(1/(1+exp(ln(0.99-y*0.99)-ln(y*0.99))),6) AS yes FROM p")
@@ -498,7 +509,9 @@ def slot_assignment(spark, sf_dir):
     return expand.slots(users, F.col("ord"), 3, 7).select("user_id", "slot", F.col("source_ord").cast("long").alias("source_ord"))
 
 
-@query("WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), b AS (SELECT user_id, n, coalesce(sum(n) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before FROM n) SELECT user_id, n::BIGINT AS requests, (before//500)::BIGINT AS chunk FROM b")
+@query("""WITH RECURSIVE n AS (SELECT user_id, count(*)::BIGINT AS n, row_number() OVER (ORDER BY user_id) AS k FROM events GROUP BY user_id),
+c AS (SELECT k, n AS held, 0::BIGINT AS chunk FROM n WHERE k=1 UNION ALL SELECT n.k, CASE WHEN held>=500 THEN n.n ELSE held+n.n END, CASE WHEN held>=500 THEN chunk+1 ELSE chunk END FROM c JOIN n ON n.k=c.k+1)
+SELECT user_id, n AS requests, chunk FROM c JOIN n USING (k)""")
 def chunk_boundaries(spark, sf_dir):
     n = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("requests"))
     return synthetic.chunked(n, [F.col("user_id")], F.col("requests"), 500).select("user_id", "requests", "chunk")
@@ -522,13 +535,56 @@ def judge_requests(spark, sf_dir):
     return scoring.response_requests(sound).select("conv_id", "prompt")
 
 
-@query()
+FAILS = [h("item_id", str(k), "'fails'") for k in range(3)]
+
+
+def kept(spark):
+    """Writes a table to a folder of its own and reads it back."""
+    at, made = scratch(spark), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(f"{at}/{len(made)}")
+        df.write.parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    return keep
+
+
+def attempted(df: DataFrame, k: int) -> DataFrame:
+    return df.withColumn("score", F.when(draw(3, F.col("item_id"), k, "fails") != 0, surrogate_score(F.col("item_id"))))
+
+
+@query(f"SELECT item_id, CASE WHEN {' OR '.join(f'{x}%3<>0' for x in FAILS)} THEN {score('item_id')} ELSE 5.0 END AS score FROM benchmark")
 def ratings_retry(spark, sf_dir):
-    def attempt(df, k):
-        return df.withColumn("score", F.when(draw(3, F.col("item_id"), k, "fails") != 0, surrogate_score(F.col("item_id"))))
+    return scoring.retried(attempted, kept(spark), scoring.JudgeOptions(retries=3, default=5.0))(table(spark, sf_dir, "benchmark").select("item_id"))
+
+
+@query(f"SELECT attempt::INT AS attempt, (count(*) FILTER (CASE attempt WHEN 0 THEN {FAILS[0]}%3<>0 WHEN 1 THEN {FAILS[0]}%3<>0 OR {FAILS[1]}%3<>0 ELSE {' OR '.join(f'{x}%3<>0' for x in FAILS)} END))::BIGINT AS scored, count(*)::BIGINT AS asked FROM benchmark CROSS JOIN (VALUES (0), (1), (2)) a(attempt) GROUP BY attempt")
+def scores_by_attempt(spark, sf_dir):
+    said = []
+    scoring.retried(attempted, kept(spark), scoring.JudgeOptions(retries=3), lambda *x: said.append(x))(table(spark, sf_dir, "benchmark").select("item_id"))
+    return spark.createDataFrame(said, "attempt int, scored long, asked long")
+
 
-    keep = lambda df: df.persist()
-    return scoring.retried(attempt, keep, scoring.JudgeOptions(retries=3, default=5.0))(table(spark, sf_dir, "benchmark").select("item_id"))
+@query(f"SELECT item_id, CASE WHEN {h('item_id', "'cut'")}%4=0 THEN 1+{h('item_id', "'forced'")}%10 ELSE 1+{h('item_id')}%10 END::DOUBLE AS score FROM benchmark")
+def forced_rating(spark, sf_dir):
+    """Responses that were cut off hold numbers, which are no ratings; a short second response gives it."""
+    item = F.col("item_id")
+
+    def said(df, raw, stop):
+        parts = text.split_reasoning(raw)
+        return df.withColumn("response", F.struct(parts["content"].alias("content"), parts["reasoning"].alias("reasoning"), raw.alias("raw_text"), stop.alias("finish_reason_stop")))
+
+    def generate(df):
+        cut = draw(4, item, "cut") == 0
+        return said(df, F.when(cut, "<think>3 or 4, of 10").otherwise(F.concat(F.lit("<think>9?</think> Rating: "), surrogate_score(item).cast("int").cast("string"))), ~cut)
+
+    def short(df):
+        asked = F.col("prompt") == F.concat(F.lit("Rate "), item.cast("string"), F.lit("<think>3 or 4, of 10"), F.lit(scoring.FORCED))
+        return said(df, F.when(asked, (1 + draw(10, item, "forced")).cast("string")), F.lit(False))
+
+    df = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Rate "), item.cast("string")).alias("prompt"))
+    return scoring.parsed_rating(generate, short=short, keep=kept(spark))(df).select("item_id", "score")
 
 
 def embedded(spark, sf_dir) -> DataFrame:
@@ -561,11 +617,13 @@ def classifier_predict(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir where it is set."""
+    """A new folder that all executors share, under spark.checkpoint.dir; a temporary one only where all runs in this process."""
     import tempfile
     import uuid
 
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="ratingmill-")
 
 
@@ -605,12 +663,6 @@ def benchmark_worlds(spark, sf_dir):
         F.when(F.col("user_id") % 2 == 0, "train").otherwise("test").alias("split"), F.col("user_id").cast("string").alias("user_id"), F.col("attributes").alias("user_attributes"),
         F.array("messages").alias("conversation_history"), conv.without_last(F.col("messages")).alias("current_messages"),
     )
-    at = scratch(spark)
-
-    def keep(df, made=[0]):
-        made[0] += 1
-        df.write.parquet(f"{at}/{made[0]}")
-        return spark.read.schema(df.schema).parquet(f"{at}/{made[0]}")
-
+    keep = kept(spark)
     generate, scorer = scoring.surrogate_generator("split", "user_id", "attribute"), scoring.surrogate_scorer("content", "attribute")
-    return benchmark.run(keep(items), NAMES, {0: reward.permutation_world(spark, N, N, 0)}, generate, scorer, keep)
+    return benchmark.run(keep(items), NAMES, {k: reward.permutation_world(spark, N, N, k) for k in (0, 1)}, generate, scorer, keep)

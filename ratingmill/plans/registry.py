@@ -1,5 +1,6 @@
 """All registered queries of the engine with their SQL counterparts."""
 
+from ratingmill.plans import roundtrips  # noqa: F401  (registers its queries)
 from ratingmill.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

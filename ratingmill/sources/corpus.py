@@ -103,3 +103,23 @@ def attributes_json(spark: SparkSession, path: str) -> DataFrame:
     """(ord, attribute) of a JSON list of strings in a file."""
     text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", "array<string>")).alias("ord", "attribute"))
+
+
+def attributes_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, attribute) of a YAML list of strings, an item a line: `- name`, plain or in quotes."""
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike(r"^\s*-\s+\S"))
+    name = lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s*-\s+|\s+$", ""), r"""^(["'])(.*)\1$""", "$2")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.transform(lines, name)).alias("ord", "attribute"))
+
+
+def bias_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schema.BIAS).csv(path, header=True, multiLine=True, escape='"')
+
+
+def item(df: DataFrame, i: int):
+    """The row with ordinal i (column ord), counted from the end if negative; raises IndexError beyond the last."""
+    at = i if i >= 0 else i + df.count()
+    row = df.where(F.col("ord") == at).first()
+    if row is None:
+        raise IndexError(i)
+    return row

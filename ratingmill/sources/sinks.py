@@ -26,6 +26,11 @@ def plain_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"', quote='"')
 
 
+def bias_csv(rows: DataFrame, path: str) -> None:
+    """Scores of personas as CSV, columns as in schema.BIAS."""
+    rows.select("model", "system_prompt", "persona_id", "persona", "prompt_id", "prompt", "response", "score").write.mode("overwrite").csv(path, header=True, escape='"', quote='"')
+
+
 def matrix(ratings: DataFrame, path: str) -> None:
     ratings.write.mode("overwrite").parquet(path)
 
@@ -45,6 +50,16 @@ def attributes_json(attributes: DataFrame, path: str) -> None:
     attributes.agg(F.to_json(ordered).alias("value")).write.mode("overwrite").text(path)
 
 
+def mean_line(mean: str, spread: str) -> Column:
+    """Two digits, halves to the even digit."""
+    return F.format_string("%.2f ± %.2f", F.bround(mean, 2), F.bround(spread, 2))
+
+
+def share_line(share: str) -> Column:
+    """A share as percent with one digit, halves to the even digit."""
+    return F.format_string("%.1f%%", F.bround(F.col(share) * 100, 1))
+
+
 def component_line() -> Column:
     return F.format_string("RC%-3d %6.2f  %-24s %+.3f", "rank", "ssl", "attribute", "loading")
 

@@ -177,3 +177,58 @@ def test_factor_queries_take_all_components(spark, tmp_path):
     assert {r["rank"] for r in catalog.parallel_analysis(spark, str(tmp_path)).collect()} == set(range(16))
     got = catalog.varimax_components(spark, str(tmp_path)).collect()
     assert {r.attr_ord for r in got} == set(range(16)) and {r.k for r in got} == {2, 4}
+
+
+def test_chunks_start_anew_after_a_cut(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, r.choice([1, 2, 3, 7, 40])) for i in range(600)]
+    df = spark.createDataFrame(rows, "user_idx int, n int").repartition(5)
+    for size, segment in ((10, 1), (25, 2), (25, 1000), (1, 3), (10**6, 1)):
+        monkeypatch.setattr(synthetic, "SEGMENT", segment)
+        want, held, chunk = {}, 0, 0
+        for i, n in rows:
+            want[i] = chunk
+            held += n
+            if held >= size:
+                held, chunk = 0, chunk + 1
+        got = synthetic.chunked(df, [F.col("user_idx")], F.col("n"), size)
+        assert got.columns == ["user_idx", "n", "chunk"] and {x.user_idx: x.chunk for x in got.collect()} == want
+
+
+def test_cut_off_responses_are_asked_once_more(spark):
+    df = spark.createDataFrame([(1, "p1"), (2, "p2"), (3, "p3")], "k int, prompt string")
+    asked = []
+
+    def said(df, content, stop):
+        return df.withColumn("response", F.struct(content.alias("content"), F.lit(None).cast("string").alias("reasoning"), F.lit("7 of").alias("raw_text"), stop.alias("finish_reason_stop")))
+
+    def generate(df):
+        return said(df, F.when(F.col("k") == 1, "8").otherwise("7 of"), F.col("k") == 1)
+
+    def short(df):
+        asked.extend(r.prompt for r in df.collect())
+        return said(df, F.when(F.col("k") == 2, " 3").otherwise("none"), F.lit(False))
+
+    got = {r.k: (r.prompt, r.score) for r in scoring.parsed_rating(generate, short=short)(df).collect()}
+    assert got == {1: ("p1", 8.0), 2: ("p2", 3.0), 3: ("p3", None)}
+    assert sorted(asked) == ["p27 of</think>\n\nRating: ", "p37 of</think>\n\nRating: "]
+    left = scoring.parsed_rating(generate, scoring.JudgeOptions(force_rating=False))(df).collect()
+    assert {r.k: r.score for r in left} == {1: 8.0, 2: None, 3: None}
+
+
+def test_lists_places_and_loss(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("attributes:\n  - warm\n  - 'very terse' \n# no\n- \"x: y\"\n")
+    assert [r.attribute for r in corpus.attributes_yaml(spark, str(tmp_path / "a.yaml")).orderBy("ord").collect()] == ["warm", "very terse", "x: y"]
+    df = spark.range(3).withColumnRenamed("id", "ord")
+    assert corpus.item(df, 1).ord == 1 and corpus.item(df, -1).ord == 2
+    with pytest.raises(IndexError):
+        corpus.item(df, 3)
+    rows = [(f"warm friendly {i}", 0) if i % 2 else (f"terse short {i}", 1) for i in range(40)]
+    data = spark.createDataFrame(rows, "text string, label int")
+    r = classify.TextClassifier(options=classify.ClassifierOptions(width=64, rounds=10)).train(data).loss(data).first()
+    assert 0 < r.loss < 0.5 and r.accuracy == 1.0 and r.n == 40
+    assert issubclass(classify.AttributeSystem, classify.PersonalizationSystem)
+    with pytest.raises(TypeError):
+        classify.PersonalizationSystem()
