@@ -51,3 +51,15 @@ ORACLES = {
     "op5_trigram_secrets": _spans(SECRETS, secrets.BASE),
     "op8_pivot_range_join": VECTORS,
 }
+
+# strings of 50 bytes as 100 hex digits; runs of removed bytes are those that overlap or touch
+REPEATS = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text,''))) AS x FROM documents),
+w AS (SELECT r, doc_id, unnest(range(0, length(x)//2-49)) AS i, x FROM d), s AS (SELECT r, doc_id, i, substr(x, 2*i+1, 100) AS s FROM w),
+m AS (SELECT s, min(doc_id) AS low FROM s GROUP BY s), c AS (SELECT r, i FROM s JOIN m USING (s) WHERE low<doc_id),
+g AS (SELECT r, i, CASE WHEN i-lag(i) OVER (PARTITION BY r ORDER BY i)<=50 THEN 0 ELSE 1 END AS new FROM c),
+k AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM g), runs AS (SELECT r, min(i) AS a, max(i)+50 AS b FROM k GROUP BY r, k),
+p AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS done FROM runs),
+o AS (SELECT r, sum(b-a)::BIGINT AS gone, count(*) AS n, max(b) AS last, string_agg(substr(x, 2*done+1, 2*(a-done)), '' ORDER BY a) AS kept FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(x)//2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '')||substr(x, 2*coalesce(last, 0)+1))) AS kept_sha256 FROM d LEFT JOIN o USING (r)"""
+
+ORACLES["op6_repeated_passages"] = REPEATS
