@@ -24,7 +24,7 @@ SECRETS = (
 )
 
 
-def _spans(kinds: tuple, base: tuple[str, ...]) -> str:
+def _spans(kinds: tuple, base: tuple[str, ...], score: str = "") -> str:
     hits = " UNION ALL ".join(
         "SELECT r, {0} AS rank, '{1}' AS kind, regexp_extract_all(t, '{2}') AS m, string_split_regex(t, '{2}') AS g FROM d WHERE regexp_matches(t, '{2}')".format(i, k, p.replace("'", "''"))
         for i, (k, p, _) in enumerate(kinds)
@@ -32,22 +32,26 @@ def _spans(kinds: tuple, base: tuple[str, ...]) -> str:
     ok = " ".join(f"WHEN '{k}' THEN {v}" for k, _, v in kinds)
     counts = ", ".join(f"(count(*) FILTER (kind='{k}'))::BIGINT AS n_{k}" for k in base)
     own = ", ".join(f"'{k}'" for k in base)
+    scores = ", coalesce(string_agg(score::VARCHAR, ',' ORDER BY pos, rank), '') AS scores" if score else ""
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text,'') AS t FROM documents), h AS ({hits}),
 s AS (SELECT r, rank, kind, m, g, unnest(range(1, len(m)+1)) AS i FROM h),
 p AS (SELECT r, rank, kind, m[i] AS x, (list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i-1], lambda y: length(y))),0))::BIGINT AS pos, lower(concat_ws(' ', right(g[i],40), left(g[i+1],40))) AS near,
   regexp_replace(m[i], '[^0-9]', '', 'g') AS d, substr(replace(m[i],' ',''),5)||substr(replace(m[i],' ',''),1,4) AS c FROM s),
-k AS (SELECT r, rank, kind, pos, kind||':'||pos||':'||(pos+length(x)) AS span FROM p WHERE CASE kind {ok} END)
-SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY pos, rank) FILTER (kind IN ({own})), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY pos, rank), '') AS spans
+k AS (SELECT r, rank, kind, pos, kind||':'||pos||':'||(pos+length(x)) AS span{', ' + score if score else ''} FROM p WHERE CASE kind {ok} END)
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY pos, rank) FILTER (kind IN ({own})), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY pos, rank), '') AS spans{scores}
 FROM d LEFT JOIN k USING (r) GROUP BY r"""
 
 
+_FOR = " ".join(f"WHEN '{k}' THEN {a}::DOUBLE+CASE WHEN regexp_matches(near, '{pii.CONTEXT[k]}') THEN {b} ELSE 0 END" for k, (a, b) in pii.SCORES.items())
+_SCORE = f"round(least(greatest(CASE kind {_FOR} END - CASE WHEN regexp_matches(near, '{pii.AGAINST}') THEN {pii.LESS} ELSE 0 END, 0), 1), 3) AS score"
+
 VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0 AND len(list_filter(embedding, lambda x: x<>0))>0),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label=b.label AND a.vec_id<>b.vec_id AND len(a.e)=len(b.e) WHERE list_inner_product(a.e,b.e)/(sqrt(list_inner_product(a.e,a.e))*sqrt(list_inner_product(b.e,b.e)))>=0.98),
 r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y=l.x)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.x=vec_id)::BIGINT AS n_links, least(vec_id, coalesce((SELECT min(y) FROM r WHERE r.x=vec_id), vec_id))::BIGINT AS component_id, (vec_id = least(vec_id, coalesce((SELECT min(y) FROM r WHERE r.x=vec_id), vec_id))) AS kept FROM embeddings"""
 
 ORACLES = {
-    "op3_personal_data": _spans(PII, pii.BASE),
+    "op3_personal_data": _spans(PII, pii.BASE, _SCORE),
     "op5_trigram_secrets": _spans(SECRETS, secrets.BASE),
     "op8_pivot_range_join": VECTORS,
 }

@@ -53,11 +53,19 @@ def mod97(m: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(c)), F.lit(0), step) == 1
 
 
-def _scored(kind: str, start: float, more: float = 0.15, less: float = 0.2):
+#: Of a kind: the score of a span that its checks confirm, and what a word near it that speaks for the kind adds.
+SCORES = {"email": (0.85, 0.15), "ip": (0.6, 0.15), "card": (0.8, 0.15), "phone": (0.65, 0.15), "iban": (0.9, 0.1), "ssn": (0.3, 0.4)}
+#: What a word near it that speaks against personal data takes away.
+LESS = 0.2
+
+
+def _scored(kind: str):
+    start, more = SCORES[kind]
+
     def score(m: Column, before: Column, after: Column) -> Column:
         near = F.lower(F.concat_ws(" ", before, after))
         s = F.lit(start) + F.when(near.rlike(CONTEXT[kind]), more).otherwise(0.0)
-        s = s - F.when(near.rlike(AGAINST), less).otherwise(0.0)
+        s = s - F.when(near.rlike(AGAINST), LESS).otherwise(0.0)
         return F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)), 3)
 
     return score
@@ -69,27 +77,27 @@ _digit = lambda t: t.rlike("[0-9]")
 RULES = (
     Rule(
         "email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        lambda t: t.contains("@"), score=_scored("email", 0.85),
+        lambda t: t.contains("@"), score=_scored("email"),
     ),
     Rule(
         "ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.contains(".") & _digit(t),
-        lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), _scored("ip", 0.6),
+        lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), _scored("ip"),
     ),
     Rule(
         "card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++", _digit,
-        lambda m: F.length(_digits(m)).between(14, 19) & luhn(m), _scored("card", 0.8),
+        lambda m: F.length(_digits(m)).between(14, 19) & luhn(m), _scored("card"),
     ),
     Rule(
         "phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"),
-        lambda m: F.length(_digits(m)).between(10, 15), _scored("phone", 0.65),
+        lambda m: F.length(_digits(m)).between(10, 15), _scored("phone"),
     ),
     Rule(
         "iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", _digit,
-        lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & mod97(m), _scored("iban", 0.9),
+        lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & mod97(m), _scored("iban"),
     ),
     Rule(
         "ssn", r"[0-9][0-9-]*+", lambda t: t.contains("-") & _digit(t),
-        lambda m: m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ~m.rlike("^(?:000|666|9)|-00-|-0000$"), _scored("ssn", 0.3, more=0.4), least=0.5,
+        lambda m: m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ~m.rlike("^(?:000|666|9)|-00-|-0000$"), _scored("ssn"), least=0.5,
     ),
 )
 
@@ -104,11 +112,17 @@ def find(docs: DataFrame, out: str = "pii", text: str = "text") -> DataFrame:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document."""
-    return digest(find(docs.select("doc_id", "text"), "pii_spans"), "pii_spans", BASE)
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) of every document; scores: of the spans, in their order.
+
+    Null and empty texts have no span; equal rows and rows without doc_id are given each; an empty table gives no row.
+    """
+    return digest(find(docs.select("doc_id", "text"), "pii_spans"), "pii_spans", BASE, scores=True)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each piece of personal data in text replaced by its kind in brackets; n_chars, if there, follows the text."""
+    """docs with each piece of personal data in text replaced by its kind in brackets; n_chars, if there, follows the text.
+
+    Null and empty texts, texts without a span and all other columns stay as they are; equal rows are kept each.
+    """
     done = find(docs, "__rm_pii").withColumn("text", redacted(F.col("text"), F.col("__rm_pii"))).drop("__rm_pii")
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

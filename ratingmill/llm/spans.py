@@ -79,15 +79,16 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def digest(df: DataFrame, spans: str, base: Sequence[str]) -> DataFrame:
-    """doc_id, the count of each base kind, base_sha256 and all spans."""
+def digest(df: DataFrame, spans: str, base: Sequence[str], scores: bool = False) -> DataFrame:
+    """doc_id, the count of each base kind, base_sha256 and all spans, and their scores if asked for."""
     own = F.filter(spans, lambda s: s["kind"].isin(*base))
 
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in base]
-    return df.select("doc_id", *counts, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
+    more = [F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores")] if scores else []
+    return df.select("doc_id", *counts, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"), *more)
 
 
 def redacted(text: Column, spans: Column) -> Column:
