@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from ratingmill.llm.common import _remove, partitions, plain, shared_dir, tune
+from ratingmill.llm.common import _remove, partitions, plain, release, shared_dir, tune
 
 BLOCK_BYTES = 2 << 20
 PLACE_BITS = 16
@@ -136,6 +136,7 @@ class Blocks:
             for b in batches:
                 for block, body in zip(b.column(0).to_pylist(), b.column(1)):
                     yield from f(block, _table(body.as_py())).to_batches()
+                    release()
 
         return self.table.select("block", "body").mapInArrow(each, from_arrow_schema(schema))
 
@@ -145,6 +146,7 @@ class Blocks:
         def each(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
                 return schema.empty_table()
+            release()
             return f(left.column("block")[0].as_py(), _table(left.column("body")[0].as_py()), right)
 
         return self.table.select("block", "body").groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(each, from_arrow_schema(schema))

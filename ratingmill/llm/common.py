@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +70,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives back what this Python worker's allocators hold unused, as a worker outlives its task and shares its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_rows(f: Callable[[dict[str, list]], dict[str, object]], schema: pa.Schema) -> Callable:
     """A function for mapInArrow from one on columns as Python lists; it makes columns of any length."""
 
@@ -76,6 +86,8 @@ def arrow_rows(f: Callable[[dict[str, list]], dict[str, object]], schema: pa.Sch
         for b in batches:
             out = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in schema], schema=schema)
+            del out
+            release()
 
     return each
 
@@ -104,6 +116,7 @@ def filtered(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]]) ->
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+            release()
 
     return flat.mapInArrow(each, flat.schema).toDF(*docs.columns)
 

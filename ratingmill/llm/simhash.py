@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingmill.llm.blocks import MOST_ROWS, Blocks, block_of, places, rows_of
-from ratingmill.llm.common import arrow_rows, components, cut, local_roots, pack, partitions, stash, tune, unpack
+from ratingmill.llm.common import arrow_rows, components, cut, local_roots, pack, partitions, release, stash, tune, unpack
 
 BITS = 64
 #: Pairs of query and tree node that a search holds at once.
@@ -274,8 +274,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
 SAMPLES, SAMPLE = 8, 3
 #: Documents whose shingles are counted for the order of shingles, at least, and the share of all that is; frequent shingles ranked at most.
 ORDER_ROWS, ORDER_SHARE, ORDER_MOST = 8000, 32, 200_000
+#: Documents whose prefixes a task of the search for pairs has, about.
+BUCKET_ROWS = 2000
 #: Pairs that a task makes at once, and members of a part of a shingle that many texts have.
-PAIRS, PART = 250_000, 2000
+PAIRS, PART = 100_000, 2000
 
 
 def _shingles(w: list[bytes], words: int, seed: int) -> np.ndarray:
@@ -486,6 +488,7 @@ def _pairs_of(sets: Sets):
             return
         columns = [np.concatenate([unpack(x, k) if m != "token" else np.cumsum(unpack(x, k), dtype=k) for b in got for x in b.column(m).to_pylist()]) for m, k in MEMBERS.items()]
         got.clear()
+        release()
         order = np.argsort(columns[0], kind="stable")
         token, node, root, n, at = (x[order] for x in columns)
         members = (node, root ^ node, n, at)
@@ -551,7 +554,7 @@ def _pairs_left(blocks: Blocks, contents: DataFrame, rows: int, sets: Sets) -> D
 
     In one order of all shingles, rare ones first, two sets of that similarity share a shingle of the first 1 - similarity of the
     larger and the first (1 - similarity) / (1 + similarity) of the smaller. Nothing depends on how many texts share it."""
-    tasks = partitions(blocks.spark)
+    tasks = max(partitions(blocks.spark), -(-rows // BUCKET_ROWS))
     sent = blocks.join(contents.select(block_of("row").alias("block"), "row", "root"), _dealt(tasks, sets, *_frequent(blocks, rows, sets)), DEALT)
     found = stash(sent.repartition(tasks, "bucket").mapInArrow(_pairs_of(sets), "a long, b long, x binary, y binary"))
     parts = found.where("x is not null").select("x", "y").repartition(tasks)
