@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratingmill.llm import pii, secrets
+from ratingmill.llm import licenses, pii, secrets
 
 # base patterns, as the queries' contracts give them, and those that the operators add; then what a match x must satisfy
 _LUHN = """list_sum(list_transform(range(1, length(d)+1), lambda k: CASE WHEN (length(d)-k)%2=1 THEN 2*substr(d,k,1)::INT - CASE WHEN substr(d,k,1)::INT>4 THEN 9 ELSE 0 END ELSE substr(d,k,1)::INT END))%10=0"""
@@ -67,3 +67,35 @@ o AS (SELECT r, sum(b-a)::BIGINT AS gone, count(*) AS n, max(b) AS last, string_
 SELECT doc_id, (length(x)//2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '')||substr(x, 2*coalesce(last, 0)+1))) AS kept_sha256 FROM d LEFT JOIN o USING (r)"""
 
 ORACLES["op6_repeated_passages"] = REPEATS
+
+
+def _wording(regions: list) -> str:
+    """A template as a regular expression over words that each follow one blank."""
+    out = ""
+    for x in regions:
+        if x[0] == "word":
+            out += " (?:" + "|".join(w.decode() for w in x[1]) + ")"
+        elif x[0] == "optional":
+            out += f"(?:{_wording(x[1])})?"
+        else:
+            out += f"(?: [^ ]+){{{x[1]},{x[2]}}}"
+    return out
+
+
+_LOWER = "translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _licenses() -> str:
+    parsed = {t: licenses.parse(t.markup) for t in licenses.TEMPLATES}
+    found = ", ".join(f"CASE WHEN regexp_matches(x, '{_wording(p)} ') THEN {{'label': '{t.label}', 'm': {licenses.mandatory(p)}}} END" for t, p in parsed.items())
+    at = " OR ".join("(" + " AND ".join(f"w[i+{k}]='{x[1][0].decode()}'" for k, x in enumerate(parsed[t])) + ")" for t in licenses.BASE)
+    base = ", ".join(f"CASE WHEN regexp_matches(x, '{_wording(parsed[t])} ') THEN '{t.label}' END" for t in licenses.BASE)
+    listed = lambda a: f"array_to_string(list_sort(list_distinct(list_filter({a}, lambda y: y IS NOT NULL))), ',')"
+    return rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT doc_id, w, ' '||array_to_string(w, ' ')||' ' AS x FROM d), p AS (SELECT doc_id, x, len(w) AS n, list_filter(range(1, len(w)+1), lambda i: {at}) AS s FROM k),
+f AS (SELECT *, [{found}] AS f FROM p)
+SELECT doc_id, n::BIGINT AS n_words, len(s)::BIGINT AS n_base, (list_min(s)-1)::BIGINT AS first_word, (list_max(s)-1)::BIGINT AS last_word, {listed(f'[{base}]')} AS base_labels, {listed('list_transform(f, lambda y: y.label)')} AS labels,
+coalesce(list_max(list_transform(f, lambda y: y.m)), 0)::DOUBLE / (coalesce(list_max(list_transform(f, lambda y: y.m)), 0) + {licenses.HALF}) AS score FROM f"""
+
+
+ORACLES["op11_template_licenses"] = _licenses()

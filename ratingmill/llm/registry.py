@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingmill.llm import decontaminate, language_model, packing, pii, quality, repeats, secrets, simhash, vectors, wordpiece
+from ratingmill.llm import decontaminate, language_model, licenses, packing, pii, quality, repeats, secrets, simhash, vectors, wordpiece
 from ratingmill.llm.common import read
 from ratingmill.llm.oracles import ORACLES
 
@@ -49,6 +49,10 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_weak_label_quality": op1_weak_label_quality,
     "op2_simhash_bktree": op2_simhash_bktree,
@@ -60,6 +64,7 @@ QUERIES = {
     "op8_pivot_range_join": op8_pivot_range_join,
     "op9_decontamination": op9_decontamination,
     "op10_residual_packing": op10_residual_packing,
+    "op11_template_licenses": op11_template_licenses,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
