@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratingmill.llm import licenses, pii, secrets
+from ratingmill.llm import clusters, licenses, pii, secrets
 
 # base patterns, as the queries' contracts give them, and those that the operators add; then what a match x must satisfy
 _LUHN = """list_sum(list_transform(range(1, length(d)+1), lambda k: CASE WHEN (length(d)-k)%2=1 THEN 2*substr(d,k,1)::INT - CASE WHEN substr(d,k,1)::INT>4 THEN 9 ELSE 0 END ELSE substr(d,k,1)::INT END))%10=0"""
@@ -99,3 +99,23 @@ coalesce(list_max(list_transform(f, lambda y: y.m)), 0)::DOUBLE / (coalesce(list
 
 
 ORACLES["op11_template_licenses"] = _licenses()
+
+
+def _clusters(k: int = clusters.CLUSTERS, rounds: int = clusters.ROUNDS) -> str:
+    """The rounds one after the other; a vector's nearest centroid is the least (distance, number)."""
+    near = "SELECT r, any_value(v.v) AS v, min({{'d': list_sum(list_transform(list_zip(v.v, c.m), lambda z: (z[1]-z[2])*(z[1]-z[2])))::BIGINT, 'c': c.c}}) AS b FROM v, c{0} c GROUP BY r".format
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED ({near(i)})")
+        if i < rounds:
+            sums = f"SELECT b.c AS c, i, sum(v[i]) AS s, count(*)::HUGEINT AS n FROM a{i}, range(1, {clusters.DIMS + 1}) t(i) GROUP BY b.c, i"
+            means = f"SELECT c, list(((s-((s%n)+n)%n)//n)::BIGINT ORDER BY i) AS m FROM ({sums}) GROUP BY c"
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(x.m, o.m) AS m FROM c{i} o LEFT JOIN ({means}) x USING (c))")
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({clusters.SCALE}*x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding)={clusters.DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{clusters.SEED}:'||vec_id), v)-1 AS c, v AS m FROM v ORDER BY sha256('{clusters.SEED}:'||vec_id), v LIMIT {k}),
+{', '.join(parts)}
+SELECT vec_id, b.c::INT AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.c))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c=b.c"""
+
+
+ORACLES["op12_centroid_clusters"] = _clusters()

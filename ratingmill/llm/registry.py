@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingmill.llm import decontaminate, language_model, licenses, packing, pii, quality, repeats, secrets, simhash, vectors, wordpiece
+from ratingmill.llm import clusters, decontaminate, language_model, licenses, packing, pii, quality, repeats, secrets, simhash, vectors, wordpiece
 from ratingmill.llm.common import read
 from ratingmill.llm.oracles import ORACLES
 
@@ -53,6 +53,10 @@ def op11_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_weak_label_quality": op1_weak_label_quality,
     "op2_simhash_bktree": op2_simhash_bktree,
@@ -65,6 +69,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_residual_packing": op10_residual_packing,
     "op11_template_licenses": op11_template_licenses,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
