@@ -119,3 +119,19 @@ FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c=b.c"""
 
 
 ORACLES["op12_centroid_clusters"] = _clusters()
+
+
+COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang,'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM w UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i]||' '||w[i+1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w)-1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2])) FROM w),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k=1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, f AS a, k AS m, string_split(phrase, ' ') AS w FROM f WHERE k>1 AND f>=10),
+x AS (SELECT lang, phrase, a, unnest(range(1, m)) AS k, w FROM c), y AS (SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS left_part, array_to_string(w[k+1:], ' ') AS right_part FROM x),
+s AS (SELECT y.lang, y.phrase, y.a, y.k, l.f AS l, r.f AS r, 1000000*y.a*y.a//(l.f*r.f) AS score FROM y JOIN f l ON l.lang=y.lang AND l.phrase=y.left_part JOIN f r ON r.lang=y.lang AND r.phrase=y.right_part),
+b AS (SELECT lang, phrase, any_value(a) AS a, min({{'score': score, 'k': k, 'l': l, 'r': r}}) AS t FROM s GROUP BY lang, phrase),
+o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([w[1]||' '||w[2], w[2]||' '||w[3]]) AS phrase FROM c WHERE m=3) GROUP BY ALL),
+k AS (SELECT lang, phrase, a, t, row_number() OVER (PARTITION BY lang ORDER BY t.score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN o USING (lang, phrase) WHERE longer IS NULL OR 100*longer<50*a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, t.l::BIGINT AS l, t.r::BIGINT AS r, n, t.score::BIGINT AS score FROM k JOIN n USING (lang) WHERE rank<=2000"""
+
+ORACLES["op13_sketch_collocations"] = COLLOCATIONS

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingmill.llm import clusters, decontaminate, language_model, licenses, packing, pii, quality, repeats, secrets, simhash, vectors, wordpiece
+from ratingmill.llm import clusters, collocations, decontaminate, language_model, licenses, packing, pii, quality, repeats, secrets, simhash, vectors, wordpiece
 from ratingmill.llm.common import read
 from ratingmill.llm.oracles import ORACLES
 
@@ -57,6 +57,10 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(read(spark, sf_dir, "embeddings"))
 
 
+def op13_sketch_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_weak_label_quality": op1_weak_label_quality,
     "op2_simhash_bktree": op2_simhash_bktree,
@@ -70,6 +74,7 @@ QUERIES = {
     "op10_residual_packing": op10_residual_packing,
     "op11_template_licenses": op11_template_licenses,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_sketch_collocations": op13_sketch_collocations,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
