@@ -7,7 +7,7 @@ good documents and of each kind of bad ones, and so the posterior of each patter
 hashed statistics, which then judges every document by its whole text; the heuristics themselves decide nothing.
 
 The scorer is fitted on a bounded sample: for each question at most `fit_rows` documents, half of them with a posterior of at
-least one half, the first ones in the order of a hash of doc_id.
+least one half, the first ones in the order of a hash of doc_id and text.
 """
 
 from __future__ import annotations
@@ -173,20 +173,24 @@ QUESTIONS = ("quality", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> Model:
-    """The scorer of docs (doc_id, text), with labels (doc_id, quality 0/1, toxic 0/1) as one more labeller where given."""
+    """The scorer of docs (doc_id, text), with labels (doc_id, quality 0/1, toxic 0/1) as one more labeller where given.
+
+    At most fit_rows different texts are gathered for each question. Rows with the same id and text count once there; rows with the
+    same id and other texts are rows of their own, each with its own text (a label of the id holds for all of them)."""
     tune(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("own"))
 
     def vote(c: dict) -> dict:
         got = [votes(t) for t in c["text"]]
-        return {"doc_id": c["doc_id"], "quality": [q for q, _ in got], "toxic": [t for _, t in got]}
+        return {"doc_id": c["doc_id"], "own": c["own"], "quality": [q for q, _ in got], "toxic": [t for _, t in got]}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.string()), ("toxic", pa.string())])
-    said = docs.mapInArrow(arrow_rows(vote, schema), "doc_id long, quality string, toxic string")
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("quality", pa.string()), ("toxic", pa.string())])
+    said = docs.mapInArrow(arrow_rows(vote, schema), "doc_id long, own long, quality string, toxic string")
     if labels is not None:
         seen = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("lq"), F.max("toxic").alias("lt"))
         said = said.join(seen, "doc_id", "left").select(
             "doc_id",
+            "own",
             F.concat("quality", F.expr("case lq when 0 then 'b' when 1 then 'g' else '-' end")).alias("quality"),
             F.concat("toxic", F.expr("case lt when 1 then 'b' when 0 then 'g' else '-' end")).alias("toxic"),
         )
@@ -199,16 +203,18 @@ def train(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = FIT_
         p, _, _ = expectation_maximisation([r[0] for r in seen], np.array([r[1] for r in seen], float))
         posterior = dict(zip([r[0] for r in seen], p.tolist()))
         bad = [x for x, v in posterior.items() if v >= 0.5]
-        order = F.xxhash64("doc_id", F.lit(k))
-        is_bad = F.col(q).isin(bad) if bad else F.lit(False)
-        halves = [said.where(x & F.col("doc_id").isNotNull()).orderBy(order, "doc_id").limit(fit_rows // 2) for x in (is_bad, ~is_bad)]
-        picked = halves[0].unionAll(halves[1]).select("doc_id", F.col(q).alias("says"))
+        order = F.xxhash64("doc_id", "own", F.lit(k))
+        is_bad = F.col("says").isin(bad) if bad else F.lit(False)
+        rows = said.where("doc_id is not null").groupBy("doc_id", "own").agg(F.min(q).alias("says"))
+        halves = [rows.where(x).orderBy(order, "doc_id", "own").limit(fit_rows // 2) for x in (is_bad, ~is_bad)]
+        picked = halves[0].unionAll(halves[1])
 
         def encode(c: dict) -> dict:
             return {"says": c["says"], "x": [features(t).tobytes() for t in c["text"]]}
 
         schema = pa.schema([("says", pa.string()), ("x", pa.binary())])
-        rows = docs.join(F.broadcast(picked), "doc_id").select("says", "text")  # at most fit_rows ids
+        rows = docs.join(F.broadcast(picked), ["doc_id", "own"])  # at most fit_rows ids and texts
+        rows = rows.groupBy("doc_id", "own").agg(F.first("says").alias("says"), F.first("text").alias("text")).select("says", "text")
         got = rows.mapInArrow(arrow_rows(encode, schema), "says string, x binary").collect()
         got.sort(key=lambda r: (r.says, bytes(r.x)))
         w, b = fit([np.frombuffer(r.x, np.int32) for r in got], np.array([posterior[r.says] for r in got]))

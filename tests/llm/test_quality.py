@@ -182,3 +182,14 @@ def test_scorer_on_documents_kept_out_of_the_fit(spark):
     rest = own.where("doc_id % 2 = 1").select("text", "quality", "toxic").collect()
     right = [(float(model.score(r.text).max()) < 0.5) == (r.quality == 1 and r.toxic == 0) for r in rest]
     assert len(right) > 150 and sum(right) / len(right) >= 0.94
+
+
+def test_one_id_of_many_rows_stays_within_the_sample(spark, monkeypatch):
+    r, seen = random.Random(9), []
+    rows = [(7, prose(r, 40)) for _ in range(400)] + [(i, prose(r, 40)) for i in range(20)] + [(8, "The of. " * 30)] * 300
+    whole = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, *more: seen.append(len(x)) or whole(x, y, *more))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.classify(df, labels, fit_rows=300).count() == 720
+    assert len(seen) == 2 and 100 < max(seen) <= 300
