@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.llm.spans import Rule, annotate, digest, redacted
+from ratingmill.llm.spans import Rule, annotate, digest, redacted, spare
 
 BASE = ("email", "ip", "card", "phone")
 #: Words near a span that speak for its kind.
@@ -124,5 +124,6 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, texts without a span and all other columns stay as they are; equal rows are kept each.
     """
-    done = find(docs, "__rm_pii").withColumn("text", redacted(F.col("text"), F.col("__rm_pii"))).drop("__rm_pii")
+    own = spare(docs, "__pii_spans")
+    done = find(docs, own).withColumn("text", redacted(F.col("text"), F.col(own))).drop(own)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

@@ -17,7 +17,6 @@ BLOCK = 64
 #: Code points before and after a match that its context has.
 CONTEXT = 40
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,text:string,score:double>>"
-Prefix = "__rm_"
 
 
 @dataclass(frozen=True)
@@ -34,12 +33,20 @@ class Rule:
     least: float | None = None
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A name, or the beginning of names, that no column of df has."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def annotate(df: DataFrame, text: Column, rules: Sequence[Rule], out: str) -> DataFrame:
     """df with the column `out`: spans of all rules by start, then by the rules' order; ends are exclusive, code points."""
-    name = lambda what, i: f"{Prefix}{what}{i}"
+    prefix = spare(df, "__rm_")
+    name = lambda what, i: f"{prefix}{what}{i}"
     every = range(len(rules))
-    df = df.withColumn(f"{Prefix}text", F.coalesce(text, F.lit("")))
-    t = F.col(f"{Prefix}text")
+    df = df.withColumn(f"{prefix}text", F.coalesce(text, F.lit("")))
+    t = F.col(f"{prefix}text")
     none = F.array().cast("array<string>")
     df = df.withColumns({name("hit", i): F.when(r.needs(t), F.regexp_extract_all(t, F.lit(r.pattern), F.lit(0))).otherwise(none) for i, r in enumerate(rules)})
     df = df.withColumns({name("gap", i): F.when(F.size(name("hit", i)) > 0, F.split(t, r.pattern, -1)).otherwise(none) for i, r in enumerate(rules)})
@@ -71,7 +78,7 @@ def annotate(df: DataFrame, text: Column, rules: Sequence[Rule], out: str) -> Da
 
     df = df.withColumns({name("span", i): spans(i, r) for i, r in enumerate(rules)})
     df = df.withColumn(out, F.array_sort(F.concat(*[F.col(name("span", i)) for i in every])).cast(SPAN))
-    return df.drop(f"{Prefix}text", *[name(x, i) for x in ("hit", "gap", "len", "base", "span") for i in every])
+    return df.drop(f"{prefix}text", *[name(x, i) for x in ("hit", "gap", "len", "base", "span") for i in every])
 
 
 def joined(spans: Column) -> Column:

@@ -106,3 +106,11 @@ def test_empty_and_null_texts_of_redact(spark):
     df = spark.createDataFrame([(1, None, 3), (2, "", 0), (2, "", 0)], "doc_id long, text string, n_chars long")
     assert sorted(tuple(r) for r in pii.redact(df).collect()) == [(1, None, None), (2, "", 0), (2, "", 0)]
     assert pii.redact(df.limit(0)).count() == 0
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    names = ["__rm_text", "__rm_hit0", "__RM_span1", "__rm_pii", "__pii_spans", "___pii_spans", "a.b"]
+    df = spark.createDataFrame([(1, "mail a@b.cd now", *"abcdefg")], ["doc_id", "text", *names])
+    got = pii.redact(df)
+    assert got.columns == df.columns and tuple(got.first()) == (1, "mail [EMAIL] now", *"abcdefg")
+    assert tuple(pii.find(df, "found").drop("found").first()) == tuple(df.first())
