@@ -92,9 +92,9 @@ def decode_label(label: Column, attributes: int) -> Column:
 
 
 def persona(*parts: Column) -> Column:
-    """Non-empty parts, trimmed, a line each; null if there is none."""
+    """Non-empty parts, trimmed, joined by a blank; null if there is none."""
     kept = F.filter(F.array(*[strip(F.coalesce(p, F.lit(""))) for p in parts]), lambda x: x != "")
-    return F.when(F.size(kept) > 0, F.array_join(kept, "\n"))
+    return F.when(F.size(kept) > 0, F.array_join(kept, " "))
 
 
 def any_prefix(c: Column, prefixes) -> Column:

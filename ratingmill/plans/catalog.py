@@ -407,7 +407,7 @@ def persona_bias_pivot(spark, sf_dir):
     return out.select(F.format_string("P%02d", "persona_id").alias("persona"), *[r6(c, c) for c in runs])
 
 
-@query("SELECT c_custkey AS persona_key, array_to_string(list_filter([trim(c_mktsegment), CASE WHEN c_nationkey%2=0 THEN '' ELSE trim(c_name) END], lambda x: x<>''), chr(10)) AS persona FROM customer")
+@query("SELECT c_custkey AS persona_key, array_to_string(list_filter([trim(c_mktsegment), CASE WHEN c_nationkey%2=0 THEN '' ELSE trim(c_name) END], lambda x: x<>''), ' ') AS persona FROM customer")
 def persona_text(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     second = F.when(F.col("c_nationkey") % 2 == 0, F.lit("  ")).otherwise(F.col("c_name"))

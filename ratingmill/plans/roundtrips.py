@@ -27,7 +27,7 @@ def no_limit(spark, sf_dir):
     return corpus.conversations(corpus.nested(table(spark, sf_dir, "conversations")), limit=0).agg(F.count("*").alias("n"))
 
 
-@query("SELECT (row_number() OVER (ORDER BY md5(c_custkey::VARCHAR||'|42'), c_custkey)-1)::INT AS persona_id, trim(c_mktsegment)||chr(10)||trim(c_name) AS persona FROM customer QUALIFY persona_id<100")
+@query("SELECT (row_number() OVER (ORDER BY md5(c_custkey::VARCHAR||'|42'), c_custkey)-1)::INT AS persona_id, trim(c_mktsegment)||' '||trim(c_name) AS persona FROM customer QUALIFY persona_id<100")
 def first_personas(spark, sf_dir):
     return corpus.personas(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_name"], "c_custkey", 100, SEED)
 
