@@ -2,12 +2,13 @@
 
 Three readings of the texts, none of which sends more than what it has counted:
 
-1. Pairs of adjacent words are counted in a sketch of hashed cells, whose sums are upper bounds of the pairs' counts. Cells that reach
-   the threshold become one bit each: a bitmap of at most 2**MOST_BITS bits, whatever the texts.
+1. Words and pairs of adjacent words are counted in a sketch of hashed cells, whose sums are upper bounds of their counts. Cells that
+   reach the threshold become one bit each: a bitmap of at most 2**MOST_BITS bits, whatever the texts.
 2. A phrase occurs at most as often as the rarest of its pairs, so its bound is the least of theirs. In each shard of a task's texts,
    the phrases whose bound reaches the threshold are compiled into an Aho-Corasick automaton, which finds all their places, overlaps
-   included. A shard's distinct words are symbols (one character each), and a delimiter symbol guards the borders of pieces, so no
-   match begins or ends inside a word or reaches over a border. Counts are added by phrase in a shuffle.
+   included. A shard's words are read as codes of a few characters, the first of an alphabet of its own, and a delimiter stands
+   wherever no candidate reaches over, as between pieces; so no match begins or ends inside a word or reaches over a border. Counts
+   are added by phrase in a shuffle.
 3. Thresholds, cuts and drops are joins and groupings of the exact counts.
 
 No candidate is lost: bounds are never too small; a cell or pair that is only seemingly frequent costs time alone. Shards are bounded
@@ -31,8 +32,12 @@ from ratingmill.llm.common import partitions, release, stash, tune
 SHARD_BYTES = 2 << 20
 #: Bits of a cell's number, at least and at most: a bitmap has 64 MB at most. Between them there is a cell for each eight bytes of text.
 LEAST_BITS, MOST_BITS = 16, 29
-#: Cells in one bitmap of Spark's bitmap functions.
-BITMAP = 32768
+#: Cells whose counts go in one row.
+BUCKET = 1 << 15
+#: Counts of a cell that a row can tell; larger ones are told as this.
+MOST_COUNT = (1 << 16) - 1
+#: Characters of each place in a word's code. A node of the automaton looks its characters up one after the other.
+DIGITS = 32
 #: Cells that a task holds before it adds up equal ones.
 HELD = 2_000_000
 BORDER = b"."
@@ -70,13 +75,17 @@ class Shard:
         """Where an adjacent pair of words ends; context included."""
         return (self.ids[:-1] > 0) & (self.ids[1:] > 0)
 
-    def cells(self, bits: int) -> np.ndarray:
-        """The cell of the pair that starts at each place (meaningless over a border)."""
+    def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each word by id, and of the pair that starts at each place (meaningless over a border)."""
         h = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
         seed, k = np.uint64(xxhash.xxh64_intdigest(self.lang.encode("utf-8", "surrogatepass"))), np.uint64(0x9E3779B97F4A7C15)
-        x = ((h[self.ids[:-1]] ^ seed) * k) ^ (h[self.ids[1:]] >> np.uint64(1))
-        x = (x ^ (x >> np.uint64(32))) * k
-        return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - bits)).astype(np.int64)
+
+        def mixed(x: np.ndarray) -> np.ndarray:
+            x = (x ^ (x >> np.uint64(32))) * k
+            return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - bits)).astype(np.int64)
+
+        first = (h ^ seed) * k
+        return mixed(first), mixed(first[self.ids[:-1]] ^ (h[self.ids[1:]] >> np.uint64(1)))
 
 
 def _chunks(data: bytes, most: int, words: int) -> Iterator[tuple[bytes, int]]:
@@ -123,44 +132,88 @@ def shards(batches: Iterator[pa.RecordBatch], overlap: int, most: int = SHARD_BY
 
 
 def _added(cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: the places of its cells, then their counts."""
     which, n = np.unique(np.concatenate(cells), return_counts=True) if cells else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for i in range(0, len(which), 1 << 16):
-        c = which[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array((c // BITMAP).astype(np.int32)), pa.array((c % BITMAP).astype(np.int32)), pa.array(n[i : i + (1 << 16)])], names=["bucket", "place", "n"])
+    places, n = (which % BUCKET).astype(np.uint16), np.minimum(n, MOST_COUNT).astype(np.uint16)
+    buckets, starts = np.unique(which // BUCKET, return_index=True)
+    ends = [*starts[1:], len(which)]
+    for i in range(0, len(buckets), 512):
+        parts = [places[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(starts[i : i + 512], ends[i : i + 512])]
+        yield pa.RecordBatch.from_arrays([pa.array(buckets[i : i + 512], pa.int32()), pa.array(parts, pa.binary())], names=["bucket", "cells"])
 
 
 def sketch(texts: DataFrame, least: int, bits: int) -> np.ndarray:
-    """The bitmap of cells whose pairs occur at least `least` times together; texts: (lang, text)."""
+    """The bitmap of cells whose words and pairs occur at least `least` times together; texts: (lang, text)."""
+    if not 1 <= least <= MOST_COUNT:
+        raise ValueError(f"least must be from 1 to {MOST_COUNT}")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for s in shards(batches, 1):
+            new = np.flatnonzero(~s.old & (s.ids > 0))
             at = np.flatnonzero(s.pairs() & ~s.old[1:])
-            held.append(s.cells(bits)[at] if len(at) else at)
-            n += len(at)
+            words, pairs = s.cells(bits)
+            held += [words[s.ids[new]], pairs[at]]
+            n += len(new) + len(at)
             if n >= HELD:
                 yield from _added(held)
                 held, n = [], 0
         yield from _added(held)
         release()
 
-    cells = texts.mapInArrow(each, "bucket int, place int, n long")
-    # dealt by bucket, so that neither the sums nor the bitmaps need another shuffle
-    often = cells.repartition(partitions(texts.sparkSession), "bucket").groupBy("bucket", "place").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    maps = often.groupBy("bucket").agg(F.bitmap_construct_agg(F.col("place").cast("long")).alias("bitmap"))
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in maps.toLocalIterator():  # at most 2**bits / 8 bytes
-        one = np.frombuffer(bytes(r.bitmap), np.uint8)
-        at = r.bucket * (BITMAP // 8)
-        out[at : at + len(one)] = one[: len(out) - at]
-    return out
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by bucket: one bucket's counts are held at a time."""
+        now, total = None, np.zeros(BUCKET, np.int64)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
+
+        for b in batches:
+            for bucket, row in zip(b.column(0).to_pylist(), b.column(1)):
+                if bucket != now:
+                    if now is not None:
+                        yield told()
+                    now = bucket
+                    total[:] = 0
+                places, n = np.frombuffer(row.as_py(), np.uint16).reshape(2, -1)
+                total[places] += n  # a row has a place once
+        if now is not None:
+            yield told()
+
+    cells = texts.mapInArrow(each, "bucket int, cells binary")
+    dealt = cells.repartition(partitions(texts.sparkSession), "bucket").sortWithinPartitions("bucket")
+    out = np.zeros((max(1, (1 << bits) // BUCKET), BUCKET // 8), np.uint8)
+    for r in dealt.mapInArrow(often, "bucket int, bits binary").collect():  # 2**MOST_BITS / 8 bytes at most
+        out[r.bucket] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.ravel()
+
+
+def _is_on(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return ((bitmap[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _symbols(ids: np.ndarray) -> str:
-    """A character for each id: those from 1 on, without surrogates."""
-    code = ids.astype(np.uint32) + np.uint32(1)
-    code[code >= 0xD800] += np.uint32(0x800)
-    return code.tobytes().decode("utf-32-le")
+class _Codes:
+    """Words (ids) as codes of a few characters, all of the same length; the first character is of an alphabet of its own."""
+
+    FIRST, LATER, BORDER = 0x100, 0x40, "\n"
+
+    def __init__(self, ids: np.ndarray, n_words: int):
+        known = np.unique(ids)
+        self.number = np.zeros(n_words, np.int64)
+        self.number[known] = np.arange(len(known))
+        self.length = max(1, math.ceil(math.log(max(len(known), 2), DIGITS) - 1e-9))
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """A row of characters for each id."""
+        number, out = self.number[ids], np.empty((len(ids), self.length), np.uint32)
+        for j in range(self.length - 1, -1, -1):
+            out[:, j] = number % DIGITS + (self.LATER if j else self.FIRST)
+            number = number // DIGITS
+        return out
+
+
+def _text(characters: np.ndarray) -> str:
+    return characters.astype("<u4").tobytes().decode("utf-32-le")
 
 
 def _distinct(rows: np.ndarray, n: int) -> np.ndarray:
@@ -173,31 +226,40 @@ def _distinct(rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def counted(s: Shard, frequent: np.ndarray, bits: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids of phrases, a row each; counts) for each length from 1 to most: all words, and longer phrases whose bound is frequent."""
+    """(ids of phrases, a row each; counts) for each length from 1 to most, of words and phrases whose bound is frequent."""
     n_words, n = len(s.words), len(s.ids)
-    yield np.arange(1, n_words)[:, None], np.bincount(s.ids[~s.old], minlength=n_words)[1:]
-    if n < 2:
+    word_cell, pair_cell = s.cells(bits)
+    words = np.flatnonzero(_is_on(frequent, word_cell))
+    words = words[words > 0]
+    yield words[:, None], np.bincount(s.ids[~s.old], minlength=n_words)[words]
+    pair = s.pairs() & _is_on(frequent, pair_cell)
+    if not pair.any():
         return
-    cell = s.cells(bits)
-    pair = s.pairs() & ((frequent[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
-    keys: list[np.ndarray] = []
-    run = pair
+    keys, run = [], pair
     for length in range(2, most + 1):
         at = np.flatnonzero(run)
         keys.append(_distinct(np.stack([s.ids[at + j] for j in range(length)], 1), n_words))
         run = run[:-1] & pair[length - 1 :]
-    if not any(map(len, keys)):
-        return
+    # what the automaton reads: words of candidate pairs, with a border before each that no candidate joins to the word before it
+    joined = np.concatenate([[False], pair])
+    read = np.flatnonzero(joined | np.concatenate([pair, [False]]))
+    codes = _Codes(s.ids[read], n_words)
     machine, k = ahocorasick.Automaton(), 0
     for rows in keys:
-        flat, length = _symbols(rows.ravel()), rows.shape[1]
+        flat, length = _text(codes.of(rows.ravel())), rows.shape[1] * codes.length
         for i in range(0, len(flat), length):
             machine.add_word(flat[i : i + length], k)
             k += 1
     machine.make_automaton()
-    met = machine.iter(_symbols(s.ids))
-    old = set(np.flatnonzero(s.old).tolist())
-    ends = (x for at, x in met if at not in old) if old else (x for _, x in met)
+    text = np.concatenate([np.full((len(read), 1), ord(codes.BORDER), np.uint32), codes.of(s.ids[read])], 1)
+    there = np.ones(text.shape, bool)
+    there[:, 0] = ~joined[read]
+    met = machine.iter(_text(text[there]))
+    if s.old.any():
+        old = np.broadcast_to(s.old[read][:, None], there.shape)[there]
+        ends = (x for at, x in met if not old[at])
+    else:
+        ends = (x for _, x in met)
     counts = np.bincount(np.fromiter(ends, np.int64), minlength=k)
     k = 0
     for rows in keys:
@@ -206,27 +268,25 @@ def counted(s: Shard, frequent: np.ndarray, bits: int, most: int) -> Iterator[tu
 
 
 def counts(texts: DataFrame, frequent: np.ndarray, bits: int, most: int) -> DataFrame:
-    """(lang, words, phrase, f): exact counts of all words and of all phrases of 2 to `most` words whose bound is frequent, and of the
-    language's words together (words = 0)."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(frequent)  # at most 2**MOST_BITS bits
+    """(key, f): exact counts of words and of phrases of 2 to `most` words whose bound is frequent, and of each language's words
+    together (an empty phrase). key: the language, a line end (no word has one), the phrase."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequent)  # at most 2**MOST_BITS bits
+
+    def batch(keys: list[str], n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64())], names=["key", "f"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in shards(batches, most - 1):
-            names = np.array([w.decode("utf-8", "surrogatepass") for w in s.words], object)
-            total = np.count_nonzero(s.ids[~s.old])
-            yield pa.RecordBatch.from_arrays([pa.array([s.lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([total], pa.int64())], names=["lang", "words", "phrase", "f"])
+            yield batch([f"{s.lang}\n"], [np.count_nonzero(s.ids[~s.old])])
+            names = [w.decode("utf-8", "surrogatepass") for w in s.words]
             for rows, n in counted(s, sent.value, bits, most):
                 at = np.flatnonzero(n)
                 for i in range(0, len(at), 1 << 15):
                     part = at[i : i + (1 << 15)]
-                    text = names[rows[part, 0]]
-                    for j in range(1, rows.shape[1]):
-                        text = text + " " + names[rows[part, j]]
-                    yield pa.RecordBatch.from_arrays([pa.array([s.lang] * len(part)), pa.array(np.full(len(part), rows.shape[1], np.int32)), pa.array(text, pa.string()), pa.array(n[part])], names=["lang", "words", "phrase", "f"])
+                    yield batch([f"{s.lang}\n{' '.join([names[x] for x in r])}" for r in rows[part].tolist()], n[part])
             release()
 
-    return texts.mapInArrow(each, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    return texts.mapInArrow(each, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
 
 
 def mine(docs: DataFrame, most_words: int = 3, least: int = 10, percent: int = 50, top: int = 2000) -> DataFrame:
@@ -244,7 +304,11 @@ def mine(docs: DataFrame, most_words: int = 3, least: int = 10, percent: int = 5
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size, 8) / 8)), LEAST_BITS), MOST_BITS)
     every = counts(texts, sketch(texts, least, bits), bits, most_words)
-    found = stash(every.where((F.col("f") >= least) | (F.col("words") == 0)))  # parts of a candidate are as frequent as it is at least
+    # parts of a candidate are as frequent as it is at least
+    every = every.where((F.col("f") >= least) | F.endswith("key", F.lit("\n"))).withColumn("phrase", F.substring_index("key", "\n", -1))
+    lang = F.left("key", F.length("key") - F.length("phrase") - 1)
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    found = stash(every.select(lang.alias("lang"), words.alias("words"), "phrase", "f"))
     f = found.where("words > 0").select("lang", "phrase", "f")
     candidates = found.where("words > 1").select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     part = lambda start, length: F.array_join(F.slice("w", start, length), " ")
