@@ -47,9 +47,11 @@ def first_valid(users: DataFrame, wanted: Column, split: str = "split", order: s
 
 
 def back_filled(originals: DataFrame, responses: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, turn, role, text): the originals' turns, those that have a response with its content."""
+    """(key, turn, role, text): the originals' turns; those that have a response are the user's, with its content."""
     new = responses.select(*key, "turn", F.col("response.content").alias("__new"))
-    return originals.join(new, [*key, "turn"], "left").withColumn("text", F.coalesce("__new", "text")).drop("__new")
+    both = originals.join(new, [*key, "turn"], "left")
+    role = F.when(F.col("__new").isNotNull(), "user").otherwise(F.col("role"))
+    return both.withColumns({"role": role, "text": F.coalesce("__new", "text")}).drop("__new")
 
 
 def assemble(users: DataFrame, corpus: DataFrame, generate: Generator, per_user: int, sources: int, wanted: dict[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -61,15 +63,20 @@ def assemble(users: DataFrame, corpus: DataFrame, generate: Generator, per_user:
     kept = first_valid(ok, cap)
     counts = users.groupBy("split").count().join(ok.groupBy("split").agg(F.count("*").alias("valid")), "split", "left")
     counts = counts.select("split", F.coalesce("valid", F.lit(0)).alias("valid"), (F.col("count") - F.coalesce("valid", F.lit(0))).alias("discarded"))
-    chosen = users.join(kept, key)
+    return rewritten(users.join(kept, key), corpus, done, per_user, sources), counts
+
+
+def rewritten(chosen: DataFrame, corpus: DataFrame, responses: DataFrame, per_user: int, sources: int) -> DataFrame:
+    """users_json rows with split: the chosen users' conversations, turns that were asked for replaced by their responses."""
+    key = ["split", "user_idx"]
     slots = expand.slots(chosen, F.col("user_ord"), per_user, sources).join(corpus, "source_ord")
     flat = conv.flatten(slots, [*key, "slot", "source_ord"])
-    filled = back_filled(flat, done.select(*key, "slot", F.col("turn").cast("long").alias("turn"), "response"), [*key, "slot"])
+    filled = back_filled(flat, responses.select(*key, "slot", F.col("turn").cast("long").alias("turn"), "response"), [*key, "slot"])
     nested = conv.nest(filled, [*key, "slot", "source_ord"])
     each = F.struct("slot", F.col("source_ord").cast("string").alias("conversation_id"), "messages")
     ordered = F.transform(F.array_sort(F.collect_list(each)), lambda c: F.struct(c["conversation_id"].alias("conversation_id"), c["messages"].alias("messages")))
     out = nested.groupBy(*key).agg(ordered.alias("conversations")).join(chosen.select(*key, F.col("attributes").alias("rewrite_style_attributes")), key)
-    return out.select("split", "user_idx", "rewrite_style_attributes", "conversations"), counts
+    return out.select("split", "user_idx", "rewrite_style_attributes", "conversations")
 
 
 def dataset(users: DataFrame) -> DataFrame:

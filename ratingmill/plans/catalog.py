@@ -441,7 +441,7 @@ def split_counters(spark, sf_dir):
     return per.groupBy(F.pmod("user_id", F.lit(2)).cast("long").alias("split")).agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("discarded"))
 
 
-@query("SELECT conv_id, turn, role, CASE WHEN turn%2=0 THEN 'new '||conv_id||'/'||turn ELSE text END AS text FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn%2=0 THEN 'user' ELSE role END AS role, CASE WHEN turn%2=0 THEN 'new '||conv_id||'/'||turn ELSE text END AS text FROM conversations")
 def backfill_turns(spark, sf_dir):
     flat = table(spark, sf_dir, "conversations")
     made = flat.where("turn % 2 = 0").select("conv_id", "turn", F.struct(F.format_string("new %d/%d", "conv_id", "turn").alias("content")).alias("response"))

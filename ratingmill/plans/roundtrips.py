@@ -235,23 +235,6 @@ def judge_request_counter(spark, sf_dir):
     return spark.createDataFrame([*said, ("after reset", judge.statistics()["num_judge_requests"])], "step string, requests long")
 
 
-OK_EVENT = h("event_id", "'ok'")
-
-
-@query(f"SELECT event_type AS split, event_id::INT AS user_idx FROM events WHERE {OK_EVENT}%5<>0 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id)<=50")
-def kept_by_split(spark, sf_dir):
-    """A stream that keeps the first valid users of each split, by state."""
-    from ratingmill.streaming import chunks
-
-    at = scratch(spark)
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parq*")
-    rows = events.select(F.col("event_type").alias("split"), F.col("event_id").cast("int").alias("user_idx"), (draw(5, F.col("event_id"), "ok") != 0).alias("ok"))
-    kinds = [r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().collect()]
-    done = chunks.kept_by_split(rows, dict.fromkeys(kinds, 50))
-    done.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("split string, user_idx int").parquet(f"{at}/out")
-
-
 M, S = h("item_id"), h("item_id", "'s'")
 
 

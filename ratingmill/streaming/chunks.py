@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ratingmill.operators.scoring import Generator, valid
+from ratingmill.streaming.users import capped
 
 
 def read_chunks(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
@@ -26,14 +25,5 @@ def process(requests: DataFrame, generate: Generator, out: str, checkpoint: str,
 
 
 def kept_by_split(users: DataFrame, wanted: dict[str, int]) -> DataFrame:
-    """Stream of (split, user_idx, ok): (split, user_idx) of the first wanted valid users in order of arrival, by state on split."""
-
-    def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (written,) = state.get if state.exists else (0,)
-        for b in batches:
-            good = b[b["ok"]].sort_values("user_idx").head(max(0, wanted.get(key[0], 0) - written))
-            written += len(good)
-            yield good[["split", "user_idx"]]
-        state.update((written,))
-
-    return users.groupBy("split").applyInPandasWithState(each, "split string, user_idx int", "written long", "append", GroupStateTimeout.NoTimeout)
+    """Stream of (split, user_idx, ok): (split, user_idx) of the first wanted valid users in order of arrival, by state in two levels."""
+    return capped(users.select("split", "user_idx", "ok"), wanted).where("ok").select("split", "user_idx")
