@@ -6,7 +6,6 @@ expression, a pandas UDF or mapInPandas; here it is a surrogate, since no model
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -33,7 +32,8 @@ SYSTEM = {True: "You rate conversations. Think first, then answer with the ratin
 @dataclass(frozen=True)
 class JudgeOptions:
     """retries: attempts in all; force_rating: cut thinking short when the budget ends; default: what an unparsable answer scores.
-    temperature, max_tokens and the ids of the yes and no tokens are for the models behind the generators."""
+    delay_s: a pause before each remote request. temperature, max_tokens, top_p, the penalties and the ids of the yes and no tokens are for the
+    models behind the generators."""
 
     retries: int = 3
     force_rating: bool = True
@@ -46,6 +46,10 @@ class JudgeOptions:
     concurrency: int = 50
     api_retries: int = 6
     backoff_s: float = 5.0
+    delay_s: float = 0.0
+    top_p: float = 1.0
+    presence_penalty: float = 0.0
+    repetition_penalty: float = 1.0
 
 
 def by_path(dotted: str):
@@ -139,23 +143,17 @@ def retried(
     return run
 
 
-def asked(ask: Callable[[str], str], options: JudgeOptions = JudgeOptions(default=5.0), asks: int = 4) -> Scorer:
-    """Scores by a remote model: a task asks for `concurrency` prompts at a time; an error is tried again after a pause that doubles,
-    an answer without a rating is asked for again, and then the default holds."""
+def asked(ask: Callable[[str], str], options: JudgeOptions = JudgeOptions(default=5.0), asks: int = 4, errors: tuple[type[Exception], ...] = (Exception,)) -> Scorer:
+    """Scores by a remote model: a task asks for `concurrency` prompts at a time; an error of the given kinds is tried again `api_retries`
+    times, after pauses that double, an answer without a rating is asked for again `asks` times, and then the default holds.
+    remote.remote has a budget for the whole job, and a log."""
+    from ratingmill.operators.remote import called
 
     def one(prompt: str) -> float | None:
         import re
 
-        for _ in range(asks):
-            for k in range(options.api_retries):
-                try:
-                    answer = ask(prompt)
-                    break
-                except Exception:
-                    if k + 1 == options.api_retries:
-                        raise
-                    time.sleep(options.backoff_s * 2**k)
-            found = re.findall(r"\b(10|[1-9])\b", answer.strip())
+        for _ in range(asks + 1):
+            found = re.findall(r"\b(10|[1-9])\b", called(ask, prompt, options, errors).strip())
             if found:
                 return float(found[-1])
         return options.default
