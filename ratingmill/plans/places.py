@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ratingmill.plans.catalog import SEED, query, scratch, table
-from ratingmill.sources import access
+from ratingmill.plans import roundtrips  # noqa: F401  (its SQL is used here)
+from ratingmill.plans.catalog import NAMES, ORACLES, PAIRS, SCORED, SEED, pair_scores, query, rated, scratch, table
+from ratingmill.sources import access, arrays
 
 PARTS = "CASE WHEN c_custkey%3=0 THEN '' ELSE trim(c_mktsegment) END, CASE WHEN c_custkey%2=0 THEN NULL ELSE trim(c_name) END"
 
@@ -35,3 +36,22 @@ def indexed_items(spark, sf_dir):
         one = items.at(p).select(F.lit(p).cast("long").alias("place"), "ord", "c_custkey", "c_name")
         out = one if out is None else out.unionAll(one)
     return out
+
+
+@query(ORACLES["rating_matrix"])
+def rating_matrix_npy(spark, sf_dir):
+    """A rating matrix as one npy file, NaN for what is missing, read back by byte ranges."""
+    at = f"{scratch(spark)}/ratings.npy"
+    arrays.ratings_npy(rated(spark, sf_dir), at)
+    return arrays.read_ratings_npy(spark, at, NAMES).groupBy("attr_ord", "attribute").agg(F.count("score").alias("n"), F.sum("score").alias("total"))
+
+
+@query(f"WITH {SCORED.replace('SELECT judge, pair,', 'SELECT judge, pair, ord,')} SELECT judge, pair, count(*)::BIGINT*2 AS n, sum(x) AS first, sum(y) AS second FROM w WHERE ord<(SELECT count(*)//{len(PAIRS)}*{len(PAIRS)} FROM o) GROUP BY judge, pair")
+def judge_cubes_npz(spark, sf_dir):
+    """Cubes of all judges, an npz archive each, of the repetitions that all pairs have; of an empty folder there is none."""
+    at, scores = scratch(spark), pair_scores(spark, sf_dir)
+    reps = scores.groupBy("judge", "pair").agg(F.max("rep").alias("last")).agg(F.min("last")).first()[0]
+    arrays.cubes_npz(scores.where(F.col("rep") <= reps), f"{at}/some")
+    got = arrays.read_cubes_npz(spark, f"{at}/some")
+    of = lambda s: F.sum(F.when(F.col("slot") == s, F.col("score")))
+    return got.groupBy("judge", "pair").agg(F.count("*").alias("n"), of(0).alias("first"), of(1).alias("second"))
