@@ -5,6 +5,8 @@ All that is as long as the conversations is distributed; what is as large as the
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -120,22 +122,27 @@ def spectrum(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def random_spectra(spark: SparkSession, rows: int, columns: int, rounds: int = 100, seed: int = 42) -> DataFrame:
-    """(round, rank, value): eigenvalues of correlation matrices of normal noise, a task for each few rounds."""
+    """(round, rank, value): eigenvalues of correlation matrices of normal noise, a task for each few rounds.
+
+    The scatter of so many centred normal rows has Wishart's distribution, which is drawn by Bartlett's triangular factor: as many
+    numbers as half a matrix, however many rows there are. With fewer rows than columns the rows themselves are drawn."""
+
+    def scatter(rng: np.random.Generator) -> np.ndarray:
+        if rows <= columns:
+            x = rng.normal(size=(rows, columns))
+            x -= x.mean(0)
+            return x.T @ x
+        factor = np.tril(rng.normal(size=(columns, columns)), -1)
+        factor[np.diag_indices(columns)] = np.sqrt(rng.chisquare(rows - 1 - np.arange(columns)))
+        return factor @ factor.T
 
     def each(batches):
         for b in batches:
             out = []
             for k in b["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                cross, total = np.zeros((columns, columns)), np.zeros(columns)
-                for at in range(0, rows, 65536):
-                    x = rng.normal(size=(min(65536, rows - at), columns))
-                    cross += x.T @ x
-                    total += x.sum(0)
-                mean = total / rows
-                cov = cross / rows - np.outer(mean, mean)
-                sd = np.sqrt(np.diag(cov))
-                r = cov / np.outer(sd, sd) * rows / (rows - 1)
+                s = scatter(np.random.default_rng([seed, int(k)]))
+                sd = np.sqrt(np.diag(s))
+                r = s / np.outer(sd, sd) * rows / (rows - 1)
                 np.fill_diagonal(r, 1.0)
                 out.append(pd.DataFrame({"round": int(k), "rank": np.arange(columns, dtype=np.int32), "value": np.linalg.eigvalsh(r)[::-1]}))
             if out:
@@ -153,6 +160,51 @@ def parallel_analysis(spark: SparkSession, eigenvalues: np.ndarray, rows: int, r
     return max(1, table.where("value > threshold").count()), table
 
 
+def leading(z: DataFrame, k: int, rounds: int = 300, tolerance: float = 1e-10, seed: int = 42, extra: int = 8) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(eigenvalues, vectors, attributes) of the correlation matrix of standardised ratings (conv_ord, attr_ord, z), the k largest.
+
+    Blocked subspace iteration for lists that are too wide for a matrix of all pairs: the driver holds attributes x (k + extra)
+    numbers, tasks multiply their rows by them and by themselves again, and a row for each attribute and task is added up. extra: more
+    vectors that are carried along, which makes the last of the k converge; rounds end when the eigenvalues of the k stay the same."""
+    spark = z.sparkSession
+    squares = {r.attr_ord: r.s for r in z.groupBy("attr_ord").agg(F.sum(F.col("z") * F.col("z")).alias("s")).collect()}  # as many as the list has
+    attributes = sorted(squares)
+    at, p = {a: i for i, a in enumerate(attributes)}, len(attributes)
+    width = min(p, k + extra)
+    rows = z.groupBy("conv_ord").agg(F.collect_list(F.struct("attr_ord", "z")).alias("own")).select("own.attr_ord", "own.z").persist()
+    try:
+        n = rows.count()
+        own_square = np.array([squares[a] for a in attributes])[:, None] / n  # one, or zero without spread
+        q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(p, width)))
+        names, before = [f"v{i}" for i in range(width)], np.zeros(width)
+        for _ in range(rounds):
+            sent = spark.sparkContext.broadcast(q)
+
+            def each(batches, sent=sent):
+                total, own = np.zeros((p, width)), sent.value
+                for b in batches:
+                    for places, values in zip(b["attr_ord"], b["z"]):
+                        i, x = np.fromiter((at[a] for a in places), np.int64), np.asarray(values, float)
+                        total[i] += np.outer(x, x @ own[i])
+                yield pd.DataFrame({"i": np.arange(p), **{c: total[:, j] for j, c in enumerate(names)}})
+
+            added = rows.mapInPandas(each, "i long, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*[F.sum(c).alias(c) for c in names])
+            y = added.toPandas().set_index("i").sort_index().to_numpy() / n  # attributes x (k + extra)
+            y = (y - own_square * q) * n / (n - 1) + q  # sums over n - 1 beside a diagonal of one, as in correlations
+            sent.unpersist()
+            small = q.T @ y
+            value, turn = np.linalg.eigh((small + small.T) / 2)
+            value, turn = value[::-1], turn[:, ::-1]
+            vectors = q @ turn
+            if np.abs(value[:k] - before[:k]).max() <= tolerance * max(1.0, value[0]):
+                break
+            before = value
+            q, _ = np.linalg.qr(y @ turn)
+    finally:
+        rows.unpersist()
+    return value[:k], vectors[:, :k], attributes
+
+
 def schedule(k95: int) -> list[int]:
     """2, 4, … up to k95, and k95 itself."""
     out = list(range(2, k95 + 1, 2))
@@ -168,7 +220,7 @@ def varimax(loadings: np.ndarray, tolerance: float = 1e-6, sweeps: int = 500) ->
     """Loadings rotated to the largest variance of squared loadings, without row scaling.
 
     A sweep turns each pair of components by the angle at which Kaiser's criterion is largest for the pair; sweeps end when all
-    angles are small."""
+    angles are small. Warns if they are not after the last sweep."""
     out = np.array(loadings, float)
     n, k = out.shape
     for _ in range(sweeps):
@@ -186,6 +238,8 @@ def varimax(loadings: np.ndarray, tolerance: float = 1e-6, sweeps: int = 500) ->
                     out[:, p], out[:, q] = z.real, z.imag
         if largest <= tolerance:
             break
+    else:
+        warnings.warn(f"varimax: an angle of {largest:.2g} is left after {sweeps} sweeps", stacklevel=2)
     return out
 
 
