@@ -1,11 +1,12 @@
 """Phrase collocation mining: sketch bounds, automata over the candidates of a shard, exact thresholds.
 
-Three readings of the texts, none of which sends more than what it has counted:
+A few readings of the texts, none of which sends more than what it has counted:
 
 1. Words and pairs of adjacent words are counted in a sketch of hashed cells, whose sums are upper bounds of their counts. Cells that
-   reach the threshold become one bit each: a bitmap of at most 2**MOST_BITS bits, whatever the texts.
-2. A phrase occurs at most as often as the rarest of its pairs, so its bound is the least of theirs. In each shard of a task's texts,
-   the phrases whose bound reaches the threshold are compiled into an Aho-Corasick automaton, which finds all their places, overlaps
+   reach the threshold become one bit each: a bitmap of at most 2**MOST_BITS bits, whatever the texts. Then phrases of three words are
+   counted in a sketch of their own, those alone whose pairs reach it, and so on for longer ones.
+2. The bound of a phrase is the least of its own cell's sum and those of the phrases inside it. In each shard of a task's texts, the
+   phrases whose bound reaches the threshold are compiled into an Aho-Corasick automaton, which finds all their places, overlaps
    included. A shard's words are read as codes of a few characters, the first of an alphabet of its own, and a delimiter stands
    wherever no candidate reaches over, as between pieces; so no match begins or ends inside a word or reaches over a border. Counts
    are added by phrase in a shuffle.
@@ -18,7 +19,7 @@ in bytes; a text or piece longer than a shard is cut between words, and the word
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -75,8 +76,9 @@ class Shard:
         """Where an adjacent pair of words ends; context included."""
         return (self.ids[:-1] > 0) & (self.ids[1:] > 0)
 
-    def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The cell of each word by id, and of the pair that starts at each place (meaningless over a border)."""
+    def cells(self, bits: int, most: int) -> list[np.ndarray]:
+        """For each length from 1 to most the cells of phrases: of words by id, of longer phrases by the place where they start (meaningless
+        over a border)."""
         h = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
         seed, k = np.uint64(xxhash.xxh64_intdigest(self.lang.encode("utf-8", "surrogatepass"))), np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,7 +87,20 @@ class Shard:
             return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - bits)).astype(np.int64)
 
         first = (h ^ seed) * k
-        return mixed(first), mixed(first[self.ids[:-1]] ^ (h[self.ids[1:]] >> np.uint64(1)))
+        out, x, step = [mixed(first)], first[self.ids], h[self.ids] >> np.uint64(1)
+        for length in range(2, most + 1):
+            x = (x[:-1] ^ step[length - 1 :]) * (k if length > 2 else np.uint64(1))
+            out.append(mixed(x))
+        return out
+
+    def candidates(self, bitmaps: Sequence[np.ndarray], cells: Sequence[np.ndarray]) -> list[np.ndarray]:
+        """For each length from 2 to one more than there are bitmaps: where phrases start whose bound is frequent."""
+        out = [self.pairs() & _is_on(bitmaps[0], cells[1])]
+        for bitmap, cell in zip(bitmaps[1:], cells[2:]):
+            both = out[-1][:-1] & out[-1][1:]
+            both[both] = _is_on(bitmap, cell[both])
+            out.append(both)
+        return out
 
 
 def _chunks(data: bytes, most: int, words: int) -> Iterator[tuple[bytes, int]]:
@@ -142,19 +157,25 @@ def _added(cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(buckets[i : i + 512], pa.int32()), pa.array(parts, pa.binary())], names=["bucket", "cells"])
 
 
-def sketch(texts: DataFrame, least: int, bits: int) -> np.ndarray:
-    """The bitmap of cells whose words and pairs occur at least `least` times together; texts: (lang, text)."""
+def sketch(texts: DataFrame, least: int, bits: int, known: Sequence[np.ndarray] = ()) -> np.ndarray:
+    """The bitmap of cells whose phrases occur at least `least` times together; texts: (lang, text). Without known bitmaps the phrases are
+    words and pairs; with those of all shorter phrases, they are the next longer ones that have frequent bounds by them."""
     if not 1 <= least <= MOST_COUNT:
         raise ValueError(f"least must be from 1 to {MOST_COUNT}")
+    length = len(known) + 2
+    sent = texts.sparkSession.sparkContext.broadcast(list(known)) if known else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for s in shards(batches, 1):
-            new = np.flatnonzero(~s.old & (s.ids > 0))
-            at = np.flatnonzero(s.pairs() & ~s.old[1:])
-            words, pairs = s.cells(bits)
-            held += [words[s.ids[new]], pairs[at]]
-            n += len(new) + len(at)
+        for s in shards(batches, length - 1):
+            cells = s.cells(bits, length)
+            if sent is None:
+                new = [cells[0][s.ids[~s.old & (s.ids > 0)]], cells[1][s.pairs() & ~s.old[1:]]]
+            else:
+                shorter = s.candidates(sent.value, cells)[-1]
+                new = [cells[-1][shorter[:-1] & shorter[1:] & ~s.old[length - 1 :]]]
+            held += new
+            n += sum(map(len, new))
             if n >= HELD:
                 yield from _added(held)
                 held, n = [], 0
@@ -225,21 +246,21 @@ def _distinct(rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([code // n**j % n for j in range(length - 1, -1, -1)], 1)
 
 
-def counted(s: Shard, frequent: np.ndarray, bits: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids of phrases, a row each; counts) for each length from 1 to most, of words and phrases whose bound is frequent."""
-    n_words, n = len(s.words), len(s.ids)
-    word_cell, pair_cell = s.cells(bits)
-    words = np.flatnonzero(_is_on(frequent, word_cell))
+def counted(s: Shard, frequent: Sequence[np.ndarray], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids of phrases, a row each; counts) for each length from 1 on, of words and phrases whose bound is frequent."""
+    n_words = len(s.words)
+    cells = s.cells(bits, len(frequent) + 1)
+    words = np.flatnonzero(_is_on(frequent[0], cells[0]))
     words = words[words > 0]
     yield words[:, None], np.bincount(s.ids[~s.old], minlength=n_words)[words]
-    pair = s.pairs() & _is_on(frequent, pair_cell)
+    runs = s.candidates(frequent, cells)
+    pair = runs[0]
     if not pair.any():
         return
-    keys, run = [], pair
-    for length in range(2, most + 1):
+    keys = []
+    for length, run in enumerate(runs, 2):
         at = np.flatnonzero(run)
         keys.append(_distinct(np.stack([s.ids[at + j] for j in range(length)], 1), n_words))
-        run = run[:-1] & pair[length - 1 :]
     # what the automaton reads: words of candidate pairs, with a border before each that no candidate joins to the word before it
     joined = np.concatenate([[False], pair])
     read = np.flatnonzero(joined | np.concatenate([pair, [False]]))
@@ -267,19 +288,19 @@ def counted(s: Shard, frequent: np.ndarray, bits: int, most: int) -> Iterator[tu
         k += len(rows)
 
 
-def counts(texts: DataFrame, frequent: np.ndarray, bits: int, most: int) -> DataFrame:
-    """(key, f): exact counts of words and of phrases of 2 to `most` words whose bound is frequent, and of each language's words
-    together (an empty phrase). key: the language, a line end (no word has one), the phrase."""
-    sent = texts.sparkSession.sparkContext.broadcast(frequent)  # at most 2**MOST_BITS bits
+def counts(texts: DataFrame, frequent: Sequence[np.ndarray], bits: int) -> DataFrame:
+    """(key, f): exact counts of words and longer phrases whose bound is frequent, and of each language's words together (an empty phrase).
+    key: the language, a line end (no word has one), the phrase."""
+    sent = texts.sparkSession.sparkContext.broadcast(list(frequent))  # at most 2**MOST_BITS bits each
 
     def batch(keys: list[str], n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64())], names=["key", "f"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in shards(batches, most - 1):
+        for s in shards(batches, len(frequent)):
             yield batch([f"{s.lang}\n"], [np.count_nonzero(s.ids[~s.old])])
             names = [w.decode("utf-8", "surrogatepass") for w in s.words]
-            for rows, n in counted(s, sent.value, bits, most):
+            for rows, n in counted(s, sent.value, bits):
                 at = np.flatnonzero(n)
                 for i in range(0, len(at), 1 << 15):
                     part = at[i : i + (1 << 15)]
@@ -299,11 +320,16 @@ def mine(docs: DataFrame, most_words: int = 3, least: int = 10, percent: int = 5
     Null texts are empty, a null lang is `und`; equal rows count each; empty texts, pieces and tables have no word. Languages without
     a candidate give no row; other columns are not looked at. Texts are counted whole, whatever their length.
     """
+    if most_words < 2:
+        raise ValueError("phrases have two words or more")
     tune(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size, 8) / 8)), LEAST_BITS), MOST_BITS)
-    every = counts(texts, sketch(texts, least, bits), bits, most_words)
+    frequent: list[np.ndarray] = []
+    for _ in range(most_words - 1):
+        frequent.append(sketch(texts, least, bits, frequent))
+    every = counts(texts, frequent, bits)
     # parts of a candidate are as frequent as it is at least
     every = every.where((F.col("f") >= least) | F.endswith("key", F.lit("\n"))).withColumn("phrase", F.substring_index("key", "\n", -1))
     lang = F.left("key", F.length("key") - F.length("phrase") - 1)

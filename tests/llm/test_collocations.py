@@ -90,7 +90,7 @@ def test_a_bound_is_never_too_small(spark):
     for s in collocations.shards(iter([batch]), 1):
         at = np.flatnonzero(s.pairs())
         exact.update((s.words[s.ids[i]], s.words[s.ids[i + 1]]) for i in at)
-        cells = {(s.words[s.ids[i]], s.words[s.ids[i + 1]]): int(s.cells(16)[1][i]) for i in at}
+        cells = {(s.words[s.ids[i]], s.words[s.ids[i + 1]]): int(s.cells(16, 2)[1][i]) for i in at}
     bits = collocations.sketch(df, 20, 16)
     on = {p for p, c in cells.items() if bits[c >> 3] >> (c & 7) & 1}
     assert {p for p, n in exact.items() if n >= 20} <= on and len(on) < len(exact)
