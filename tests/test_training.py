@@ -9,7 +9,7 @@ from ratingmill.operators.training import EpochClassifier, EpochOptions, feature
 from pyspark.sql import functions as F
 
 
-def plain(rows, o, classes):
+def plain(rows, o, classes, order_of=None):
     """AdamW in plain numpy: rows (text, label, hashes)."""
     w, m, v, t, out = (np.zeros((o.width + 1, classes)), np.zeros((o.width + 1, classes)), np.zeros((o.width + 1, classes)), 0, [])
     x = np.zeros((len(rows), o.width + 1))
@@ -18,7 +18,7 @@ def plain(rows, o, classes):
         x[i, at] = value
     y = np.array([r[1] for r in rows])
     for epoch in range(o.epochs):
-        order = sorted(range(len(rows)), key=lambda i: (hashlib.md5(f"{rows[i][0]}|{rows[i][1]}|{epoch}|{o.seed}".encode()).hexdigest(), rows[i][0]))
+        order = order_of(epoch) if order_of else sorted(range(len(rows)), key=lambda i: (hashlib.md5(f"{rows[i][0]}|{rows[i][1]}|{epoch}|{o.seed}".encode()).hexdigest(), rows[i][0]))
         total, g, steps = 0.0, np.zeros_like(w), math.ceil(len(rows) / o.batch_size)
         for step in range(steps):
             batch = order[step * o.batch_size : (step + 1) * o.batch_size]
@@ -79,3 +79,23 @@ def test_odd_rows(spark):
         EpochClassifier().train(spark.createDataFrame([("a", None)], schema))
     assert EpochClassifier(EpochOptions(width=4)).train(df.limit(0)).history == []
     assert c.loss(spark.createDataFrame([("a", 7)], schema)).first().loss > 100
+
+
+def test_query_equals_plain_numpy(spark, tmp_path):
+    from ratingmill.plans import learning
+
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choices("the of and house tree".split() if i % 2 else "der und das Haus Baum".split(), k=r.randint(0, 30))), "en" if i % 2 else "de") for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    o = EpochOptions()
+    hashes = {x.doc_id: x.h for x in df.select("doc_id", hashed_words(F.col("text"), o).alias("h")).collect()}
+    rows = [(i, int(lang == "en"), hashes[i]) for i, _, lang in docs if i % 5]
+    # the query's key is doc_id alone
+    order = lambda epoch: sorted(range(len(rows)), key=lambda i: hashlib.md5(f"{rows[i][0]}|{epoch}|{o.seed}".encode()).hexdigest())
+    w, want = plain(rows, o, 2, order)
+    got = learning.classifier_epochs(spark, str(tmp_path)).orderBy("epoch").collect()
+    assert np.allclose([g.train_loss for g in got], want, rtol=0, atol=1e-9)
+    held = [(features(hashes[i], o.width), int(lang == "en")) for i, _, lang in docs if i % 5 == 0]
+    logs = [(x @ w[at] - np.log(np.exp(x @ w[at]).sum()), y) for (at, x), y in held]
+    assert abs(got[-1].val_loss + np.mean([z[y] for z, y in logs])) < 1e-9 and abs(got[-1].val_accuracy - np.mean([z.argmax() == y for z, y in logs])) < 1e-9
