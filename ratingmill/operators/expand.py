@@ -16,6 +16,8 @@ from ratingmill.functions.text import AVOID, FOLLOW, signed_name
 
 #: Rows of a parameter table.
 MOST_PARAMETERS = 100_000
+#: Bytes of its texts and lists.
+MOST_BYTES = 64 << 20
 
 
 def parameters(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
@@ -24,12 +26,34 @@ def parameters(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFram
     return F.broadcast(spark.createDataFrame(list(rows), ddl))
 
 
+def _fits(df: DataFrame) -> bool:
+    """Whether the rows are few and, where columns have no fixed width, their values few bytes as JSON."""
+    wide = [c for c, t in df.dtypes if t in ("string", "binary") or t.startswith(("array", "map", "struct"))]
+    if not wide:
+        return True  # the limit of rows is one of bytes
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide])))
+    found = df.limit(MOST_PARAMETERS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found.n <= MOST_PARAMETERS and found.bytes <= MOST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df, made once and broadcast, if it proves to be no longer than a parameter table; else as it is, for a join that shuffles."""
+    """df, made once and broadcast, if it proves to be no longer than a parameter table, in rows and in bytes; else as it is, for a join
+    that shuffles."""
+    if not _fits(df):
+        return df
     rows = df.limit(MOST_PARAMETERS + 1).collect()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= MOST_PARAMETERS else df
 
 
+def with_each(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Each row with each row of a parameter table, which is broadcast; raises if the table proves too large for that, as two sides that
+    both grow have no plan but a Cartesian product."""
+    found = small(table)
+    if found is table:
+        raise ValueError(f"more than {MOST_PARAMETERS} rows or {MOST_BYTES} bytes are no parameter table")
+    return df.crossJoin(found)
+
+
 def attributes(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return parameters(spark, list(enumerate(names)), "attr_ord int, attribute string")
 
@@ -59,9 +83,15 @@ def round_robin(df: DataFrame, ordinal: Column, pairs: Sequence[tuple[str, str]]
     return out.select("*", F.posexplode("poles").alias("slot", "attribute")).drop("poles")
 
 
-def even_limit(limit: int, pairs: int) -> int:
+def known_pairs(spark: SparkSession, pairs: Sequence[tuple[str, str]], first: Sequence[str], second: Sequence[str] | None = None) -> DataFrame:
+    """(pair_ord, a, b) of the pairs whose names are both listed; pair_ord counts all pairs, so that leaving one out moves no other."""
+    a, b = set(first), set(first if second is None else second)
+    return parameters(spark, [(i, x, y) for i, (x, y) in enumerate(pairs) if x in a and y in b], "pair_ord int, a string, b string")
+
+
+def even_limit(limit: int | Column, pairs: int) -> int | Column:
     """The largest multiple of the pairs' number within the limit."""
-    return limit // pairs * pairs
+    return F.floor(limit / pairs).cast("long") * pairs if isinstance(limit, Column) else limit // pairs * pairs
 
 
 def slots(users: DataFrame, user_ord: Column, per_user: int, sources: int, base: int = 0) -> DataFrame:
@@ -85,8 +115,8 @@ def drawn_attribute(key: Column, names: Sequence[str], seed: int) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (draw(len(names), key, seed) + 1).cast("int"))
 
 
-def oversampled(n: int, factor: float = 1.05) -> int:
-    return int(n * factor)
+def oversampled(n: int | Column, factor: float = 1.05) -> int | Column:
+    return F.floor(n * F.lit(factor)).cast("long") if isinstance(n, Column) else int(n * factor)
 
 
 def join_attributes(requests: DataFrame, user_attributes: DataFrame, key: Sequence[str] = ("split", "user_id")) -> DataFrame:

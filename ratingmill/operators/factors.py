@@ -28,10 +28,15 @@ def imputed(ratings: DataFrame) -> DataFrame:
     return ratings.join(small(means), "attr_ord").withColumn("score", F.coalesce(score, "__mean")).drop("__mean")
 
 
-def attribute_stats(ratings: DataFrame) -> DataFrame:
-    """(attr_ord, attribute, n, mean, std, entropy, flat): population deviation; flat: no spread at all."""
+def spreads(ratings: DataFrame) -> DataFrame:
+    """(attr_ord, attribute, n, mean, std, flat) in one aggregate: population deviation; flat: no spread at all."""
     own = ratings.groupBy("attr_ord", "attribute").agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
-    return own.join(stats.entropy(ratings, ["attr_ord"], "score"), "attr_ord", "left").withColumn("flat", F.col("std") <= FLAT)
+    return own.withColumn("flat", F.col("std") <= FLAT)
+
+
+def attribute_stats(ratings: DataFrame) -> DataFrame:
+    """(attr_ord, attribute, n, mean, std, flat, entropy)."""
+    return spreads(ratings).join(stats.entropy(ratings, ["attr_ord"], "score"), "attr_ord", "left")
 
 
 def informative(ratings: DataFrame, least: float = 1.5) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +49,7 @@ def informative(ratings: DataFrame, least: float = 1.5) -> tuple[DataFrame, Data
 def standardised(ratings: DataFrame, noise: int | None = None) -> DataFrame:
     """With z: score less mean by population deviation. A flat attribute is divided by one, so that z is zero; with a seed for noise
     it gets normal draws keyed by conversation and attribute instead."""
-    s = attribute_stats(ratings).select("attr_ord", "mean", "std", F.col("flat").alias("__flat"))
+    s = spreads(ratings).select("attr_ord", "mean", "std", F.col("flat").alias("__flat"))
     safe = F.when(F.col("std") > FLAT, F.col("std")).otherwise(1.0)
     z = (F.col("score") - F.col("mean")) / safe
     if noise is not None:

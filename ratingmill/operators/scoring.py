@@ -75,6 +75,12 @@ def _rendered(df: DataFrame, template: str, options: JudgeOptions) -> DataFrame:
     return df.withColumns({"system": F.lit(SYSTEM[options.thinking]), "prompt": prompt})
 
 
+def raw_requests(df: DataFrame, prompt: Column, options: JudgeOptions = JudgeOptions()) -> DataFrame:
+    """Requests whose prompts are already written, as they are; raises where one is missing."""
+    df = conv.checked(df, prompt.isNotNull(), "a prompt is missing")
+    return df.withColumns({"system": F.lit(SYSTEM[options.thinking]), "prompt": prompt})
+
+
 def surrogate_scorer(*keys: str) -> Scorer:
     """Scores by a hash of the keys; the same request has the same score."""
     return lambda df: df.withColumn("score", surrogate_score(*[F.col(k) for k in keys]))

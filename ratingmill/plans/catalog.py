@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingmill import schema
@@ -350,13 +350,15 @@ def score_histogram(spark, sf_dir):
     return stats.histogram(rated(spark, sf_dir), ["attribute"], "score", 0.5, 10.5, 10).select("attribute", "bin", F.col("count").alias("n"), r6("share", "share"))
 
 
-SPECTRUM = [4.0, 2.5, 1.5, 1.0, 0.6, 0.4]
+SPECTRUM = "v AS (SELECT i, var_pop(x) AS value FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i), s AS (SELECT value, row_number() OVER (ORDER BY value DESC)-1 AS rank FROM v)"
 
 
-@query(f"SELECT rank::INT AS rank, value::DOUBLE AS value, round(sum(value) OVER (ORDER BY rank)/sum(value) OVER (),6)::DOUBLE AS explained FROM (VALUES {values(enumerate(SPECTRUM))}) s(rank, value)")
+@query(f"WITH {SPECTRUM} SELECT rank::INT AS rank, round(value,6) AS value, round(sum(value) OVER (ORDER BY rank)/sum(value) OVER (),6)::DOUBLE AS explained FROM s")
 def explained_variance(spark, sf_dir):
-    s = expand.parameters(spark, list(enumerate(SPECTRUM)), "rank int, value double")
-    return s.select("rank", "value", r6(factors.explained(F.col("value"), F.col("rank")), "explained"))
+    """The variances of the embeddings' components, the largest first, and the share that they explain."""
+    s = factors.spreads(embedded(spark, sf_dir)).select((F.col("std") ** 2).alias("value"))
+    s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"))) - 1)  # a row for each component
+    return s.select("rank", r6("value", "value"), r6(factors.explained(F.col("value"), F.col("rank")), "explained"))
 
 
 JUDGED = f"""{ATTRS}, x AS (SELECT item_id, attribute AS response_attr, attrs.attr_ord, {h('item_id', "'42'")}%{N} AS gt, {score('item_id', 'attribute')} AS score FROM benchmark CROSS JOIN attrs),
@@ -379,7 +381,7 @@ BIASED = f"b AS (SELECT model, system_prompt, c_custkey AS persona_id, item_id A
 def biased(spark, sf_dir) -> DataFrame:
     """Scores of each run's answers by each persona. Prompts and runs are parameter tables; the personas are not moved."""
     runs = expand.by_run(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id")), ["m1", "m2"], ["plain", "kind"])
-    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("persona_id")).crossJoin(expand.small(runs))
+    df = expand.with_each(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("persona_id")), runs)
     key = [F.col(c) for c in ("model", "system_prompt", "persona_id", "prompt_id")]
     return df.withColumn("score", F.when(draw(50, *key) != 0, surrogate_score(*key)))
 

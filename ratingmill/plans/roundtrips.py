@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ratingmill.functions.portable import draw, surrogate_score
 from ratingmill.operators import conversations as conv
 from ratingmill.operators import expand, factors, reward, scoring, synthetic
-from ratingmill.plans.catalog import ATTRS, NAMES, NESTED, ORACLES, RATED, SCORED, SEED, N, h, nested, pair_scores, query, rated, scratch, table, values
+from ratingmill.plans.catalog import NAMES, NESTED, ORACLES, RATED, SCORED, SEED, N, h, nested, pair_scores, query, rated, scratch, table, values
 from ratingmill.sources import corpus, sinks
 
 
@@ -56,6 +56,14 @@ def items_at(spark, sf_dir) -> str:
     return at
 
 
+def listed(df, name: str, order: str) -> list[str]:
+    """A parameter list from a table; raises if it is longer than one may be."""
+    rows = df.orderBy(order).select(name).limit(expand.MOST_PARAMETERS + 1).collect()
+    if len(rows) > expand.MOST_PARAMETERS:
+        raise ValueError("no parameter list")
+    return [r[0] for r in rows]
+
+
 @query(f"WITH {ITEMS} SELECT ord::BIGINT AS ord, conv_id::VARCHAR AS user_id, 1 AS attributes, 0 AS history, (n-1)::INT AS messages FROM s WHERE ord<20")
 def labelled_split(spark, sf_dir):
     got = corpus.labelled_items(spark, items_at(spark, sf_dir), "test", limit=20)
@@ -80,14 +88,13 @@ def rounded_table(spark, sf_dir):
     return spark.read.schema("judge string, pair string, mean_sum double, std_sum double").csv(at, header=True)
 
 
-@query("SELECT doc_id::INT AS id, 1 AS prompt_id, lang AS attribute, 'follow' AS side, 'say \"x\", y' AS prompt, text AS response FROM documents WHERE text<>'' AND NOT contains(text, chr(13)) AND NOT contains(text, chr(92))")
+@query("SELECT doc_id::INT AS id, 1 AS prompt_id, lang AS attribute, 'follow' AS side, 'say \"x\", y' AS prompt, chr(13)||text||chr(92) AS response FROM documents")
 def generated_table(spark, sf_dir):
-    """Responses with quotes, commas and line ends as CSV; a backslash or carriage return is not kept by it."""
+    """Responses with quotes, commas, line ends of both kinds and backslashes as CSV."""
     at = f"{scratch(spark)}/generated"
-    plain = (F.col("text") != "") & ~F.contains("text", F.lit("\r")) & ~F.contains("text", F.lit("\\"))
-    rows = table(spark, sf_dir, "documents").where(plain).select(
+    rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("int").alias("id"), F.lit(1).alias("prompt_id"), F.col("lang").alias("attribute"), F.lit("follow").alias("side"),
-        F.lit('say "x", y').alias("prompt"), F.col("text").alias("response"),
+        F.lit('say "x", y').alias("prompt"), F.concat(F.lit("\r"), "text", F.lit("\\")).alias("response"),
     )
     sinks.plain_csv(rows, at)
     return corpus.generated_csv(spark, at)
@@ -96,7 +103,7 @@ def generated_table(spark, sf_dir):
 @query(f"SELECT 'm1' AS model, 'plain' AS system_prompt, c_custkey::INT AS persona_id, c_name AS persona, item_id::INT AS prompt_id, text AS prompt, 'a, \"b\"' AS response, (1+{h('c_custkey', 'item_id')}%10)::INT AS score FROM benchmark CROSS JOIN customer")
 def bias_table(spark, sf_dir):
     at = f"{scratch(spark)}/bias"
-    df = table(spark, sf_dir, "customer").crossJoin(expand.small(table(spark, sf_dir, "benchmark")))
+    df = expand.with_each(table(spark, sf_dir, "customer"), table(spark, sf_dir, "benchmark"))
     sinks.bias_csv(df.select(
         F.lit("m1").alias("model"), F.lit("plain").alias("system_prompt"), F.col("c_custkey").cast("int").alias("persona_id"), F.col("c_name").alias("persona"),
         F.col("item_id").cast("int").alias("prompt_id"), F.col("text").alias("prompt"), F.lit('a, "b"').alias("response"), surrogate_score(F.col("c_custkey"), F.col("item_id")).cast("int").alias("score"),
@@ -123,10 +130,11 @@ def judge_cubes(spark, sf_dir):
     return corpus.judge_scores(spark, f"{at}/some").groupBy("judge").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
 
-@query(f"WITH {ATTRS} SELECT attr_ord::INT AS ord, attribute, form FROM attrs CROSS JOIN (VALUES ('json'), ('list'), ('yaml')) f(form)")
+@query("SELECT (row_number() OVER (PARTITION BY form ORDER BY p_type)-1)::INT AS ord, p_type AS attribute, form FROM (SELECT DISTINCT p_type FROM part) CROSS JOIN (VALUES ('json'), ('list'), ('yaml')) f(form)")
 def attribute_lists(spark, sf_dir):
+    """A list of attributes, here the parts' types, as JSON, as YAML and as it is."""
     at = scratch(spark)
-    own = corpus.attributes(spark, NAMES)
+    own = corpus.attributes(spark, listed(table(spark, sf_dir, "part").select("p_type").distinct(), "p_type", "p_type"))
     sinks.attributes_json(own, f"{at}/json")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "attribute"))), lambda a: F.concat(F.lit("  - "), a["attribute"])), "\n")
     own.agg(F.concat(F.lit("# attributes\nattributes:\n"), lines).alias("value")).write.text(f"{at}/yaml")
@@ -198,19 +206,26 @@ def flat_attributes(spark, sf_dir):
     return factors.attribute_stats(with_flat(spark, sf_dir)).select("attr_ord", "flat")
 
 
-@query(f"SELECT i::INT AS i, j::INT AS j, round({normal(('a', 'b'), 'i', 'j', '7')}, 6)+0.0 AS w FROM range(40) a(i) CROSS JOIN range(25) b(j)")
+@query(f"SELECT i::INT AS i, j::INT AS j, round({normal(('a', 'b'), 'i', 'j', '7')}, 6)+0.0 AS w FROM (SELECT row_number() OVER ()-1 AS i FROM supplier) a CROSS JOIN (SELECT row_number() OVER ()-1 AS j FROM nation) b")
 def dense_world(spark, sf_dir):
-    return reward.dense_world(spark, 40, 25, 7).select("i", "j", (F.round("w", 6) + F.lit(0.0)).alias("w"))
+    """A world with as many user attributes as suppliers and as many response attributes as nations."""
+    size = lambda name: table(spark, sf_dir, name).count()
+    return reward.dense_world(spark, size("supplier"), size("nation"), 7).select("i", "j", (F.round("w", 6) + F.lit(0.0)).alias("w"))
 
 
-@query("SELECT n::BIGINT AS n, floor(n*1.05::DOUBLE)::BIGINT AS oversampled, (n//6*6)::BIGINT AS even FROM range(1, 2001) r(n)")
+@query("SELECT event_id::BIGINT AS n, floor(event_id*1.05::DOUBLE)::BIGINT AS oversampled, (event_id//6*6)::BIGINT AS even FROM events")
 def whole_numbers(spark, sf_dir):
-    return spark.createDataFrame([(n, expand.oversampled(n), expand.even_limit(n, 6)) for n in range(1, 2001)], "n long, oversampled long, even long")
+    n = F.col("n")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("n"))
+    return rows.select("n", expand.oversampled(n).alias("oversampled"), expand.even_limit(n, 6).alias("even"))
 
 
-@query("SELECT 'train' AS split, i::INT AS user_idx, i::BIGINT AS user_ord, 3 AS attributes FROM range(105) r(i) UNION ALL SELECT 'test', i::INT, (105+i)::BIGINT, 3 FROM range(21) r(i)")
+@query("""WITH s AS (SELECT c_mktsegment AS split, floor(count(*)*1.05::DOUBLE)::BIGINT AS n FROM customer GROUP BY 1), o AS (SELECT split, n, (sum(n) OVER (ORDER BY split)-n)::BIGINT AS base FROM s)
+SELECT split, i::INT AS user_idx, (base+i)::BIGINT AS user_ord, 3 AS attributes FROM (SELECT split, base, unnest(range(n)) AS i FROM o)""")
 def users_by_split(spark, sf_dir):
-    made = synthetic.users(spark, {"train": 100, "test": 20}, NAMES, 3, SEED)
+    """More users of each split than wanted; a split for each of the customers' few segments, as many users as it has."""
+    wanted = {r.c_mktsegment: r["count"] for r in table(spark, sf_dir, "customer").groupBy("c_mktsegment").count().orderBy("c_mktsegment").collect()}
+    made = synthetic.users(spark, wanted, NAMES, 3, SEED)
     return made.select("split", "user_idx", "user_ord", F.size("attributes").alias("attributes"))
 
 

@@ -11,6 +11,7 @@ from ratingmill import schema
 from ratingmill.functions.portable import order_key
 from ratingmill.functions.text import any_prefix, persona
 from ratingmill.operators import conversations as conv
+from ratingmill.sources.sinks import CSV
 
 
 def corpus(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -76,7 +77,7 @@ def users_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def generated_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.GENERATED).csv(path, header=True, multiLine=True, escape='"')
+    return spark.read.schema(schema.GENERATED).csv(path, multiLine=True, **CSV)
 
 
 def ratings(spark: SparkSession, path: str, attributes: Sequence[str]) -> DataFrame:
@@ -113,7 +114,7 @@ def attributes_yaml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bias_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.BIAS).csv(path, header=True, multiLine=True, escape='"')
+    return spark.read.schema(schema.BIAS).csv(path, multiLine=True, **CSV)
 
 
 def item(df: DataFrame, i: int):

@@ -22,13 +22,18 @@ def rounded_csv(df: DataFrame, path: str, digits: int = 4) -> None:
     df.select(cols).write.mode("overwrite").csv(path, header=True, nullValue="")
 
 
+#: How texts are written and read as CSV: all values in quotes, quotes doubled, rows end with a line feed alone. Carriage returns, line
+#: feeds, backslashes and blanks at either end are kept; an empty text is read back as null.
+CSV = {"header": True, "quote": '"', "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def plain_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"', quote='"')
+    df.write.mode("overwrite").csv(path, quoteAll=True, **CSV)
 
 
 def bias_csv(rows: DataFrame, path: str) -> None:
     """Scores of personas as CSV, columns as in schema.BIAS."""
-    rows.select("model", "system_prompt", "persona_id", "persona", "prompt_id", "prompt", "response", "score").write.mode("overwrite").csv(path, header=True, escape='"', quote='"')
+    plain_csv(rows.select("model", "system_prompt", "persona_id", "persona", "prompt_id", "prompt", "response", "score"), path)
 
 
 def matrix(ratings: DataFrame, path: str) -> None:
@@ -44,6 +49,16 @@ def report(lines: DataFrame, line: Column, order: Sequence[Column], path: str) -
     lines.orderBy(*order).select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def printed(lines: DataFrame, line: Column, order: Sequence[Column], most: int = 10_000) -> int:
+    """Prints a report's lines in order, as many as it has; raises if there are more than `most`, which is then no report."""
+    rows = lines.orderBy(*order).select(line.alias("value")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} lines are no report")
+    for r in rows:
+        print(r.value)
+    return len(rows)
+
+
 def attributes_json(attributes: DataFrame, path: str) -> None:
     """(ord, attribute) as one JSON list."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "attribute"))), lambda a: a["attribute"])
@@ -51,8 +66,9 @@ def attributes_json(attributes: DataFrame, path: str) -> None:
 
 
 def mean_line(mean: str, spread: str) -> Column:
-    """Two digits, halves to the even digit."""
-    return F.format_string("%.2f ± %.2f", F.bround(mean, 2), F.bround(spread, 2))
+    """Two digits, halves to the even digit; what is missing is nan."""
+    text = lambda c: F.when(F.col(c).isNull(), "nan").otherwise(F.format_string("%.2f", F.bround(c, 2)))
+    return F.concat(text(mean), F.lit(" ± "), text(spread))
 
 
 def share_line(share: str) -> Column:
