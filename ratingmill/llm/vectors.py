@@ -1,11 +1,15 @@
 """Embedding near-duplicates: an exact metric range join over pivots' cells.
 
 Vectors of a label are points on the unit sphere, where cosine c is the distance sqrt(2 - 2c). A label's pivots, as many as its size
-asks for, are the vectors with the smallest hashes; they partition its vectors: a vector's home cell is its nearest pivot's. If u
-with home j lies within r of v with home i, the triangle inequality gives d(v, j) - r <= d(u, j) <= d(u, i) <= d(v, i) + r, so v is
-also sent to each cell j with d(v, j) <= d(v, i) + 2r, unless the bisector of i and j is farther than r from v. Each vector then
+asks for, are the vectors with the smallest hashes; they partition its vectors: a vector's home cell is its nearest pivot's, or that of
+the rest if the pivot is farther away than a reach R. If u with home j lies within r of v, whose nearest pivot is i, the triangle
+inequality gives d(v, j) - r <= d(u, j) <= d(u, i) <= d(v, i) + r and d(v, j) <= R + r, so v is also sent to each cell j with
+d(v, j) <= d(v, i) + 2r and <= R + r, unless the bisector of i and j is farther than r from v; if u is of the rest, d(v, i) > R - r, so
+only such v are sent there. Each vector then
 finds all that it links to in its home cell, and cells join independently. Cells that are still too large are partitioned again by
-pivots of their own, LEVELS times at most; what no pivot divides is cut into blocks, and each pair of blocks is a task.
+pivots of their own, LEVELS times at most. A sample of each cell's vectors tells beforehand what every number of pivots would cost, as
+copies times cell size, with each reach; a cell takes the cheapest, and none at all where that saves less than a quarter, as with vectors
+of many dimensions that lie alike in all directions. What no pivot divides is cut into blocks, and each pair of blocks is a task.
 
 Equal vectors are one class with a count, so copies cost one row. A task gives each vector's number of links and a spanning star
 of what is linked; pairs are never written.
@@ -24,6 +28,10 @@ from ratingmill.llm.common import components, local_roots, partitions, stash, tu
 
 #: Pivots of all cells that are divided at one level, which is what is broadcast; levels.
 MOST_PIVOTS, LEVELS = 4096, 4
+#: Vectors of a cell whose copies are counted before it is divided; the share of its cost that a division may leave.
+SAMPLE, WORTH = 500, 0.75
+#: Reaches of pivots; no distance is beyond the first one.
+REACHES = (3.0, 0.9, 0.6, 0.35)
 SLACK = 1e-9
 
 
@@ -34,9 +42,47 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _cells(pivots: dict[tuple, list], radius: float):
-    """Sends each row of a cell with pivots to its home among them and to those within reach. home: whether its row asks there."""
+def _reach(square: np.ndarray, apart: np.ndarray, radius: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, sent) of rows by their squared distances to pivots and the pivots' distances: the cell of the nearest pivot or of the rest,
+    which comes last, and the cells that a row is sent to."""
+    d, home, rows = np.sqrt(square), square.argmin(1), np.arange(len(square))
+    nearest = d[rows, home]
+    near = d - nearest[:, None] <= 2 * radius + SLACK
+    near &= square - square[rows, home][:, None] <= 2 * (radius + SLACK) * apart[home] + SLACK
+    near &= d <= most + radius + SLACK
+    sent = np.column_stack([near, nearest > most - radius - SLACK])
+    home = np.where(nearest > most, square.shape[1], home)
+    sent[rows, home] = True
+    return home, sent
+
+
+def _reached(pivots: dict[tuple, list], radius: float):
+    """How many rows would be sent to each cell by the first 2, 4, 8, ... pivots of a cell, and by all of them, with each reach."""
     unit = {cell: _unit(v) for cell, v in pivots.items()}
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for (label, dim, cell), part in b.groupby(["label", "dim", "cell"], sort=False):
+                own = unit.get((label, dim, cell))
+                if own is None:
+                    continue
+                apart = np.sqrt(np.maximum(2 - 2 * own @ own.T, 0))
+                square = np.maximum(2 - 2 * _unit(part["vec"].to_numpy()) @ own.T, 0)
+                for p in _numbers(len(own)):
+                    for most in REACHES:
+                        n = _reach(square[:, :p], apart[:p, :p], radius, most)[1].sum(0)
+                        yield pd.DataFrame({"label": label, "dim": dim, "cell": cell, "p": p, "most": most, "sub": np.arange(p + 1), "n": n})
+
+    return each
+
+
+def _numbers(pivots: int) -> list[int]:
+    return [1 << k for k in range(1, pivots.bit_length()) if 1 << k < pivots] + [pivots]
+
+
+def _cells(pivots: dict[tuple, tuple[list, float]], radius: float):
+    """Sends each row of a cell with pivots to its home among them and to those within reach. home: whether its row asks there."""
+    unit = {cell: (_unit(v), most) for cell, (v, most) in pivots.items()}
     names = ["rid", "label", "dim", "n", "vec", "cell", "sub", "home"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,18 +90,13 @@ def _cells(pivots: dict[tuple, list], radius: float):
         for b in batches:
             out = []
             for cell, part in b.groupby(["label", "dim", "cell"], sort=False):
-                own = unit.get(cell)
-                if own is None:
+                if cell not in unit:
                     out.append(part.assign(sub=-1))
                     continue
+                own, most = unit[cell]
                 if cell not in apart:
                     apart[cell] = np.sqrt(np.maximum(2 - 2 * own @ own.T, 0))
-                square = np.maximum(2 - 2 * _unit(part["vec"].to_numpy()) @ own.T, 0)
-                d, home = np.sqrt(square), square.argmin(1)
-                rows = np.arange(len(part))
-                reach = d - d[rows, home][:, None] <= 2 * radius + SLACK
-                reach &= square - square[rows, home][:, None] <= 2 * (radius + SLACK) * apart[cell][home] + SLACK
-                reach[rows, home] = True
+                home, reach = _reach(np.maximum(2 - 2 * _unit(part["vec"].to_numpy()) @ own.T, 0), apart[cell], radius, most)
                 at, sub = np.nonzero(reach)
                 sent = part.iloc[at]
                 out.append(sent.assign(sub=sub, home=sent["home"].to_numpy() & (sub == home[at])))
@@ -91,6 +132,44 @@ def _join(cosine: float, rows_at_once: int = 512):
     return each
 
 
+def divided(members: DataFrame, radius: float, cell_rows: int) -> DataFrame:
+    """members (rid, label, dim, n, vec, cell, home) with cells of more than cell_rows rows divided by pivots where that pays: a row for
+    each cell that a vector is sent to; home tells the one in which it asks."""
+    cell, settled = ["label", "dim", "cell"], []
+    hashed = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 40))
+    for level in range(LEVELS):
+        size = members.groupBy(*cell).agg(F.count("*").alias("m")).where(F.col("m") > cell_rows)
+        size = stash(size.where(~F.col("cell").isin(settled)) if settled else size)
+        total = size.agg(F.sum("m")).first()[0]
+        if total is None:
+            break
+        share = min(-(-8 * int(total) // cell_rows), MOST_PIVOTS) / total
+        large = members.join(size, cell)
+        order = hashed("rid", F.lit(level))
+        found: dict[tuple, list] = {}
+        for r in sorted(large.where(order < int(share * (1 << 40))).select(*cell, "vec", "rid", order.alias("o")).collect(), key=lambda r: (r.o, r.rid)):
+            found.setdefault((r.label, r.dim, r.cell), []).append(r.vec)
+        found = {k: v for k, v in found.items() if len(v) > 1}
+        if not found:
+            break
+        rate = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("m"))
+        sample = large.where(hashed("rid", F.lit(level), F.lit("sample")) < rate * (1 << 40)).select(*cell, "vec")
+        sent = sample.mapInPandas(_reached(found, radius), "label string, dim int, cell long, p int, most double, sub int, n long")
+        sent = sent.groupBy(*cell, "p", "most", "sub").agg(F.sum("n").cast("double").alias("n")).groupBy(*cell, "p", "most").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"))
+        cost: dict[tuple, tuple] = {}
+        for r in sent.join(size, cell).select(*cell, "p", "most", (F.col("pairs") / rate**2 / F.col("m") ** 2).alias("cost")).collect():
+            key = (r.label, r.dim, r.cell)
+            cost[key] = min(cost.get(key, (WORTH, 0, 0.0)), (r.cost, r.p, r.most))
+        pivots = {k: (found[k][:p], most) for k, (_, p, most) in cost.items() if p}
+        settled += [k[2] for k, (_, p, _) in cost.items() if not p]
+        if not pivots:
+            continue
+        ddl = "rid long, label string, dim int, n long, vec array<double>, cell long, sub long, home boolean"
+        out = members.select("rid", *cell, "n", "vec", "home").mapInPandas(_cells(pivots, radius), ddl)
+        members = stash(out.withColumn("cell", F.when(F.col("sub") >= 0, F.xxhash64("cell", "sub")).otherwise(F.col("cell"))).drop("sub"))
+    return members
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 8000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
 
@@ -116,24 +195,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 8
     members = classes.select("rid", label.alias("label"), "dim", "n", "vec", F.xxhash64(label, "dim").alias("cell"), F.lit(True).alias("home"))
     cell = ["label", "dim", "cell"]
     members = stash(members)
-    most = None
-    for level in range(LEVELS):
-        size = stash(members.groupBy(*cell).agg(F.count("*").alias("m")).where(F.col("m") > cell_rows))
-        now = size.agg(F.sum("m").alias("all"), F.max("m").alias("most")).first()
-        if now["all"] is None or (most is not None and now["most"] > 0.9 * most):
-            break
-        most, wanted = now["most"], -(-2 * int(now["all"]) // cell_rows)
-        share = min(wanted, MOST_PIVOTS) / now["all"]
-        drawn = F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
-        found: dict[tuple, list] = {}
-        for r in members.where(drawn).join(size.select(*cell), cell).select(*cell, "vec").collect():
-            found.setdefault((r.label, r.dim, r.cell), []).append(r.vec)
-        pivots = {k: v for k, v in found.items() if len(v) > 1}
-        if not pivots:
-            break
-        ddl = "rid long, label string, dim int, n long, vec array<double>, cell long, sub long, home boolean"
-        sent = members.select("rid", *cell, "n", "vec", "home").mapInPandas(_cells(pivots, radius), ddl)
-        members = stash(sent.withColumn("cell", F.when(F.col("sub") >= 0, F.xxhash64("cell", "sub")).otherwise(F.col("cell"))).drop("sub"))
+    members = divided(members, radius, cell_rows)
     size = members.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(2 * cell_rows)).cast("int").alias("parts"))
     cut = members.join(stash(size), cell).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     # as a home a row asks in its own block's tasks, as a member it answers in every block's

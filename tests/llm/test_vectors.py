@@ -62,3 +62,33 @@ def test_labels_that_are_text_and_one_label_of_many(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
     for cell in (8000, 60, 15):
         assert sorted(tuple(x) for x in vectors.near_duplicates(df, cell_rows=cell).collect()) == brute(rows)
+
+
+def cells_of(spark, x, cell_rows, cosine=0.98):
+    rows = [(i, "a", x.shape[1], 1, v.tolist(), 1, True) for i, v in enumerate(x)]
+    members = spark.createDataFrame(rows, "rid long, label string, dim int, n long, vec array<double>, cell long, home boolean")
+    return vectors.divided(members, float(np.sqrt(2 - 2 * cosine)), cell_rows).select("rid", "cell", "home").toPandas()
+
+
+def test_vectors_in_groups_are_divided_and_copies_stay_few(spark):
+    r = np.random.default_rng(6)
+    centres = r.normal(0, 1, (40, 64))
+    x = centres[r.integers(0, 40, 4000)] + r.normal(0, 0.05, (4000, 64))
+    got = cells_of(spark, x, 400)
+    assert (got[got.home].groupby("rid").size() == 1).all() and got[got.home].rid.nunique() == 4000
+    cost = (got.groupby("cell").size().astype(float) ** 2).sum()  # copies times cell size
+    assert cost < 0.25 * 4000**2
+
+
+def test_vectors_that_no_pivot_divides_are_not_copied(spark):
+    x = np.random.default_rng(7).normal(0, 1, (3000, 64))
+    got = cells_of(spark, x, 300)
+    assert len(got) == 3000 and got.cell.nunique() == 1
+
+
+def test_blocks_of_undivided_vectors_against_brute_force(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (300, 24))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000 + i, (x[i % 50] + r.normal(0, 0.1, 24)).tolist(), 0) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(x) for x in vectors.near_duplicates(df, cell_rows=30).collect()) == brute(rows)
