@@ -45,13 +45,26 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= MOST_PARAMETERS else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all tasks: a small file is read by one, which would then make all that its rows are multiplied by."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+
+
 def with_each(df: DataFrame, table: DataFrame) -> DataFrame:
     """Each row with each row of a parameter table, which is broadcast; raises if the table proves too large for that, as two sides that
-    both grow have no plan but a Cartesian product."""
+    both grow have no plan but a Cartesian product. The rows are dealt out to all tasks before they are multiplied."""
     found = small(table)
     if found is table:
         raise ValueError(f"more than {MOST_PARAMETERS} rows or {MOST_BYTES} bytes are no parameter table")
-    return df.crossJoin(found)
+    return spread(df).crossJoin(found)
+
+
+def with_each_in_turn(df: DataFrame, table: DataFrame, rows: int = 250) -> DataFrame:
+    """with_each, where a row of the table goes with up to `rows` rows of df before the next one does: what they share lies together."""
+    own = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"))
+    blocks = spread(own).groupBy(F.floor(F.monotonically_increasing_id() / rows).alias("__block")).agg(F.collect_list("__row").alias("__rows"))
+    return with_each(blocks.select("__rows"), table).select(F.inline("__rows"), *table.columns)
 
 
 def attributes(spark: SparkSession, names: Sequence[str]) -> DataFrame:

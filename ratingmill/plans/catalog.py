@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ratingmill import schema
 from ratingmill.functions import logprobs, stats, text
-from ratingmill.functions.portable import draw, surrogate_score
+from ratingmill.functions.portable import draw, portable_hash, surrogate_score
 from ratingmill.operators import conversations as conv
 from ratingmill.operators import expand, factors, reward, scoring, synthetic
 from ratingmill.sources import corpus
@@ -379,11 +379,14 @@ BIASED = f"b AS (SELECT model, system_prompt, c_custkey AS persona_id, item_id A
 
 
 def biased(spark, sf_dir) -> DataFrame:
-    """Scores of each run's answers by each persona. Prompts and runs are parameter tables; the personas are not moved."""
+    """Scores of each run's answers by each persona. Prompts and runs are parameter tables; the personas are dealt out to all tasks."""
     runs = expand.by_run(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id")), ["m1", "m2"], ["plain", "kind"])
-    df = expand.with_each(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("persona_id")), runs)
-    key = [F.col(c) for c in ("model", "system_prompt", "persona_id", "prompt_id")]
-    return df.withColumn("score", F.when(draw(50, *key) != 0, surrogate_score(*key)))
+    # the parts of the key that each side has are written once, and a row has one hash
+    runs = runs.withColumns({"__before": F.concat("model", F.lit("|"), "system_prompt", F.lit("|")), "__after": F.concat(F.lit("|"), F.col("prompt_id").cast("string"))})
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("persona_id"), F.col("c_custkey").cast("string").alias("__own"))
+    df = expand.with_each(own, runs).withColumn("__hash", portable_hash(F.concat("__before", "__own", "__after")))
+    score = F.when(F.col("__hash") % 50 != 0, (F.col("__hash") % 10 + 1).cast("double"))
+    return df.select("model", "system_prompt", "persona_id", "prompt_id", score.alias("score"))
 
 
 T975 = f"t(df, q) AS (VALUES {values((k, round(stats.t_quantile(0.975, k), 9)) for k in range(1, 400))})"
