@@ -103,11 +103,11 @@ def generated_table(spark, sf_dir):
 @query(f"SELECT 'm1' AS model, 'plain' AS system_prompt, c_custkey::INT AS persona_id, c_name AS persona, item_id::INT AS prompt_id, text AS prompt, 'a, \"b\"' AS response, (1+{h('c_custkey', 'item_id')}%10)::INT AS score FROM benchmark CROSS JOIN customer")
 def bias_table(spark, sf_dir):
     at = f"{scratch(spark)}/bias"
-    df = expand.with_each(table(spark, sf_dir, "customer"), table(spark, sf_dir, "benchmark"))
+    df = expand.with_each_in_turn(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "benchmark"))
     sinks.bias_csv(df.select(
         F.lit("m1").alias("model"), F.lit("plain").alias("system_prompt"), F.col("c_custkey").cast("int").alias("persona_id"), F.col("c_name").alias("persona"),
         F.col("item_id").cast("int").alias("prompt_id"), F.col("text").alias("prompt"), F.lit('a, "b"').alias("response"), surrogate_score(F.col("c_custkey"), F.col("item_id")).cast("int").alias("score"),
-    ), at)
+    ), at, "gzip")
     return corpus.bias_csv(spark, at)
 
 

@@ -27,13 +27,14 @@ def rounded_csv(df: DataFrame, path: str, digits: int = 4) -> None:
 CSV = {"header": True, "quote": '"', "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def plain_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, quoteAll=True, **CSV)
+def plain_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    df.write.mode("overwrite").csv(path, quoteAll=True, compression=compression, **CSV)
 
 
-def bias_csv(rows: DataFrame, path: str) -> None:
-    """Scores of personas as CSV, columns as in schema.BIAS."""
-    plain_csv(rows.select("model", "system_prompt", "persona_id", "persona", "prompt_id", "prompt", "response", "score"), path)
+def bias_csv(rows: DataFrame, path: str, compression: str = "none") -> None:
+    """Scores of personas as CSV, columns as in schema.BIAS. Every row holds its prompt: rows of a prompt that lie together
+    (expand.with_each_in_turn) take little room once they are compressed."""
+    plain_csv(rows.select("model", "system_prompt", "persona_id", "persona", "prompt_id", "prompt", "response", "score"), path, compression)
 
 
 def matrix(ratings: DataFrame, path: str) -> None:
