@@ -73,8 +73,10 @@ def mean_line(mean: str, spread: str) -> Column:
 
 
 def share_line(share: str) -> Column:
-    """A share as percent with one digit, halves to the even digit."""
-    return F.format_string("%.1f%%", F.bround(F.col(share) * 100, 1))
+    """A share as percent with one digit, halves to the even digit. Hundredfold as a decimal: as doubles, 0.2725 * 100 is above 27.25."""
+    c = F.col(share)
+    exact = F.bround(c.try_cast("decimal(30,20)") * 100, 1).cast("double")
+    return F.format_string("%.1f%%", F.coalesce(exact, F.bround(c * 100, 1)))
 
 
 def component_line() -> Column:
