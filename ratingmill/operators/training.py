@@ -2,10 +2,11 @@
 
 The model is a softmax over hashed words. An epoch is one barrier stage. Rows are put in the order of a hash of their key, the epoch and
 the seed, numbered, and dealt to the tasks in turn, so that every task has a part of every step's rows and reads them in order. A step
-is the rows of `accumulate` mini-batches: each task judges its own, tasks exchange rows' features and residuals (as much as the step's
-rows have, however many tasks there are), and each updates its copy of the model by the same sums in the same order. So the result is
-the same, bit by bit, for any number of tasks. The model goes to the next epoch through the driver; its size is set by options alone.
-A lost executor costs the epoch that is running.
+is the rows of `accumulate` mini-batches. Each task makes the features of its own rows, and tasks exchange them for many steps at once
+(about EXCHANGED words, however many rows there are), as an exchange among tasks takes a second or so; then each judges the rows step
+by step and updates its copy of the model by the same sums in the same order. So the result is the same, bit by bit, for any number of
+tasks. The model goes to the next epoch through the driver; its size is set by options alone. A lost executor costs the epoch that is
+running.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from __future__ import annotations
 import base64
 import json
 import pickle
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,10 @@ from ratingmill.functions.portable import order_key
 from ratingmill.operators import conversations as conv
 
 
+#: Words of texts whose features tasks exchange at once, about.
+EXCHANGED = 2_000_000
+
+
 @dataclass(frozen=True)
 class EpochOptions:
     """rate, decay, betas, epsilon: of AdamW. max_length: words of a text that are read; None: all. tasks: that train together (all must
@@ -68,7 +75,10 @@ class Weights:
 
 def features(hashed: Sequence[int], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of a text by its words' hashes: counts, of length one together, and the bias."""
-    at, n = np.unique(np.asarray(hashed, np.int64), return_counts=True)
+    return _scaled(*np.unique(np.asarray(hashed, np.int64), return_counts=True), width)
+
+
+def _scaled(at: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     x = n / np.sqrt((n * n).sum()) if len(n) else n.astype(float)
     return np.append(at, width), np.append(x, 1.0)
 
@@ -87,35 +97,56 @@ def hashed_words(text, options: EpochOptions):
     return F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(options.width)).cast("int"))
 
 
-def _epoch(dealt: DataFrame, n: int, state: Weights, o: EpochOptions) -> tuple[Weights, float]:
-    """One epoch over rows (ord, label, words), dealt to tasks and sorted by ord: the new state, and the mean of the mini-batches' losses."""
+def _packed(rows: list[tuple[int, int, list[int]]]) -> str:
+    """Rows (ord, label, words) by their features, as a text for other tasks: places and counts, without the bias."""
+    every = [np.unique(np.asarray(words, np.int64), return_counts=True) for _, _, words in rows]
+    flat = lambda k: np.concatenate([np.zeros(0, np.int64), *[x[k] for x in every]])
+    parts = [[i for i, _, _ in rows], [y for _, y, _ in rows], [len(at) for at, _ in every], flat(0), flat(1)]
+    kinds = (np.int64, np.int32, np.int32, np.int32, np.int32)
+    return base64.b64encode(zlib.compress(pickle.dumps([np.asarray(x, k) for x, k in zip(parts, kinds)]), 1)).decode()
+
+
+def _unpacked(said: Sequence[str], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(ord, label, places, values) of the rows that tasks have told, in their order."""
+    told = [pickle.loads(zlib.decompress(base64.b64decode(s))) for s in said]
+    ends = [np.cumsum(t[2]) for t in told]
+    whose = np.repeat(np.arange(len(told)), [len(t[0]) for t in told])
+    which = np.concatenate([np.arange(len(t[0])) for t in told])
+    for k in np.argsort(np.concatenate([t[0] for t in told]), kind="stable"):
+        t, j = told[whose[k]], which[k]
+        part = slice(ends[whose[k]][j] - t[2][j], ends[whose[k]][j])
+        yield int(t[0][j]), int(t[1][j]), *_scaled(t[3][part].astype(np.int64), t[4][part].astype(np.int64), width)
+
+
+def _epoch(dealt: DataFrame, n: int, words: int, state: Weights, o: EpochOptions) -> tuple[Weights, float]:
+    """One epoch over rows (ord, label, words), dealt to tasks and sorted by ord: the new state, and the mean of the mini-batches' losses.
+    words: of all rows."""
     sent = dealt.sparkSession.sparkContext.broadcast(state)
     group = o.batch_size * o.accumulate
+    block = group * max(1, EXCHANGED * n // max(1, words) // group)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = BarrierTaskContext.get()
         own = Weights(*(a.copy() for a in (sent.value.w, sent.value.m, sent.value.v)), sent.value.steps)
         rows = ((i, y, h) for b in batches for i, y, h in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
         row, lost = next(rows, None), 0.0
-        for first in range(0, n, group):
+        for first in range(0, n, block):
             held = []
-            while row is not None and row[0] < first + group:
-                i, label, words = row
-                at, x = features(words, o.width)
-                logs = judged(own.w, at, x)
-                residual = np.exp(logs)
-                residual[label] -= 1
-                begin = i // o.batch_size * o.batch_size
-                size = min(o.batch_size, n - begin)  # of the row's mini-batch
-                held.append((i, at, x, residual / (size * o.accumulate), -logs[label] / size))
+            while row is not None and row[0] < first + block:
+                held.append(row)
                 row = next(rows, None)
-            said = ctx.allGather(base64.b64encode(pickle.dumps(held)).decode())
-            every = sorted((r for s in said for r in pickle.loads(base64.b64decode(s))), key=lambda r: r[0])
-            gradient = np.zeros_like(own.w)
-            for _, at, x, residual, loss in every:
-                gradient[at] += x[:, None] * residual  # a row has a place once
-                lost += loss
-            own.update(gradient, o)
+            every = _unpacked(ctx.allGather(_packed(held)), o.width)
+            for step in range(first, min(first + block, n), group):
+                gradient = np.zeros_like(own.w)
+                for i, label, at, x in islice(every, min(group, n - step)):
+                    logs = judged(own.w, at, x)
+                    residual = np.exp(logs)
+                    residual[label] -= 1
+                    begin = i // o.batch_size * o.batch_size
+                    size = min(o.batch_size, n - begin)  # of the row's mini-batch
+                    gradient[at] += x[:, None] * (residual / (size * o.accumulate))  # a row has a place once
+                    lost += -logs[label] / size
+                own.update(gradient, o)
         if ctx.partitionId() == 0:
             yield pa.RecordBatch.from_pydict({"state": pa.array([pickle.dumps((own.w, own.m, own.v, own.steps))], pa.binary()), "lost": pa.array([lost])})
 
@@ -137,7 +168,7 @@ class EpochClassifier:
         o, spark = self.options, df.sparkSession
         rows = df.select(F.col("label").cast("int").alias("label"), hashed_words(F.col("text"), o).alias("words"), *[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(key)]).persist()
         try:
-            seen = rows.agg(F.count("*").alias("n"), F.max("label").alias("top"), F.count_if(F.col("label").isNull() | (F.col("label") < 0)).alias("bad")).first()
+            seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"), F.max("label").alias("top"), F.count_if(F.col("label").isNull() | (F.col("label") < 0)).alias("bad")).first()
             if seen.bad:
                 raise ValueError(f"{seen.bad} rows have no label")
             state, self.history = Weights.zero(o.width, (seen.top or 0) + 1), []
@@ -149,7 +180,7 @@ class EpochClassifier:
                 order = [order_key(*keys, epoch, o.seed), *keys]
                 numbered = conv.numbered(rows, order, "ord").select("ord", "label", "words")
                 dealt = numbered.repartition(tasks, F.pmod("ord", F.lit(tasks))).sortWithinPartitions("ord")
-                state, loss = _epoch(dealt, seen.n, state, o)
+                state, loss = _epoch(dealt, seen.n, seen.words, state, o)
                 self.weights = state.w
                 told = self.loss(validation).first() if validation is not None else None
                 self.history.append((epoch, loss, told.loss if told else None, told.accuracy if told else None))
