@@ -87,6 +87,10 @@ def dataset(users: DataFrame) -> DataFrame:
 
 #: Requests of a segment, in chunks; a task deals with the users of one segment at once.
 SEGMENT = 1000
+#: Requests of a segment at most, and so its users, whatever the size of chunks.
+MOST_REQUESTS = 1_500_000
+#: Rows that the driver takes to look up where chunks close; more stay where they are and are asked for one by one.
+MOST_ROWS = 100_000
 
 
 def _closes(total: np.ndarray, size: int) -> np.ndarray:
@@ -98,33 +102,46 @@ def chunked(users: DataFrame, order: Sequence[Column], requests: Column, size: i
     """users with the chunk in which each falls: a chunk ends with the user whose requests bring it to `size` or more, and the next
     starts from zero.
 
-    Where a chunk ends depends on all before it, so it is found in three passes. Users are split into segments of SEGMENT chunks or so
-    by the running total of requests. For each user that may close a segment's first chunk (those of its first `size` requests) the
-    segment tells how many chunks end in it and where the last one does; these short tables are joined end to end on the driver; then
-    each segment numbers its users from where its first chunk began. Requests are one or more for each user."""
+    Where a chunk ends depends on all before it, so it is found in three passes. Users are split into segments of SEGMENT chunks or
+    MOST_REQUESTS requests by the running total. For each user that may close a segment's first chunk (those of its first `size`
+    requests) the segment tells how many chunks end in it from there and where the last one does. From segment to segment (or, where
+    chunks are larger, from chunk to chunk) the driver looks up one such row; then each segment numbers its users from where its first
+    chunk began. Requests are one or more for each user."""
     rows = conv.running_total(users.withColumn("__n", requests.cast("long")), order, "__n", "__before")
-    rows = rows.withColumn("__segment", F.floor(F.col("__before") / (size * SEGMENT)).cast("long"))
-    ddl = "segment long, start long, reach long, closed long, last long"
+    rows = rows.withColumn("__segment", F.floor(F.col("__before") / min(size * SEGMENT, MOST_REQUESTS)).cast("long"))
+    ddl = "segment long, reach long, closed long, last long"
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__before")
         start, total = int(pdf["__before"].iloc[0]), (pdf["__before"] + pdf["__n"]).to_numpy(np.int64)
         after, n = _closes(total, size), len(total)
         closed, last = np.ones(n, np.int64), total.copy()
-        for i in range(n - 1, -1, -1):
-            if after[i] < n:
-                closed[i], last[i] = closed[after[i]] + 1, last[after[i]]
+        for i in range(int(np.searchsorted(after, n)) - 1, -1, -1):
+            closed[i], last[i] = closed[after[i]] + 1, last[after[i]]
         first = int(np.searchsorted(total, start + size)) + 1
-        return pd.DataFrame({"segment": pdf["__segment"].iloc[0], "start": start, "reach": total[:first], "closed": closed[:first], "last": last[:first]})
+        return pd.DataFrame({"segment": pdf["__segment"].iloc[0], "reach": total[:first], "closed": closed[:first], "last": last[:first]})
 
     own = rows.select("__segment", "__before", "__n")
-    tables = own.groupBy("__segment").applyInPandas(table, ddl).toPandas().sort_values(["segment", "reach"])
+    tables = own.groupBy("__segment").applyInPandas(table, ddl).persist()
     begun, chunk, starts = 0, 0, []  # where the chunk that is open began, and its number
-    for segment, t in tables.groupby("segment"):
-        starts.append((int(segment), begun, chunk))
-        k = int(np.searchsorted(t["reach"].to_numpy(), begun + size))
-        if k < len(t):
-            begun, chunk = int(t["last"].iloc[k]), chunk + int(t["closed"].iloc[k])
+    try:
+        few = tables.limit(MOST_ROWS + 1).toPandas()
+        few = few.sort_values("reach") if len(few) <= MOST_ROWS else None
+
+        def closing(x: int):
+            """(reach, closed, last, segment) of the first user that closes a chunk which ends at x or later."""
+            if few is None:
+                return tables.where(F.col("reach") >= x).agg(F.min(F.struct("reach", "closed", "last", "segment")).alias("r")).first().r
+            k = int(np.searchsorted(few["reach"].to_numpy(), x))
+            return tuple(int(few[c].iloc[k]) for c in ("reach", "closed", "last", "segment")) if k < len(few) else None
+
+        while (found := closing(begun + size)) is not None:
+            starts += [(s, begun, chunk) for s in range(len(starts), found[3] + 1)]
+            begun, chunk = found[2], chunk + found[1]
+        end = tables.agg(F.max("segment")).first()[0]
+        starts += [(s, begun, chunk) for s in range(len(starts), -1 if end is None else end + 1)]
+    finally:
+        tables.unpersist()
     began = users.sparkSession.createDataFrame(starts, "__segment long, __begun long, __chunk long")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,5 +154,5 @@ def chunked(users: DataFrame, order: Sequence[Column], requests: Column, size: i
             at = int(after[at])
         return pd.DataFrame({"__before": pdf["__before"].to_numpy(), "chunk": int(pdf["__chunk"].iloc[0]) + np.cumsum(chunk)})
 
-    numbers = own.join(began, "__segment").groupBy("__segment").applyInPandas(number, "__before long, chunk long")
+    numbers = own.join(F.broadcast(began), "__segment").groupBy("__segment").applyInPandas(number, "__before long, chunk long")
     return rows.join(numbers, "__before").drop("__n", "__before", "__segment")
