@@ -139,31 +139,51 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task resolves at once: 16 bytes each, whatever the size of the graph that they are left of.
+FEW_EDGES = 100_000
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, to) of the edges of a task."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if got:
+        a, b = (np.concatenate(x) for x in zip(*got))
+        names, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_roots(code[: len(a)], code[len(a) :], len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["node", "to"])
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of edges (a long, b long): (node, root) for every node of an edge between different nodes; root is
     one node of the component, the same for all of it.
 
     Each round maps every node to the first of itself and its neighbours, in the order of a hash, and contracts the edges by that
     map. Only nodes that come before all their neighbours stay, about a third of a path, so a few rounds leave no edge; a node's
     root is what the maps of all rounds make of it. Rounds are checkpointed. Sides are pre-aggregated before each shuffle; joins
-    are plain equi-joins, which adaptive execution splits where a node is hot.
+    are plain equi-joins, which adaptive execution splits where a node is hot. When rounds leave no more than `few` edges, one task
+    resolves these: the last rounds have little to do, but each is many stages that the driver keeps account of.
     """
     spark = edges.sparkSession
     e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     out = None
-    while not e.isEmpty():
+    left_over = e.count()
+    while left_over:
+        last = out is not None and left_over <= few
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("low"))
         own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("v"))
-        step = cut(first.select("node", F.least(own, "low")["v"].alias("to")))
+        step = cut(e.coalesce(1).mapInArrow(_resolved, "node long, to long") if last else first.select("node", F.least(own, "low")["v"].alias("to")))
         if out is None:
             out = step.select("node", F.col("to").alias("root"))
         else:
             s = step.select(F.col("node").alias("root"), "to")
             out = out.join(s, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        if last:
+            break
         left, right = step.select(F.col("node").alias("a"), F.col("to").alias("ta")), step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         e = e.join(left, "a").join(right, "b").where("ta <> tb")
         e = cut(e.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        left_over = e.count()
     if out is None:
         return spark.createDataFrame([], "node long, root long")
     return cut(out)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingmill.llm.common import arrow_rows, filtered, stash, tune
+from ratingmill.llm.common import arrow_rows, filtered, release, stash, tune
 
 WIDTH = 1 << 18
 FIT_ROWS = 8000
@@ -150,7 +150,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rounds: int = 60, rate: float = 0
     if not len(rows) or min(y.sum(), (1 - y).sum()) < 0.5:
         return w, 4.0 if len(rows) and y.mean() > 0.5 else -4.0
     ends = np.cumsum([len(r) for r in rows])
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=WIDTH) >= 4
     shrink /= np.sqrt(len(rows))
     flat, owner = flat[seen[flat]], owner[seen[flat]]
@@ -220,6 +220,8 @@ def train(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = FIT_
         w, b = fit([np.frombuffer(r.x, np.int32) for r in got], np.array([posterior[r.says] for r in got]))
         weights.append(w)
         biases.append(b)
+        del got
+        release()  # the driver's Python outlives the fit
     return Model(np.array(weights), np.array(biases))
 
 

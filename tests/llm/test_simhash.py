@@ -93,6 +93,22 @@ def test_components_of_a_long_path(spark):
     assert len({r.root for r in got if r.node <= 40}) == 1 and len({r.root for r in got}) == 2 and len(got) == 43
 
 
+def test_components_have_few_rounds(spark):
+    """The driver keeps account of every stage, so rounds that have little to do are not run."""
+    order = random.Random(4).sample(range(100), 100)
+    edges = spark.createDataFrame(list(zip(order, order[1:60])) + [(order[60], x) for x in order[61:]] + [(7, 7)], "a long, b long")
+    spark.sparkContext.setJobGroup("few", "")
+    got = components(edges).collect()
+    spark.sparkContext._jsc.clearJobGroup()
+    groups = {}
+    for x in got:
+        groups.setdefault(x.root, set()).add(x.node)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, (order[:60], order[60:]))) and all(k in v for k, v in groups.items())
+    whole = {(x.node, x.root) for x in components(edges, 0).collect()}
+    assert len({x[1] for x in whole}) == 2 and len(whole) == 100
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 30
+
+
 def test_links_across_the_highest_bit():
     r = random.Random(8)
     base = [r.getrandbits(64) for _ in range(200)]
