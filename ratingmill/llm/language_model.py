@@ -9,9 +9,9 @@ classes, the kinds and the end of a text are classes of their own, and log p(wor
 softmax over all classes, or all words of the class, by one matrix product for many tokens.
 
 Training is stochastic gradient descent in numpy on noise-contrastive estimation: an observed class, or word of a class, is told
-from ones drawn from their frequencies. A pass goes over all blocks of the corpus, each task training on its own from the same
-parameters, on every `stride`-th training token; what the tasks change is averaged row by row, by how often a row was trained. So
-events grow with the corpus. No word's counts or vectors depend on how blocks are dealt out, but for that averaging.
+from ones drawn from their frequencies, which the events of a step, or those of a class in it, share. A pass goes over all blocks of the corpus, each task training on its own from the same
+parameters, on every training token in an order drawn anew; what the tasks change is averaged row by row, by how often a row was
+trained. A large corpus is gone through once, every other token first, then the others; a small one several times. No word's counts or vectors depend on how blocks are dealt out, but for that averaging.
 
 Documents are coded in blocks of about BLOCK_TOKENS tokens: a block holds its distinct words once and its texts as numbers, and stays
 where it was written. Words that many blocks have (by a sample of blocks) are counted in arrays that each task adds up before they
@@ -47,9 +47,10 @@ BLOCK_TOKENS = 1_000_000
 TASK_ROWS = 250_000
 #: Blocks that tell which words many blocks have, and the share of them that has such a word.
 SAMPLE_BLOCKS, MANY = 64, 0.1
-#: Training: one token of so many a pass at most; events that all passes have at least, if the corpus is small; passes.
-STRIDE, EVENTS, PASSES = 16, 2_000_000, (2, 6)
-BATCH, NOISE, WORD_NOISE, RATE = 2048, 32, 4, 0.1
+#: Training: events that all passes have at least, if the corpus is small; passes, each over every training token.
+EVENTS, PASSES = 2_000_000, (1, 6)
+#: Events of a step, in large blocks and in small ones.
+BATCH, NOISE, WORD_NOISE, RATE = (16384, 2048), 32, 16, 0.1
 #: Rows of parameters, or counts, that are added up together.
 CHUNK = 1024
 
@@ -301,12 +302,21 @@ def _contexts(u: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarra
     return one, two
 
 
-def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _starts(ids: np.ndarray) -> np.ndarray:
+    """Where each of sorted ids begins."""
+    return np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+
+
+def _sums(ids: np.ndarray, rows: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows added up by id: (ids, sums, how many)."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     ids = ids[order]
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    return ids[first], np.add.reduceat(rows[order], first, axis=0), np.diff(np.r_[first, len(ids)])
+    first = _starts(ids)
+    return ids[first], np.add.reduceat(rows[order], first, axis=0), np.add.reduceat(many[order], first)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30, out=z)))
 
 
 class Trainer:
@@ -320,15 +330,18 @@ class Trainer:
         # what noise is drawn from: classes' frequencies, and words' in their class, end to end
         self.p_class, self.p_word = model.frequency
         self.class_cdf, self.word_cdf = np.cumsum(self.p_class), np.cumsum(self.p_word)
+        self.class_log, self.word_log = np.log(NOISE * self.p_class).astype(np.float32), np.log(WORD_NOISE * self.p_word).astype(np.float32)
 
-    def step(self, ids: np.ndarray, grad: np.ndarray) -> None:
-        at, g, n = _sums(ids, grad)
+    def step(self, ids: np.ndarray, grad: np.ndarray, many: np.ndarray) -> None:
+        at, g, n = _sums(ids, grad, many)
         self.past[at] += g * g
         self.params[at] -= RATE * g / np.sqrt(self.past[at])
         self.trained[at] += n
 
     def batch(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> None:
         m, n = self.model, len(unit)
+        order = np.argsort(unit)  # so that what belongs to a class, and to a word, lies together
+        one, two, unit = one[order], two[order], unit[order]
         context, cls, cls_bias, word, word_bias, r = m.parts(self.params)
         base = m.start + 1
         own = m.class_of(unit).astype(np.int64)
@@ -337,36 +350,49 @@ class Trainer:
         h1 = np.concatenate([h, np.ones((n, 1), np.float32)], 1)
         # classes: the observed one against NOISE drawn ones, the same for the batch
         drawn = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(NOISE)), m.classes - 1)
-        z = np.einsum("nd,nd->n", h, cls[own]) + cls_bias[own] - np.log(NOISE * self.p_class[own])
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - 1).astype(np.float32)
-        zn = h @ cls[drawn].T + cls_bias[drawn] - np.log(NOISE * self.p_class[drawn])
-        gn = (1 / (1 + np.exp(-np.clip(zn, -30, 30)))).astype(np.float32)
-        dh = g[:, None] * cls[own] + gn @ cls[drawn]
-        ids, rows = [base + own, base + drawn], [g[:, None] * h1, gn.T @ h1]
-        # words: the observed one against WORD_NOISE drawn ones of its class
-        k = np.flatnonzero(unit < m.words)
-        if len(k):
-            a, b = m.first[own[k]], m.first[own[k] + 1]
+        seen = cls[own]
+        g = _sigmoid(np.einsum("nd,nd->n", h, seen) + cls_bias[own] - self.class_log[own]) - 1
+        gn = _sigmoid(h @ cls[drawn].T + (cls_bias[drawn] - self.class_log[drawn]))
+        dh = g[:, None] * seen + gn @ cls[drawn]
+        at = _starts(own)
+        ids, rows, many = [base + own[at], base + drawn], [np.add.reduceat(g[:, None] * h1, at, axis=0), gn.T @ h1], [np.diff(np.r_[at, n]), np.ones(NOISE)]
+        # words: the observed one against WORD_NOISE drawn ones of its class, the same for the class
+        k = int(np.searchsorted(unit, m.words))
+        if k:
+            at = at[at < k]
+            ends = np.r_[at[1:], k]
+            size = ends - at
+            a, b = m.first[own[at]], m.first[own[at] + 1]
             low = np.where(a > 0, self.word_cdf[a - 1], 0.0)
-            x = low[:, None] + self.rng.random((len(k), WORD_NOISE)) * (self.word_cdf[b - 1] - low)[:, None]
+            x = low[:, None] + self.rng.random((len(at), WORD_NOISE)) * (self.word_cdf[b - 1] - low)[:, None]
             w = np.clip(np.searchsorted(self.word_cdf, x), a[:, None], b[:, None] - 1)
-            w = np.concatenate([unit[k][:, None], w], 1)
-            t = word[w]
-            z = np.einsum("nd,nkd->nk", h[k], t) + word_bias[w] - np.log(WORD_NOISE * self.p_word[w])
-            gw = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.float32)
-            gw[:, 0] -= 1
-            gw[b - a == 1] = 0
-            dh[k] += np.einsum("nk,nkd->nd", gw, t)
-            ids.append(base + m.classes + w.ravel())
-            rows.append((gw[:, :, None] * h1[k][:, None, :]).reshape(-1, h1.shape[1]))
+            t, off = word[w], word_bias[w] - self.word_log[w]
+            gn = np.empty((k, WORD_NOISE), np.float32)
+            for i, j, v, o in zip(at, ends, t, off):
+                gn[i:j] = h[i:j] @ v.T + o
+            gn = _sigmoid(gn)
+            seen, u = word[unit[:k]], unit[:k]
+            g = _sigmoid(np.einsum("nd,nd->n", h[:k], seen) + word_bias[u] - self.word_log[u]) - 1
+            alone = np.repeat(b - a == 1, size)
+            g[alone], gn[alone] = 0, 0
+            dh[:k] += g[:, None] * seen
+            noise = np.empty((len(at), WORD_NOISE, h1.shape[1]), np.float32)
+            for i, j, v, o in zip(at, ends, t, noise):
+                dh[i:j] += gn[i:j] @ v
+                o[:] = gn[i:j].T @ h1[i:j]
+            at = _starts(u)
+            ids += [base + m.classes + u[at], base + m.classes + w.ravel()]
+            rows += [np.add.reduceat(g[:, None] * h1[:k], at, axis=0), noise.reshape(-1, h1.shape[1])]
+            many += [np.diff(np.r_[at, k]), np.ones(w.size)]
         none = np.zeros((n, 1), np.float32)
         ids += [one, two, np.array([len(self.params) - 2, len(self.params) - 1])]
         both = np.stack([(dh * e1).sum(0), (dh * e2).sum(0)]) / n
         rows += [np.concatenate([dh * r[0], none], 1), np.concatenate([dh * r[1], none], 1), np.concatenate([both, np.zeros((2, 1))], 1).astype(np.float32)]
-        self.step(np.concatenate(ids), np.concatenate(rows))
+        many.append(np.ones(2 * n + 2))
+        self.step(np.concatenate(ids), np.concatenate(rows), np.concatenate(many))
 
 
-def _train(model: Model, pass_: int, stride: int):
+def _train(model: Model, pass_: int, parts: int = 1):
     """What a task changes of the parameters, times how often each row was trained, and that number."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,9 +404,10 @@ def _train(model: Model, pass_: int, stride: int):
                 u = model.units(_words_of(words), unpack(kinds, np.uint8))[unpack(codes, np.int32)]
                 one, two = _contexts(u, lens, model.start)
                 at = np.flatnonzero(np.repeat(~unpack(held, bool), lens))
-                at = trainer.rng.permutation(at[(pass_ * 3 + 1) % stride :: stride])
-                for i in range(0, len(at), BATCH):
-                    k = at[i : i + BATCH]
+                at = trainer.rng.permutation(at[pass_ % parts :: parts])
+                size = BATCH[0] if len(at) > 20 * BATCH[0] else BATCH[1]
+                for i in range(0, len(at), size):
+                    k = at[i : i + size]
                     trainer.batch(one[k], two[k], u[k])
                 del u, one, two, at
                 release()
@@ -477,9 +504,10 @@ def learn(blocks: DataFrame) -> tuple[DataFrame, Model]:
         mass[r.k] += r.mass
     often |= {w: n for w, n in hot.items() if n >= least}
     model = _untrained(hot, often, seen, mass, ends, tokens)
-    stride = max(1, min(STRIDE, tokens // EVENTS))
-    for pass_ in range(max(PASSES[0], min(PASSES[1], -(-EVENTS * stride // max(tokens, 1)))) if tokens else 0):
-        rows = blocks.select("block", "words", "kinds", "codes", "held", "lengths").mapInArrow(_train(replace(model, hot={}), pass_, stride), MERGED_DDL)
+    passes = max(PASSES[0], min(PASSES[1], -(-EVENTS // max(tokens, 1)))) if tokens else 0
+    parts = 2 if passes == 1 else 1  # one pass over all is made in two halves, so that tasks meet in between
+    for pass_ in range(passes * parts):
+        rows = blocks.select("block", "words", "kinds", "codes", "held", "lengths").mapInArrow(_train(replace(model, hot={}), pass_, parts), MERGED_DDL)
         change = _merged(rows, (len(model.params), DIM + 2), np.float32, np.float64)
         params = model.params + change[:, :-1] / np.maximum(change[:, -1:], 1)
         model = replace(model, params=params)

@@ -102,3 +102,26 @@ def test_hot_words_are_counted_alike(spark, monkeypatch):
     monkeypatch.setattr(lm, "MANY", 1e9)
     none = {x.doc_id: (x.base_score, x.n_known) for x in lm.score(df).collect()}
     assert some.keys() == none.keys() and all(abs(some[d][0] - none[d][0]) < 1e-9 and some[d][1] == none[d][1] for d in some)
+
+
+def test_every_training_token_is_trained_on(spark, monkeypatch, tmp_path):
+    """Also of a corpus that is large beside EVENTS."""
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 900)
+    monkeypatch.setattr(lm, "EVENTS", 100)
+    blocks = lm.coded(spark.createDataFrame(corpus(120, 5), "doc_id long, text string"))
+    model = lm.learn(blocks)[1]
+    real, at = lm.Trainer.batch, str(tmp_path)
+
+    def batch(self, one, two, unit):
+        with open(f"{at}/n", "a") as f:
+            f.write(f"{len(unit)}\n")
+        real(self, one, two, unit)
+
+    rows = blocks.select("block", "words", "kinds", "codes", "held", "lengths").collect()
+    monkeypatch.setattr(lm.Trainer, "batch", batch)
+    import pyarrow as pa
+
+    kinds = ("block", "words", "kinds", "codes", "held", "lengths")
+    for half in range(2):
+        list(lm._train(model, half, 2)([pa.RecordBatch.from_pydict({k: [bytes(r[k]) if k != "block" else r[k]] for k in kinds}) for r in rows]))
+    assert sum(int(x) for f in tmp_path.iterdir() for x in f.read_text().split()) == model.tokens > 1000
