@@ -9,6 +9,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
@@ -43,13 +44,17 @@ class TextClassifier:
         return df if self.options.max_length is None else df.withColumn("text", F.substring("text", 1, self.options.max_length))
 
     def train(self, df: DataFrame) -> "TextClassifier":
-        """df: (text, label int)."""
+        """df: (text, label int). Texts are split and counted once, whatever the number of passes over their counts."""
         o = self.options
-        steps = [
-            RegexTokenizer(inputCol="text", outputCol="__words", pattern=r"\W+"), HashingTF(inputCol="__words", outputCol="__tf", numFeatures=o.width),
-            IDF(inputCol="__tf", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol="label", maxIter=o.rounds, regParam=o.regularisation),
-        ]
-        self.model = Pipeline(stages=steps).fit(self._cut(df))
+        words = RegexTokenizer(inputCol="text", outputCol="__words", pattern=r"\W+")
+        tf = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=o.width)
+        counted = tf.transform(words.transform(self._cut(df).select("text", "label"))).select("__tf", "label").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            steps = [IDF(inputCol="__tf", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol="label", maxIter=o.rounds, regParam=o.regularisation)]
+            learned = Pipeline(stages=steps).fit(counted)
+        finally:
+            counted.unpersist()
+        self.model = PipelineModel([words, tf, *learned.stages])
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
