@@ -260,39 +260,47 @@ class Model:
         return params[:a, :-1], params[a:b, :-1], params[a:b, -1], params[b : b + self.words, :-1], params[b : b + self.words, -1], params[b + self.words :, :-1]
 
     def log10(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray, at_once: int = 4096) -> np.ndarray:
-        """log10 of the probability of each unit after its two units before: of its class, and of a word in its class."""
-        context, cls, cls_bias, word, word_bias, r = (np.ascontiguousarray(x, np.float32) for x in self.parts(self.params))
-        own, out = self.class_of(unit), np.zeros(len(unit), np.float64)
-        before, further = r[0] * context, r[1] * context
-
-        def soft(h: np.ndarray, rows: np.ndarray, bias: np.ndarray, k: np.ndarray) -> np.ndarray:
-            z = h @ rows.T
-            z += bias
-            hit = z[np.arange(len(h)), k].astype(np.float64)
-            with np.errstate(over="ignore"):
-                total = np.exp(z) @ np.ones(len(rows), np.float32)
-            if not (np.isfinite(total).all() and total.min() > 1e-30):  # scores beyond what a float holds
-                top = z.max(1, keepdims=True)
-                return hit - top[:, 0] - np.log(np.exp(z - top).sum(1, dtype=np.float64))
-            return hit - np.log(total.astype(np.float64))
-
-        def h_of(at) -> np.ndarray:
-            return before[one[at]] + further[two[at]]
+        """log10 of the probability of each unit after its two units before: of its class, and of a word in its class.
 
+        A context has one sum over all classes, however often it occurs."""
+        params = self.params.astype(np.float32)
+        a, b = self.start + 1, self.start + 1 + self.classes
+        context, cls, word, r = params[:a, :-1], params[a:b], params[b : b + self.words], params[b + self.words :, :-1]
+        before = np.concatenate([r[0] * context, np.ones((a, 1), np.float32)], 1)  # the last column takes the bias
+        further = np.concatenate([r[1] * context, np.zeros((a, 1), np.float32)], 1)
+        own, out = self.class_of(unit), np.empty(len(unit), np.float64)
+        both = pa.array(one.astype(np.int64) * a + two).dictionary_encode()
+        place, both = both.indices.to_numpy(), both.dictionary.to_numpy()
+        h = before.take(both // a, 0) + further.take(both % a, 0)
+        total = np.concatenate([np.zeros(0), *(_log_total(h[i : i + at_once] @ cls.T) for i in range(0, len(h), at_once))])
         for i in range(0, len(unit), at_once):
             at = slice(i, i + at_once)
-            out[at] = soft(h_of(at), cls, cls_bias, own[at])
+            out[at] = np.einsum("nd,nd->n", h.take(place[at], 0), cls.take(own[at], 0)) - total[place[at]]
         order = np.argsort(own, kind="stable")
         cuts = np.searchsorted(own[order], np.arange(len(self.first)))
         for c, (i, j) in enumerate(zip(cuts, cuts[1:])):
             a, b = self.first[c], self.first[c + 1]
             if b - a > 1:
+                rows = np.ascontiguousarray(word[a:b].T)
                 for k in range(i, j, at_once):
                     at = order[k : min(k + at_once, j)]
-                    out[at] += soft(h_of(at), word[a:b], word_bias[a:b], unit[at] - a)
+                    z = h.take(place[at], 0) @ rows
+                    out[at] += z[np.arange(len(at)), unit[at] - a]
+                    out[at] -= _log_total(z)
         return out / np.log(10)
 
 
+def _log_total(z: np.ndarray) -> np.ndarray:
+    """By row, the logarithm of the sum of exp(z)."""
+    ones = np.ones(z.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        total = np.exp(z) @ ones
+    if np.isfinite(total).all() and total.min() > 1e-30:
+        return np.log(total.astype(np.float64))
+    top = z.max(1, keepdims=True)  # scores beyond what a float holds
+    return top[:, 0] + np.log((np.exp(z - top) @ ones).astype(np.float64))
+
+
 def _contexts(u: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The units one and two before each token; start before a document."""
     first = np.cumsum(lengths) - lengths
@@ -307,12 +315,17 @@ def _starts(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
 
 
+def _order(ids: np.ndarray) -> np.ndarray:
+    """What sorts ids; small numbers are sorted by their digits."""
+    return np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
+
+
 def _sums(ids: np.ndarray, rows: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows added up by id: (ids, sums, how many)."""
-    order = np.argsort(ids)
+    order = _order(ids)
     ids = ids[order]
     first = _starts(ids)
-    return ids[first], np.add.reduceat(rows[order], first, axis=0), np.add.reduceat(many[order], first)
+    return ids[first], np.add.reduceat(rows.take(order, 0), first, axis=0), np.add.reduceat(many[order], first)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -340,17 +353,17 @@ class Trainer:
 
     def batch(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> None:
         m, n = self.model, len(unit)
-        order = np.argsort(unit)  # so that what belongs to a class, and to a word, lies together
+        order = _order(unit)  # so that what belongs to a class, and to a word, lies together
         one, two, unit = one[order], two[order], unit[order]
         context, cls, cls_bias, word, word_bias, r = m.parts(self.params)
         base = m.start + 1
         own = m.class_of(unit).astype(np.int64)
-        e1, e2 = context[one], context[two]
+        e1, e2 = context.take(one, 0), context.take(two, 0)
         h = r[0] * e1 + r[1] * e2
         h1 = np.concatenate([h, np.ones((n, 1), np.float32)], 1)
         # classes: the observed one against NOISE drawn ones, the same for the batch
         drawn = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(NOISE)), m.classes - 1)
-        seen = cls[own]
+        seen = cls.take(own, 0)
         g = _sigmoid(np.einsum("nd,nd->n", h, seen) + cls_bias[own] - self.class_log[own]) - 1
         gn = _sigmoid(h @ cls[drawn].T + (cls_bias[drawn] - self.class_log[drawn]))
         dh = g[:, None] * seen + gn @ cls[drawn]
@@ -366,12 +379,12 @@ class Trainer:
             low = np.where(a > 0, self.word_cdf[a - 1], 0.0)
             x = low[:, None] + self.rng.random((len(at), WORD_NOISE)) * (self.word_cdf[b - 1] - low)[:, None]
             w = np.clip(np.searchsorted(self.word_cdf, x), a[:, None], b[:, None] - 1)
-            t, off = word[w], word_bias[w] - self.word_log[w]
+            t, off = word.take(w, 0), word_bias[w] - self.word_log[w]
             gn = np.empty((k, WORD_NOISE), np.float32)
             for i, j, v, o in zip(at, ends, t, off):
                 gn[i:j] = h[i:j] @ v.T + o
             gn = _sigmoid(gn)
-            seen, u = word[unit[:k]], unit[:k]
+            seen, u = word.take(unit[:k], 0), unit[:k]
             g = _sigmoid(np.einsum("nd,nd->n", h[:k], seen) + word_bias[u] - self.word_log[u]) - 1
             alone = np.repeat(b - a == 1, size)
             g[alone], gn[alone] = 0, 0

@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 
@@ -125,3 +126,24 @@ def test_every_training_token_is_trained_on(spark, monkeypatch, tmp_path):
     for half in range(2):
         list(lm._train(model, half, 2)([pa.RecordBatch.from_pydict({k: [bytes(r[k]) if k != "block" else r[k]] for k in kinds}) for r in rows]))
     assert sum(int(x) for f in tmp_path.iterdir() for x in f.read_text().split()) == model.tokens > 1000
+
+
+def test_a_context_has_one_sum_over_classes_however_often_it_occurs(monkeypatch):
+    often = {b"w%d" % i: 100 - i for i in range(40)}
+    model = lm._untrained({}, often, np.zeros(lm.RARE, np.int64), np.ones(lm.RARE, np.int64), 5, 4000)
+    r = np.random.default_rng(1)
+    model = replace(model, params=model.params + r.normal(0, 0.2, model.params.shape))
+    one, two, unit = r.integers(0, 3, 9000), r.integers(0, 2, 9000), r.integers(0, model.start, 9000)
+    summed = []
+    plain = lm._log_total
+    monkeypatch.setattr(lm, "_log_total", lambda z: summed.append(z.shape) or plain(z))
+    got = model.log10(one, two, unit)
+    assert sum(n for n, k in summed if k == model.classes) <= 6
+    context, cls, cls_bias, word, word_bias, pos = model.parts(model.params)
+    soft = lambda z: z - np.log(np.exp(z).sum(1, keepdims=True))
+    h, own = pos[0] * context[one] + pos[1] * context[two], model.class_of(unit)
+    want = soft(h @ cls.T + cls_bias)[np.arange(9000), own]
+    for c, (a, b) in enumerate(zip(model.first, model.first[1:])):
+        at = np.flatnonzero(own == c)
+        want[at] += soft(h[at] @ word[a:b].T + word_bias[a:b])[np.arange(len(at)), unit[at] - a]
+    assert np.allclose(got, want / np.log(10), atol=1e-5)
