@@ -16,12 +16,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,8 +278,12 @@ SAMPLES, SAMPLE = 8, 3
 ORDER_ROWS, ORDER_SHARE, ORDER_MOST = 8000, 32, 200_000
 #: Documents whose prefixes a task of the search for pairs has, about.
 BUCKET_ROWS = 2000
-#: Pairs that a task makes at once, and members of a part of a shingle that many texts have.
-PAIRS, PART = 100_000, 2000
+#: Pairs that a task makes at once; members of a part of a shingle that many texts have, and their shingles in all.
+PAIRS, PART, PART_SHINGLES = 100_000, 2000, 1 << 20
+#: Members up to which all pairs of a shingle's members are given, and pairs a member above that.
+FEW, FEW_PAIRS = 16, 4
+#: Bytes of parities that are compared before whole sets are.
+SKETCH = 128
 
 
 def _shingles(w: list[bytes], words: int, seed: int) -> np.ndarray:
@@ -471,16 +477,36 @@ def _unique_pairs(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("unit", pa.int64()), ("members", pa.binary())])
+
+
+def _parts(own: np.ndarray, part: int) -> list[np.ndarray]:
+    """Members (node, root, n, at) in parts of at most `part` of them, and about PART_SHINGLES shingles."""
+    step = np.maximum(np.arange(own.shape[1]) // part, np.cumsum(own[2]) // PART_SHINGLES)
+    return np.split(own, np.flatnonzero(np.diff(step)) + 1, axis=1)
+
+
+def _cells(sets: Sets, own: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the members that may be similar, in pieces; of different sides only, if there are sides."""
+    for i in range(0, own.shape[1], 200):
+        ok = sets.maybe(tuple(own[:, i : i + 200, None]), tuple(own[:, None, :]))
+        if side is not None:
+            ok &= side[i : i + 200, None] != side
+        k, j = np.nonzero(ok)
+        yield k + i, j
 
 
 def _pairs_of(sets: Sets):
-    """Pairs of contents that share a shingle of their prefixes and are not linked yet. A shingle of many texts is given as pairs of
-    parts (x, y: packed members), for tasks of their own; parts whose members are all linked, or differ too much in size, are not."""
+    """Pairs of contents that share a shingle of their prefixes and are not linked yet, of shingles that leave a member with a few pairs.
+
+    Of another shingle all members are given that have a pair, not their pairs: many shingles' members are a unit, which _linked
+    compares, as long as they are no more than a part; a shingle with more makes a unit of each two parts, but for those whose
+    members are all linked, or differ too much in size."""
+    part = PART
 
-    def row(a, b, x=None, y=None) -> pa.RecordBatch:
+    def row(a, b, unit=None, members=None) -> pa.RecordBatch:
         none = [None] * len(a)
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((a, b, [x] if x else none, [y] if y else none), FOUND)], schema=FOUND)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((a, b, none if unit is None else [unit], none if unit is None else [members]), FOUND)], schema=FOUND)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -489,24 +515,54 @@ def _pairs_of(sets: Sets):
         columns = [np.concatenate([unpack(x, k) if m != "token" else np.cumsum(unpack(x, k), dtype=k) for b in got for x in b.column(m).to_pylist()]) for m, k in MEMBERS.items()]
         got.clear()
         release()
+        units = count(TaskContext.get().partitionId() << 32)
+
+        def unit(groups: list[np.ndarray]) -> pa.RecordBatch:
+            """groups: a row each for label, side, node, root, n, at."""
+            return row([None], [None], next(units), zstandard.compress(np.concatenate(groups, axis=1).tobytes(), 1))
+
         order = np.argsort(columns[0], kind="stable")
         token, node, root, n, at = (x[order] for x in columns)
         members = (node, root ^ node, n, at)
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[first, len(token)])
         apart = np.minimum.reduceat(members[1], first) != np.maximum.reduceat(members[1], first)
-        for f, m in zip(first[apart & (size > PART)], size[apart & (size > PART)]):
-            own = [v[f : f + m] for v in members]
+        a, b, held, nodes, shingles = [], [], [], set(), 0
+        for f, m in zip(first[apart & (size > FEW)], size[apart & (size > FEW)]):
+            own = np.stack([v[f : f + m] for v in members])
+            if m <= part:
+                pairs, some = 0, np.zeros(m, bool)
+                for i, j in _cells(sets, own):
+                    pairs += len(i)
+                    some[i] = some[j] = True
+                own = own[:, some]
+                if pairs <= FEW_PAIRS * own.shape[1]:
+                    for i, j in _cells(sets, own):
+                        p, q = _unique_pairs([own[0, i]], [own[0, j]])
+                        a.append(p)
+                        b.append(q)
+                    continue
             names, many = np.unique(own[1], return_counts=True)
-            order = np.lexsort((own[2], own[1] == names[many.argmax()]))
-            own = [v[order] for v in own]
-            parts = [np.stack([v[i : i + PART] for v in own]) for i in range(0, m, PART)]
+            own = own[:, np.lexsort((own[2], own[1] == names[many.argmax()]))]
+            parts = _parts(own, part)
+            label = lambda x, k, side: np.concatenate([np.full((1, x.shape[1]), k), np.full((1, x.shape[1]), side), x])
+            if len(parts) == 1:
+                held.append(label(own, len(held), 0))
+                new = ~np.isin(own[0], list(nodes))
+                nodes.update(own[0].tolist())
+                shingles += int(own[2, new].sum())
+                if len(nodes) >= part or shingles >= PART_SHINGLES or sum(x.shape[1] for x in held) >= 100 * part:
+                    yield unit(held)
+                    held, nodes, shingles = [], set(), 0
+                continue
             for i, x in enumerate(parts):
-                for y in parts[i:]:
+                for j, y in enumerate(parts[i:], i):
                     linked = (x[1] == x[1][0]).all() and (y[1] == x[1][0]).all()
                     if not linked and sets.least(max(x[2].min(), y[2].min()), sets.similarity) <= min(x[2].max(), y[2].max()):
-                        yield row([None], [None], x.tobytes(), y.tobytes())
-        few = apart & (size > 1) & (size <= PART)
+                        yield unit([label(x, 0, 0)] if i == j else [label(x, 0, 0), label(y, 0, 1)])
+        if held:
+            yield unit(held)
+        few = apart & (size > 1) & (size <= FEW)
         first, size = first[few], size[few]
         # each member against all of its shingle's
         who = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -515,7 +571,6 @@ def _pairs_of(sets: Sets):
         who, low, m = who[own], low[own], m[own]
         step = np.cumsum(m) // PAIRS
         cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.zeros(0, np.int64)
-        a, b = [], []
         for i, j in zip(cuts, [*cuts[1:], len(step)]):
             w, lo, mm = who[i:j], low[i:j], m[i:j]
             x, y = np.repeat(w, mm), np.arange(mm.sum()) - np.repeat(np.cumsum(mm) - mm - lo, mm)
@@ -530,35 +585,86 @@ def _pairs_of(sets: Sets):
     return each
 
 
-def _across(sets: Sets):
-    """Pairs of two parts."""
+def _members(b: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), np.int64).reshape(6, -1)
 
-    def each(c: dict) -> dict:
-        a, b = [], []
-        for x, y in zip(c["x"], c["y"]):
-            x, y = (np.frombuffer(v, np.int64).reshape(4, -1) for v in (x, y))
-            for u, v in ((x, y), (y, x)):
-                for i in range(0, u.shape[1], 200):
-                    part = u[:, i : i + 200, None]
-                    k, j = np.nonzero(sets.maybe(tuple(part), tuple(v[:, None, :])))
-                    a.append(part[0, k, 0])
-                    b.append(v[0, j])
-        p, q = _unique_pairs(a, b)
-        return {"a": p, "b": q}
 
-    return arrow_rows(each, EDGES)
+GIVEN = pa.schema([("row", pa.int64()), ("given", pa.binary())])
+
+
+def _linked(blocks: Blocks, units: DataFrame, sets: Sets) -> DataFrame:
+    """Edges (a, b) of the similarity that link the members of each unit just as all its similar pairs would: fewer than it has members.
+
+    The sets of its members go to a unit once. Parities rule out most pairs, as in _verified; what is left is compared, but for pairs
+    that are linked by then."""
+
+    def named(c: dict) -> dict:
+        rows = [np.unique(_members(x)[2]) for x in c["members"]]
+        return {"unit": np.repeat(np.array(c["unit"], np.int64), [len(x) for x in rows]), "row": np.concatenate([np.zeros(0, np.int64), *rows])}
+
+    def answer(block: int, t: pa.Table, wanted: pa.Table) -> pa.Table:
+        rows = wanted.column("row").to_numpy()
+        found = [pack(np.diff(sets.of(x), prepend=np.uint64(0))) for x in t.column("text").take(pa.array(places(rows))).to_pylist()]
+        return pa.Table.from_arrays([pa.array(rows), pa.array(found, pa.binary())], schema=GIVEN)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return EDGES.empty_table()
+        label, side, node, root, *_ = every = _members(left.column("members")[0].as_py())
+        names, code = np.unique(node, return_inverse=True)
+        own = dict(zip(right.column("row").to_pylist(), right.column("given").to_pylist()))
+        whole = [np.cumsum(unpack(own.pop(x), np.uint64), dtype=np.uint64) for x in names.tolist()]
+        size = np.array([len(h) for h in whole], np.int64)
+        bits = np.array([np.packbits(np.bincount((h & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH) & 1) for h in whole], np.uint8).view(np.uint64)
+        up = np.zeros(len(names), np.int64)
+        up[code] = np.unique(root, return_inverse=True)[1]
+        up, of = list(range(int(up.max()) + 1)), up.tolist()
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        most, tried, out = (1 - sets.similarity) / (1 + sets.similarity), set(), []
+        ends = np.flatnonzero(np.diff(label)) + 1
+        for f, e in zip([0, *ends], [*ends, len(label)]):
+            two = side[f:e].any()
+            for i, j in _cells(sets, every[2:, f:e], side[f:e] if two else None):
+                for k in range(0, len(i), PAIRS):
+                    p, q = code[f:e][i[k : k + PAIRS]], code[f:e][j[k : k + PAIRS]]
+                    ok = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= most * (size[p] + size[q]) + 1e-6
+                    for x, y in zip(np.minimum(p[ok], q[ok]).tolist(), np.maximum(p[ok], q[ok]).tolist()):
+                        s, t = top(of[x]), top(of[y])
+                        if s == t or (x, y) in tried:
+                            continue
+                        if sets.alike(whole[x], whole[y]):
+                            up[max(s, t)] = min(s, t)
+                            out.append((names[x], names[y]))
+                        elif len(tried) < 10 * PAIRS:  # not to be compared again for another shingle
+                            tried.add((x, y))
+        release()
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=EDGES)
+
+    schema = pa.schema([("unit", pa.int64()), ("row", pa.int64())])
+    members = stash(units.mapInArrow(arrow_rows(named, schema), "unit long, row long"))
+    wanted = members.select(block_of("row").alias("block"), "row").distinct()
+    sent = members.join(stash(blocks.join(wanted, answer, GIVEN)), "row").select("unit", "row", "given")
+    return units.groupBy("unit").cogroup(sent.groupBy("unit")).applyInArrow(compare, "a long, b long")
 
 
-def _pairs_left(blocks: Blocks, contents: DataFrame, rows: int, sets: Sets) -> DataFrame:
-    """(a, b): every pair of contents (row, root) of different roots that may have the similarity, by prefix filter.
+def _pairs_left(blocks: Blocks, contents: DataFrame, rows: int, sets: Sets) -> tuple[DataFrame, DataFrame]:
+    """Of contents (row, root) of different roots, by prefix filter: (pairs (a, b) that may have the similarity; edges that have it).
+    Every pair of the similarity is among the pairs or linked by the edges.
 
     In one order of all shingles, rare ones first, two sets of that similarity share a shingle of the first 1 - similarity of the
-    larger and the first (1 - similarity) / (1 + similarity) of the smaller. Nothing depends on how many texts share it."""
+    larger and the first (1 - similarity) / (1 + similarity) of the smaller. Rows grow with prefixes, however many texts share a shingle."""
     tasks = max(partitions(blocks.spark), -(-rows // BUCKET_ROWS))
     sent = blocks.join(contents.select(block_of("row").alias("block"), "row", "root"), _dealt(tasks, sets, *_frequent(blocks, rows, sets)), DEALT)
-    found = stash(sent.repartition(tasks, "bucket").mapInArrow(_pairs_of(sets), "a long, b long, x binary, y binary"))
-    parts = found.where("x is not null").select("x", "y").repartition(tasks)
-    return found.where("x is null").select("a", "b").unionAll(parts.mapInArrow(_across(sets), "a long, b long")).distinct()
+    found = stash(sent.repartition(tasks, "bucket").mapInArrow(_pairs_of(sets), "a long, b long, unit long, members binary"))
+    pairs, units = found.where("unit is null").select("a", "b").distinct(), found.where("unit is not null").select("unit", "members")
+    return pairs, blocks.spark.createDataFrame([], "a long, b long") if units.isEmpty() else _linked(blocks, units, sets)
 
 
 def unique(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -600,7 +706,8 @@ def unique(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int
     groups = contents.select("row", "first").join(linked.withColumnRenamed("node", "row"), "row", "left")
     groups = stash(groups.select("row", "first", F.coalesce("root", "row").alias("root")))
     # pairs that neither way has linked
-    more = _verified(blocks, stash(_pairs_left(blocks, groups, found.count(), sets)), sets)
+    pairs, near = _pairs_left(blocks, groups, found.count(), sets)
+    more = _verified(blocks, stash(pairs), sets).unionAll(near)
     of = lambda x: groups.select(F.col("row").alias(x), F.col("root").alias(f"r{x}"))
     more = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     last = components(more).select(F.col("node").alias("root"), F.col("root").alias("to"))

@@ -147,3 +147,24 @@ def test_no_similar_pair_is_lost_among_pages_of_one_template(spark, monkeypatch)
     assert similar >= 100
     got = simhash.unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(x.doc_id for x in got) == [i for i in range(len(rows)) if find(i) == i]
+
+
+def test_pages_that_share_prefixes_do_not_make_rows_of_all_pairs(spark):
+    """Pages below the similarity to each other, and near copies of some: rows grow with the pages, and each near copy is found."""
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(10**9)}"
+    template = [word() for _ in range(160)]
+    pages = [template + [word() for _ in range(22)] for _ in range(300)]
+    pages += [p[:-3] + [word() for _ in range(3)] for p in pages[:20]]
+    blocks = simhash.Blocks(spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(pages)], "doc_id long, text string"))
+    sets = simhash.Sets(5, 42, 0.8)
+    rows = blocks.map(simhash._signed_rows(sets), simhash.SIGNED).select("row", "doc_id").collect()
+    named = {x.row: x.doc_id for x in rows}
+    own = [{tuple(p[i : i + 5]) for i in range(len(p) - 4)} for p in pages]
+    alike = lambda i, j: len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])
+    want = {(i, j) for j in range(len(pages)) for i in range(j) if alike(i, j)}
+    assert len(want) == 20
+    contents = spark.createDataFrame([(x, x) for x in named], "row long, root long")
+    pairs, near = simhash._pairs_left(blocks, contents, len(rows), sets)
+    got = [tuple(sorted((named[x.a], named[x.b]))) for x in pairs.collect() + near.collect()]
+    assert want <= set(got) and len(got) < 8 * len(pages)
