@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingmill.operators import expand, reward
-from ratingmill.operators.classify import AttributeSystem
+from ratingmill.operators.classify import COUNTS, AttributeSystem
 from ratingmill.operators.scoring import Generator, Scorer
 
 
@@ -24,18 +24,26 @@ def world_labels(items: DataFrame, names: list[str], world: DataFrame, most: int
 
 
 def run(items: DataFrame, names: list[str], worlds: dict[int, DataFrame], generate: Generator, scorer: Scorer, keep: Callable[[DataFrame], DataFrame], train: bool = True, most: int | None = None) -> DataFrame:
-    """A row for each world: rates, means and deviations on the test split. keep materialises what models made."""
+    """A row for each world: rates, means and deviations on the test split. keep materialises what models made.
+
+    What does not depend on the world is made once for all: answers with each attribute and without one, and the words of histories. Of
+    answers their keys and responses are kept, not the conversations."""
     out = []
     learn, test = items.where("split = 'train'"), items.where("split = 'test'")
+    answered = lambda df: keep(df.select("split", "user_id", "attribute", "response"))
+    plain = answered(generate(test.withColumn("attribute", F.lit(""))))
+    if train:
+        first = AttributeSystem(names)
+        tried = keep(first.tried(learn, generate))
+        histories, asked = keep(first.counted(learn).select("split", "user_id", COUNTS)), keep(first.counted(test))
+    else:
+        answers = answered(generate(test.withColumn("attribute", F.lit(""))))
     for number, world in worlds.items():
         labels = keep(world_labels(items, names, world, most))
-        system = AttributeSystem(names)
         if train:
-            system.train(learn, labels, generate, scorer, keep)
-            answers = keep(system.evaluate(test, generate))
-        else:
-            answers = keep(generate(test.withColumn("attribute", F.lit(""))))
-        plain = keep(generate(test.withColumn("attribute", F.lit(""))))
+            system = AttributeSystem(names)
+            system.learn(histories, tried, labels, scorer, keep)
+            answers = answered(system.answer(asked, generate))
 
         def rewards(df: DataFrame) -> DataFrame:
             request = df.select("split", "user_id", F.col("attribute").alias("tried"), F.col("response.content").alias("content"))

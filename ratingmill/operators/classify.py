@@ -22,6 +22,10 @@ from ratingmill.operators import expand, reward
 from ratingmill.operators.scoring import Generator, Scorer
 
 
+#: The column of a text's words as hashed counts.
+COUNTS = "__tf"
+
+
 @dataclass(frozen=True)
 class ClassifierOptions:
     width: int = 1 << 14
@@ -43,23 +47,33 @@ class TextClassifier:
     def _cut(self, df: DataFrame) -> DataFrame:
         return df if self.options.max_length is None else df.withColumn("text", F.substring("text", 1, self.options.max_length))
 
+    def _counters(self) -> list:
+        words = RegexTokenizer(inputCol="text", outputCol="__words", pattern=r"\W+")
+        return [words, HashingTF(inputCol="__words", outputCol=COUNTS, numFeatures=self.options.width)]
+
+    def counted(self, df: DataFrame) -> DataFrame:
+        """df with the counts of its texts' words in place of the texts, as train and predict take them: for texts that are used again."""
+        return PipelineModel(self._counters()).transform(self._cut(df)).drop("text", "__words")
+
     def train(self, df: DataFrame) -> "TextClassifier":
-        """df: (text, label int). Texts are split and counted once, whatever the number of passes over their counts."""
+        """df: (text, label int), or counted. Texts are split and counted once, whatever the number of passes over their counts."""
         o = self.options
-        words = RegexTokenizer(inputCol="text", outputCol="__words", pattern=r"\W+")
-        tf = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=o.width)
-        counted = tf.transform(words.transform(self._cut(df).select("text", "label"))).select("__tf", "label").persist(StorageLevel.MEMORY_AND_DISK)
+        counted = (df if COUNTS in df.columns else self.counted(df.select("text", "label"))).select(COUNTS, "label").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            steps = [IDF(inputCol="__tf", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol="label", maxIter=o.rounds, regParam=o.regularisation)]
+            steps = [IDF(inputCol=COUNTS, outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol="label", maxIter=o.rounds, regParam=o.regularisation)]
             learned = Pipeline(stages=steps).fit(counted)
         finally:
             counted.unpersist()
-        self.model = PipelineModel([words, tf, *learned.stages])
+        self.model = PipelineModel([*self._counters(), *learned.stages])
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(self._cut(df))
-        return out.withColumn("prediction", F.col("prediction").cast("int")).drop("__words", "__tf", "__x", "rawPrediction", "probability")
+        """df with prediction; df: (text), which stays, or counted."""
+        if COUNTS in df.columns:
+            out = PipelineModel(self.model.stages[2:]).transform(df)
+        else:
+            out = self.model.transform(self._cut(df))
+        return out.withColumn("prediction", F.col("prediction").cast("int")).drop("__words", COUNTS, "__x", "rawPrediction", "probability")
 
     def accuracy(self, df: DataFrame) -> DataFrame:
         return self.predict(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
@@ -90,29 +104,45 @@ class PersonalizationSystem(ABC):
 
 
 class AttributeSystem(PersonalizationSystem):
-    """Learns from rewards which attribute, followed or avoided, suits a user's history; answers with it in the prompt."""
+    """Learns from rewards which attribute, followed or avoided, suits a user's history; answers with it in the prompt.
+
+    Answers with each attribute and histories by their words do not depend on what users want: tried and counted make them once for many
+    systems of the same options, whose learn and answer start from them."""
 
     def __init__(self, names: list[str], options: ClassifierOptions = ClassifierOptions()):
         self.names, self.classifier = names, TextClassifier(options=options)
 
+    def tried(self, items: DataFrame, generate: Generator) -> DataFrame:
+        """(split, user_id, attr_ord, tried, content): each user's answers with each attribute, without the conversations."""
+        answers = generate(expand.by_attribute(items, self.names))
+        return answers.select("split", "user_id", "attr_ord", F.col("attribute").alias("tried"), F.col("response.content").alias("content"))
+
+    def counted(self, items: DataFrame) -> DataFrame:
+        """items with their histories' words, counted."""
+        return self.classifier.counted(items.withColumn("text", render_history(F.col("conversation_history"))))
+
     def train(self, items: DataFrame, user_attributes: DataFrame, generate: Generator, scorer: Scorer, keep) -> DataFrame:
         """items: (split, user_id, conversation_history, current_messages). keep: writes a table and reads it back; responses and scores
         are made once. Gives the labels."""
-        tried = keep(generate(expand.by_attribute(items, self.names)))
-        request = tried.select("split", "user_id", "attr_ord", F.col("attribute").alias("tried"), F.col("response.content").alias("content"))
-        rewards = keep(reward.judge_users(request, user_attributes, scorer, ["attr_ord", "tried"]))
-        labels = reward.best_attribute(rewards, ["split", "user_id"], len(self.names))
-        texts = items.select("split", "user_id", render_history(F.col("conversation_history")).alias("text"))
-        labelled = keep(texts.join(labels, ["split", "user_id"]))
-        self.classifier.train(labelled.select("text", "label"))
-        return labelled
+        labels = self.learn(self.counted(items), keep(self.tried(items, generate)), user_attributes, scorer, keep)
+        return items.select("split", "user_id", render_history(F.col("conversation_history")).alias("text")).join(labels, ["split", "user_id"])
+
+    def learn(self, counted: DataFrame, tried: DataFrame, user_attributes: DataFrame, scorer: Scorer, keep) -> DataFrame:
+        """Trains on users' counted histories and answers with each attribute. Gives the labels."""
+        rewards = keep(reward.judge_users(tried, user_attributes, scorer, ["attr_ord", "tried"]))
+        labels = keep(reward.best_attribute(rewards, ["split", "user_id"], len(self.names)))
+        self.classifier.train(counted.select("split", "user_id", COUNTS).join(labels.select("split", "user_id", "label"), ["split", "user_id"]))
+        return labels
 
     def evaluate(self, items: DataFrame, generate: Generator, load_path: str | None = None) -> DataFrame:
         if load_path is not None:
             self.classifier = TextClassifier.load(load_path)
-        texts = items.withColumn("text", render_history(F.col("conversation_history")))
+        return self.answer(items.withColumn("text", render_history(F.col("conversation_history"))), generate)
+
+    def answer(self, items: DataFrame, generate: Generator) -> DataFrame:
+        """items: with the text of their history, or counted."""
         chosen = decode_label(F.col("prediction"), len(self.names))
         table = F.array(*[F.lit(n) for n in self.names])
-        out = self.classifier.predict(texts).withColumn("chosen", chosen)
+        out = self.classifier.predict(items).withColumn("chosen", chosen)
         attribute = signed_name(F.element_at(table, F.col("chosen.ordinal") + 1), F.col("chosen.side"))
         return generate(out.withColumn("attribute", attribute).drop("chosen", "text"))
