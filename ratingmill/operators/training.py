@@ -1,42 +1,38 @@
 """Training by epochs: mini-batches in a keyed order, accumulated gradients, AdamW, losses by epoch.
 
-The model is a softmax over hashed words. An epoch is one barrier stage. Rows are put in the order of a hash of their key, the epoch and
-the seed, numbered, and dealt to the tasks in turn, so that every task has a part of every step's rows and reads them in order. A step
-is the rows of `accumulate` mini-batches. Each task makes the features of its own rows, and tasks exchange them for many steps at once
-(about EXCHANGED words, however many rows there are), as an exchange among tasks takes a second or so; then each judges the rows step
-by step and updates its copy of the model by the same sums in the same order. So the result is the same, bit by bit, for any number of
-tasks. The model goes to the next epoch through the driver; its size is set by options alone. A lost executor costs the epoch that is
-running.
+The model is a softmax over hashed words. Features of texts, the counts of their hashed words, are made once, by all tasks. For an epoch
+rows are put in the order of a hash of their key, the epoch and the seed, as parts by range that tasks sort and pack at once, about
+PART bytes each however many rows there are. A step is the rows of `accumulate` mini-batches and needs the model of the step before, so
+parts are trained on one after the other, each where it lies: a job for each part takes the model and the rows of the unfinished step
+from the part before, reads its own rows step by step, and hands both on through the driver; their size is set by options alone. Steps
+have the same rows and sums however the parts are cut, so the result is the same, bit by bit, for any number of them. A lost executor
+costs the part that is running, and its own parts are made again.
 """
 
 from __future__ import annotations
 
-import base64
 import json
-import pickle
-import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict, dataclass
-from itertools import islice
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingmill.functions.portable import order_key
-from ratingmill.operators import conversations as conv
 
 
-#: Words of texts whose features tasks exchange at once, about.
-EXCHANGED = 2_000_000
+#: Bytes of features in a part of an epoch, about: a part costs a job.
+PART = 128_000_000
+#: Bytes of features that are packed or judged at once, about, or one row.
+BLOCK = 4_000_000
 
 
 @dataclass(frozen=True)
 class EpochOptions:
-    """rate, decay, betas, epsilon: of AdamW. max_length: words of a text that are read; None: all. tasks: that train together (all must
-    run at once); None: as many as the session's default parallelism."""
+    """rate, decay, betas, epsilon: of AdamW. max_length: words of a text that are read; None: all. tasks: that put an epoch's rows in
+    order, at least; None: as many as the session's default parallelism."""
 
     width: int = 1 << 14
     epochs: int = 3
@@ -54,7 +50,7 @@ class EpochOptions:
 
 @dataclass
 class Weights:
-    """A softmax model with AdamW's moments; the last row is the bias."""
+    """A softmax model with AdamW's moments, a row for each class; the last column is the bias."""
 
     w: np.ndarray
     m: np.ndarray
@@ -63,31 +59,89 @@ class Weights:
 
     @classmethod
     def zero(cls, width: int, classes: int) -> "Weights":
-        return cls(*(np.zeros((width + 1, classes)) for _ in range(3)))
+        return cls(*(np.zeros((classes, width + 1)) for _ in range(3)))
+
+    def copy(self) -> "Weights":
+        return Weights(self.w.copy(), self.m.copy(), self.v.copy(), self.steps)
 
     def update(self, gradient: np.ndarray, o: EpochOptions) -> None:
+        """One step of AdamW, in place."""
         self.steps += 1
-        self.m = o.beta1 * self.m + (1 - o.beta1) * gradient
-        self.v = o.beta2 * self.v + (1 - o.beta2) * gradient * gradient
-        m, v = self.m / (1 - o.beta1**self.steps), self.v / (1 - o.beta2**self.steps)
-        self.w = self.w - o.rate * (m / (np.sqrt(v) + o.epsilon) + o.decay * self.w)
+        self.m *= o.beta1
+        self.m += (1 - o.beta1) * gradient
+        self.v *= o.beta2
+        gradient *= gradient
+        gradient *= 1 - o.beta2
+        self.v += gradient
+        scale = self.v / (1 - o.beta2**self.steps)
+        np.sqrt(scale, out=scale)
+        scale += o.epsilon
+        change = self.m / (1 - o.beta1**self.steps)
+        change /= scale
+        change += o.decay * self.w
+        change *= o.rate
+        self.w -= change
 
 
-def features(hashed: Sequence[int], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, values) of a text by its words' hashes: counts, of length one together, and the bias."""
-    return _scaled(*np.unique(np.asarray(hashed, np.int64), return_counts=True), width)
+@dataclass
+class Texts:
+    """Texts by their features: labels, how many places each text has, and (place, count) of all texts one after the other."""
 
+    labels: np.ndarray
+    sizes: np.ndarray
+    pairs: np.ndarray
 
-def _scaled(at: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    x = n / np.sqrt((n * n).sum()) if len(n) else n.astype(float)
-    return np.append(at, width), np.append(x, 1.0)
+    @classmethod
+    def none(cls) -> "Texts":
+        return cls(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 2), np.int32))
+
+    @classmethod
+    def of(cls, labels, features: Sequence[bytes]) -> "Texts":
+        """labels: None where only the features matter."""
+        sizes = np.fromiter(map(len, features), np.int64, len(features)) // 8
+        return cls(np.zeros(len(sizes), np.int32) if labels is None else labels, sizes, np.frombuffer(b"".join(features), np.int32).reshape(-1, 2))
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+    def __add__(self, other: "Texts") -> "Texts":
+        return Texts(*(np.concatenate(x) for x in ((self.labels, other.labels), (self.sizes, other.sizes), (self.pairs, other.pairs))))
+
+    def split(self, n: int) -> tuple["Texts", "Texts"]:
+        """The first n and the others."""
+        at = self.sizes[:n].sum()
+        return Texts(self.labels[:n], self.sizes[:n], self.pairs[:at]), Texts(self.labels[n:], self.sizes[n:], self.pairs[at:])
 
 
-def judged(w: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The log probabilities of a text's classes."""
-    z = x @ w[at]
-    z = z - z.max()
-    return z - np.log(np.exp(z).sum())
+class _Batch:
+    """Texts ready for judging: counts are scaled to a length of one for each text, and every text has the bias."""
+
+    def __init__(self, texts: Texts):
+        self.labels, self.row = texts.labels, np.repeat(np.arange(len(texts)), texts.sizes)
+        self.at, self.n = texts.pairs[:, 0].astype(np.int64), texts.pairs[:, 1].astype(float)
+        length = np.sqrt(np.bincount(self.row, self.n * self.n, len(texts)))
+        self.length = np.where(length > 0, length, 1.0)
+
+    def logs(self, w: np.ndarray) -> np.ndarray:
+        """The log probabilities of each text's classes."""
+        z = np.stack([np.bincount(self.row, c[self.at] * self.n, len(self.labels)) / self.length + c[-1] for c in w], 1)
+        z -= z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+    def gradient(self, residuals: np.ndarray, width: int) -> np.ndarray:
+        """The gradient of a model, of (texts, classes) residuals."""
+        out = np.empty((residuals.shape[1], width + 1))
+        for own, r in zip(out, residuals.T):
+            own[:] = np.bincount(self.at, (r / self.length)[self.row] * self.n, width + 1)
+            own[width] = r.sum()
+        return out
+
+
+def features(hashed: Sequence[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values) of a text by its words' hashes: counts, of length one together, and the bias."""
+    at, n = np.unique(np.asarray(hashed, np.int64), return_counts=True)
+    x = n / np.sqrt((n * n).sum()) if len(n) else n.astype(float)
+    return np.append(at, width), np.append(x, 1.0)
 
 
 def hashed_words(text, options: EpochOptions):
@@ -97,62 +151,83 @@ def hashed_words(text, options: EpochOptions):
     return F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(options.width)).cast("int"))
 
 
-def _packed(rows: list[tuple[int, int, list[int]]]) -> str:
-    """Rows (ord, label, words) by their features, as a text for other tasks: places and counts, without the bias."""
-    every = [np.unique(np.asarray(words, np.int64), return_counts=True) for _, _, words in rows]
-    flat = lambda k: np.concatenate([np.zeros(0, np.int64), *[x[k] for x in every]])
-    parts = [[i for i, _, _ in rows], [y for _, y, _ in rows], [len(at) for at, _ in every], flat(0), flat(1)]
-    kinds = (np.int64, np.int32, np.int32, np.int32, np.int32)
-    return base64.b64encode(zlib.compress(pickle.dumps([np.asarray(x, k) for x, k in zip(parts, kinds)]), 1)).decode()
-
-
-def _unpacked(said: Sequence[str], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(ord, label, places, values) of the rows that tasks have told, in their order."""
-    told = [pickle.loads(zlib.decompress(base64.b64decode(s))) for s in said]
-    ends = [np.cumsum(t[2]) for t in told]
-    whose = np.repeat(np.arange(len(told)), [len(t[0]) for t in told])
-    which = np.concatenate([np.arange(len(t[0])) for t in told])
-    for k in np.argsort(np.concatenate([t[0] for t in told]), kind="stable"):
-        t, j = told[whose[k]], which[k]
-        part = slice(ends[whose[k]][j] - t[2][j], ends[whose[k]][j])
-        yield int(t[0][j]), int(t[1][j]), *_scaled(t[3][part].astype(np.int64), t[4][part].astype(np.int64), width)
-
-
-def _epoch(dealt: DataFrame, n: int, words: int, state: Weights, o: EpochOptions) -> tuple[Weights, float]:
-    """One epoch over rows (ord, label, words), dealt to tasks and sorted by ord: the new state, and the mean of the mini-batches' losses.
-    words: of all rows."""
-    sent = dealt.sparkSession.sparkContext.broadcast(state)
-    group = o.batch_size * o.accumulate
-    block = group * max(1, EXCHANGED * n // max(1, words) // group)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ctx = BarrierTaskContext.get()
-        own = Weights(*(a.copy() for a in (sent.value.w, sent.value.m, sent.value.v)), sent.value.steps)
-        rows = ((i, y, h) for b in batches for i, y, h in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
-        row, lost = next(rows, None), 0.0
-        for first in range(0, n, block):
-            held = []
-            while row is not None and row[0] < first + block:
-                held.append(row)
-                row = next(rows, None)
-            every = _unpacked(ctx.allGather(_packed(held)), o.width)
-            for step in range(first, min(first + block, n), group):
-                gradient = np.zeros_like(own.w)
-                for i, label, at, x in islice(every, min(group, n - step)):
-                    logs = judged(own.w, at, x)
-                    residual = np.exp(logs)
-                    residual[label] -= 1
-                    begin = i // o.batch_size * o.batch_size
-                    size = min(o.batch_size, n - begin)  # of the row's mini-batch
-                    gradient[at] += x[:, None] * (residual / (size * o.accumulate))  # a row has a place once
-                    lost += -logs[label] / size
-                own.update(gradient, o)
-        if ctx.partitionId() == 0:
-            yield pa.RecordBatch.from_pydict({"state": pa.array([pickle.dumps((own.w, own.m, own.v, own.steps))], pa.binary()), "lost": pa.array([lost])})
-
-    (done,) = dealt.mapInArrow(each, "state binary, lost double", barrier=True).collect()
-    sent.unpersist()
-    return Weights(*pickle.loads(bytes(done.state))), done.lost / (n / o.batch_size)
+def _cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of rows, of about so much together or one row."""
+    inner = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    places = [0, *inner.tolist(), len(sizes)]
+    return ((a, b) for a, b in zip(places, places[1:]) if b > a)
+
+
+def counted(text, options: EpochOptions):
+    """A text's features: its hashed words as (place, count) in 32-bit numbers, by place."""
+    width = options.width
+
+    @F.arrow_udf("binary")
+    def made(words: pa.Array) -> pa.Array:
+        sizes, every, out, begin = np.asarray(words.value_lengths(), np.int64), words.flatten(), [], 0
+        for a, b in _cuts(sizes, BLOCK // 8):
+            n = int(sizes[a:b].sum())
+            row = np.repeat(np.arange(b - a), sizes[a:b])
+            found, count = np.unique(row * width + every.slice(begin, n).to_numpy(), return_counts=True)
+            begin += n
+            pairs = np.stack([found % width, count], 1).astype(np.int32)
+            ends = np.cumsum(np.bincount(found // width, minlength=b - a)).tolist()
+            out += [pairs[i:j].tobytes() for i, j in zip([0, *ends], ends)]
+        return pa.array(out, pa.binary())
+
+    return made(hashed_words(text, options))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, features) as few rows of many, in their order."""
+    for b in batches:
+        labels, found = b.column(0).to_numpy().astype(np.int32), b.column(1).to_pylist()
+        for first, end in _cuts(np.fromiter(map(len, found), np.int64, len(found)), BLOCK):
+            t = Texts.of(labels[first:end], found[first:end])
+            yield pa.RecordBatch.from_pydict({k: pa.array([x.tobytes()], pa.binary()) for k, x in (("labels", t.labels), ("sizes", t.sizes), ("pairs", t.pairs))})
+
+
+@dataclass
+class _Progress:
+    """What a part hands on to the next: the model, the rows of the step that is not complete, and the sum of losses up to it."""
+
+    state: Weights
+    done: int = 0
+    lost: float = 0.0
+    rest: Texts | None = None
+
+    def train(self, texts: Texts, n: int, o: EpochOptions) -> None:
+        """Goes on by more of an epoch's n rows, as far as they complete steps."""
+        rest, group = texts if self.rest is None else self.rest + texts, o.batch_size * o.accumulate
+        while len(rest) and len(rest) >= min(group, n - self.done):
+            now, rest = rest.split(min(group, n - self.done))
+            batch, own = _Batch(now), np.arange(len(now))
+            begin = (self.done + own) // o.batch_size * o.batch_size
+            size = np.minimum(o.batch_size, n - begin)  # of the row's mini-batch
+            logs = batch.logs(self.state.w)
+            self.lost -= float((logs[own, now.labels] / size).sum())
+            residuals = np.exp(logs)
+            residuals[own, now.labels] -= 1
+            self.state.update(batch.gradient(residuals / (size * o.accumulate)[:, None], o.width), o)
+            self.done += len(now)
+        self.rest = rest
+
+
+def _epoch(blocks: DataFrame, n: int, state: Weights, o: EpochOptions) -> tuple[Weights, float]:
+    """One epoch over n rows, packed and in order: the new state, and the mean of the mini-batches' losses."""
+    sc, rows, now = blocks.sparkSession.sparkContext, blocks.rdd, _Progress(state)
+    for part in range(rows.getNumPartitions()):
+        sent = sc.broadcast(now)
+
+        def each(own: Iterator) -> Iterator[_Progress]:
+            p = replace(sent.value, state=sent.value.state.copy())
+            for r in own:
+                p.train(Texts(np.frombuffer(r.labels, np.int32), np.frombuffer(r.sizes, np.int64), np.frombuffer(r.pairs, np.int32).reshape(-1, 2)), n, o)
+            yield p
+
+        (now,) = sc.runJob(rows, each, [part])
+        sent.destroy()
+    return now.state, now.lost / (n / o.batch_size)
 
 
 class EpochClassifier:
@@ -166,48 +241,62 @@ class EpochClassifier:
 
         history has (epoch, train_loss, val_loss, val_accuracy); the last two are null without validation, and for an empty one."""
         o, spark = self.options, df.sparkSession
-        rows = df.select(F.col("label").cast("int").alias("label"), hashed_words(F.col("text"), o).alias("words"), *[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(key)]).persist()
+        made = lambda x: (F.col("label").cast("int").alias("label"), counted(F.col("text"), o).alias("features"))
+        keys = [f"k{i}" for i in range(len(key))]
+        rows = df.select(*made(df), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in zip(key, keys)]).persist()
+        held = None if validation is None else validation.select(*made(validation)).persist()
         try:
-            seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"), F.max("label").alias("top"), F.count_if(F.col("label").isNull() | (F.col("label") < 0)).alias("bad")).first()
+            seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("features")), F.lit(0)).alias("room"), F.max("label").alias("top"), F.count_if(F.col("label").isNull() | (F.col("label") < 0)).alias("bad")).first()
             if seen.bad:
                 raise ValueError(f"{seen.bad} rows have no label")
             state, self.history = Weights.zero(o.width, (seen.top or 0) + 1), []
-            tasks = o.tasks or spark.sparkContext.defaultParallelism
+            self.weights = state.w.T
+            parts = max(o.tasks or spark.sparkContext.defaultParallelism, seen.room // PART)
             for epoch in range(o.epochs):
                 if not seen.n:
                     break
-                keys = [F.coalesce(F.col(f"k{i}"), F.lit("")) for i in range(len(key))]
-                order = [order_key(*keys, epoch, o.seed), *keys]
-                numbered = conv.numbered(rows, order, "ord").select("ord", "label", "words")
-                dealt = numbered.repartition(tasks, F.pmod("ord", F.lit(tasks))).sortWithinPartitions("ord")
-                state, loss = _epoch(dealt, seen.n, seen.words, state, o)
-                self.weights = state.w
-                told = self.loss(validation).first() if validation is not None else None
+                shuffled = rows.withColumn("o", order_key(*map(F.col, keys), epoch, o.seed)).repartitionByRange(parts, "o", *keys).sortWithinPartitions("o", *keys)
+                blocks = shuffled.select("label", "features").mapInArrow(_pack, "labels binary, sizes binary, pairs binary").persist()
+                try:
+                    blocks.count()  # all parts at once
+                    state, loss = _epoch(blocks, seen.n, state, o)
+                finally:
+                    blocks.unpersist()
+                self.weights = state.w.T
+                told = self._loss(held).first() if held is not None else None
                 self.history.append((epoch, loss, told.loss if told else None, told.accuracy if told else None))
-            self.weights = state.w
         finally:
             rows.unpersist()
+            if held is not None:
+                held.unpersist()
         return self
 
-    def _judged(self, df: DataFrame) -> DataFrame:
-        sent = df.sparkSession.sparkContext.broadcast(self.weights)
-        width = self.options.width
+    def _judged(self, df: DataFrame, found) -> DataFrame:
+        """found: the column of features."""
+        sent = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(self.weights.T))
 
-        @F.pandas_udf("array<double>")
-        def logs(words):
-            return words.map(lambda h: judged(sent.value, *features(h, width)).tolist())
+        @F.arrow_udf("array<double>")
+        def logs(found: pa.Array) -> pa.Array:
+            every, out = found.to_pylist(), []
+            for a, b in _cuts(np.fromiter(map(len, every), np.int64, len(every)), BLOCK):
+                out += _Batch(Texts.of(None, every[a:b])).logs(sent.value).tolist()
+            return pa.array(out, pa.list_(pa.float64()))
 
-        return df.withColumn("__logs", logs(hashed_words(F.col("text"), self.options)))
+        return df.withColumn("__logs", logs(found))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with its prediction: the likeliest class, of several the smallest."""
         best = F.array_position("__logs", F.array_max("__logs")) - 1
-        return self._judged(df).withColumn("prediction", best.cast("int")).drop("__logs")
+        return self._judged(df, counted(F.col("text"), self.options)).withColumn("prediction", best.cast("int")).drop("__logs")
 
     def loss(self, df: DataFrame) -> DataFrame:
         """(loss, accuracy, n) on labelled rows: the mean negative log probability of the label. A label that training had not seen has
         the least probability there is."""
-        out = self._judged(df)
+        return self._loss(df.select("label", counted(F.col("text"), self.options).alias("features")))
+
+    def _loss(self, df: DataFrame) -> DataFrame:
+        """loss of (label, features)."""
+        out = self._judged(df, F.col("features"))
         own = F.coalesce(F.try_element_at("__logs", F.col("label").cast("int") + 1), F.lit(float(np.log(1e-300))))
         right = F.array_position("__logs", F.array_max("__logs")) - 1 == F.col("label")
         return out.agg(F.avg(-own).alias("loss"), F.avg(right.cast("double")).alias("accuracy"), F.count("*").alias("n"))
