@@ -241,10 +241,11 @@ class EpochClassifier:
 
         history has (epoch, train_loss, val_loss, val_accuracy); the last two are null without validation, and for an empty one."""
         o, spark = self.options, df.sparkSession
-        made = lambda x: (F.col("label").cast("int").alias("label"), counted(F.col("text"), o).alias("features"))
-        keys = [f"k{i}" for i in range(len(key))]
-        rows = df.select(*made(df), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in zip(key, keys)]).persist()
-        held = None if validation is None else validation.select(*made(validation)).persist()
+        made, keys = (F.col("label").cast("int").alias("label"), counted(F.col("text"), o).alias("features")), [f"k{i}" for i in range(len(key))]
+        # texts are dealt out before they are split, as a file may be one row group
+        deal = lambda x: x.repartition(*(key if set(key) <= set(x.columns) else ("text", "label")))
+        rows = deal(df).select(*made, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in zip(key, keys)]).persist()
+        held = None if validation is None else deal(validation).select(*made).persist()
         try:
             seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("features")), F.lit(0)).alias("room"), F.max("label").alias("top"), F.count_if(F.col("label").isNull() | (F.col("label") < 0)).alias("bad")).first()
             if seen.bad:
